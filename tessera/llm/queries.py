@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import components, keys, overlap, quota, runs, splits
+from tessera.llm import canonical, components, keys, overlap, quota, runs, splits
 from tessera.llm.workspace import Workspace
 
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -84,6 +84,35 @@ def p3_events(spark: SparkSession, d: str) -> DataFrame:
         F.col("n_events").alias("n_alerts"), F.round("duration_s", 6).alias("duration_s"))
 
 
+def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Typed values (entry_id, field, value), references (field, ref_id, name), canonical spellings (field, value)."""
+    m, src, cls = _read(spark, d, "class_map"), _read(spark, d, "source_ref"), _read(spark, d, "class_ref")
+    typed = None
+    for f in ("sources", "classes"):
+        one = m.select("entry_id", F.lit(f).alias("field"), F.col(f).alias("value"))
+        typed = one if typed is None else typed.unionByName(one)
+    slugs = src.select(F.lit("sources").alias("field"), F.col("source_id").alias("ref_id"), F.col("slug").alias("name"))
+    names = cls.select(F.lit("classes").alias("field"), F.col("class_id").alias("ref_id"), F.col("class_name").alias("name"))
+    aliases = cls.select(F.lit("classes").alias("field"), F.col("class_id").alias("ref_id"), F.explode("aliases").alias("name"))
+    exact = slugs.unionByName(names)
+    return typed.where(F.trim(F.regexp_replace("value", r"[\s" + chr(0xA0) + "]+", " ")) != "").distinct(), exact.unionByName(aliases), exact.select("field", F.col("name").alias("value")).distinct()
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each typed value that is no canonical spelling, with the entry meant or -1."""
+    typed, refs, exact = _typed(spark, d)
+    open_ = typed.join(exact, ["field", "value"], "left_anti")
+    return open_.join(canonical.map_values(open_, refs), ["field", "value"]).select("entry_id", "field", "ref_id").distinct()
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values without an entry, with the number of entries that hold them."""
+    typed, refs, exact = _typed(spark, d)
+    open_ = typed.join(exact, ["field", "value"], "left_anti")
+    none = canonical.map_values(open_, refs).where("ref_id = -1")
+    return open_.join(none, ["field", "value"]).groupBy("field", "value").agg(F.count("*").alias("n_entries"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pictures and groups tied to others, with the smallest id of their set."""
     pairs = _read(spark, d, "image_pair").where("is_match")
@@ -120,5 +149,6 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_events": p3_events,
+    "p4_found": p4_found, "p4_unmatched": p4_unmatched,
     "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample,
 }
