@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, components, keys, overlap, quota, runs, splits
+from tessera.llm import canonical, components, encode, keys, overlap, quota, runs, splits
 from tessera.llm.workspace import Workspace
 
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -147,8 +147,13 @@ def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document by byte_bpe_50k."""
+    return encode.encode_corpus(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_events": p3_events,
     "p4_found": p4_found, "p4_unmatched": p4_unmatched,
-    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p7_ids": p7_ids,
 }
