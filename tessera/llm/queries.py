@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, components, encode, keys, overlap, quota, runs, splits
+from tessera.llm import canonical, components, encode, keys, leak, overlap, quota, runs, splits
 from tessera.llm.workspace import Workspace
 
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -152,8 +152,18 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(_read(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
 
 
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items they give away and the number of words of the longest passage."""
+    return leak.leaked(_read(spark, d, "documents"), _read(spark, d, "eval_item"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items they give away."""
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_events": p3_events,
     "p4_found": p4_found, "p4_unmatched": p4_unmatched,
-    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p7_ids": p7_ids,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks,
 }
