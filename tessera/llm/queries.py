@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import canonical, components, encode, keys, leak, overlap, quota, runs, splits
+from tessera.llm import canonical, components, encode, keys, leak, overlap, quota, runs, spam, splits
 from tessera.llm.workspace import Workspace
 
 PROPORTIONS = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -162,8 +162,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).select("doc_id", "item_id")
 
 
+def p9_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Spam pages with language, distance and the share of the text that is spam."""
+    got = spam.spam_pages(_read(spark, d, "documents"))
+    return got.select("doc_id", "lang", F.round("distance", 3).alias("distance"), F.round("spam_share", 4).alias("spam_share"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spam pages."""
+    return p9_pages(spark, d).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_events": p3_events,
     "p4_found": p4_found, "p4_unmatched": p4_unmatched,
-    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pages": p9_pages,
 }

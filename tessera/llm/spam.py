@@ -26,8 +26,13 @@ FLOOR = 0.05
 #: Upper 0.1 % point of chi-square with as many degrees of freedom as there are features.
 CUT = 22.458
 
-_SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_BIT = {k: 1 << i for i, k in enumerate(FUNCTION_WORDS)}
+_MASK: dict[str, int] = {}
+for _k, _v in FUNCTION_WORDS.items():
+    for _w in _v.split():
+        _MASK[_w] = _MASK.get(_w, 0) | _BIT[_k]
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid|io|co|de|es|fr)\b(?:/[^\s<>\"')\]]*)?", re.I)
+_MAYBE_URL = re.compile(r"\.[A-Za-z]{2}|://|www\.")
 _WORD = re.compile(r"[^\W_]+")
 _HASH = re.compile(r"#[^\W\d_]\w*|#\d*[^\W\d_]\w*")
 _PRICE = re.compile(r"(?:EUR|USD|GBP|[$\xa3€])\s?\d+(?:[.,]\d\d)?|\d+(?:[.,]\d\d)?\s?(?:EUR|USD|GBP|[$\xa3€])")
@@ -50,8 +55,8 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     for piece in _PIECE.split(text):
         if not piece.strip():
             continue
-        bare = _TAG.sub(" ", piece)
-        found = _URL.findall(piece) if "." in piece else ()
+        bare = _TAG.sub(" ", piece) if "<" in piece else piece
+        found = _URL.findall(piece) if _MAYBE_URL.search(piece) else ()
         if found:
             beside = _WORD.findall(_URL.sub(" ", bare if len(bare) > 3 else piece).lower())
             if len(beside) <= 6 or len(beside) <= 3 * len(found):
@@ -72,31 +77,40 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     if "</" in text and links:
         links = min(total, links + sum(len("".join(t.split())) for t in re.findall(r"</?(?:ul|ol|li|a)\b[^<>]*>", text) if "href" not in t) // 4)
     words = [w for ws, _ in lines for w in ws]
-    hits = {k: sum(w in s for w in words) for k, s in _SETS.items()}
+    seen = Counter(words)
+    hits = dict.fromkeys(_BIT, 0)
+    for w, c in seen.items():
+        mask = _MASK.get(w)
+        if mask:
+            for k, bit in _BIT.items():
+                if mask & bit:
+                    hits[k] += c
     best = max(hits.values())
     lang = (lang or "").lower()
-    own = lang if lang in _SETS and hits[lang] >= 0.8 * best else max(hits, key=lambda k: (hits[k], k == "en"))
+    own = lang if lang in hits and hits[lang] >= 0.8 * best else max(hits, key=lambda k: (hits[k], k == "en"))
     # A text in two languages has the function words of both.
-    fw = _SETS[own].union(*(_SETS[k] for k in _SETS if hits[k] >= max(5, 0.25 * best)))
+    used = _BIT[own] | sum(bit for k, bit in _BIT.items() if k != own and hits[k] >= max(5, 0.25 * best))
     n = len(words)
     if not n:
         return own, [0.0, 0.0, 0.0, links / total, 0.0, tags / total]
-    content = Counter(w for w in words if w not in fw and not w.isdigit())
+    content = {w: c for w, c in seen.items() if not _MASK.get(w, 0) & used and not w.isdigit()}
     m = sum(content.values())
     entropy = -sum(c / m * math.log2(c / m) for c in content.values()) / math.log2(max(2, m)) if m else 0.0
     repeated = sum(c for c in content.values() if c >= 3) / n
-    heavy = {w for w, c in content.items() if c >= 4 and c >= 0.07 * m}
-    is_f = np.fromiter((w in fw for w in words), float, n)
-    is_n = np.fromiter((w.isdigit() for w in words), float, n)
-    is_h = np.fromiter((w in heavy for w in words), float, n)
-    is_r = np.fromiter((content.get(w, 0) >= 2 for w in words), float, n)
+    # What each word is: 1 function word, 2 number, 4 heavy term, 8 term that comes again.
+    what = {w: (1 if _MASK.get(w, 0) & used else 0) | (2 if w.isdigit() else 0) for w in seen}
+    for w, c in content.items():
+        what[w] |= (4 if c >= 4 and c >= 0.07 * m else 0) | (8 if c >= 2 else 0)
+    flags = np.fromiter(map(what.__getitem__, words), np.int64, n)
+    is_f, is_n, is_h, is_r = ((flags & b > 0).astype(float) for b in (1, 2, 4, 8))
     code = np.repeat([c for _, c in lines], [len(ws) for ws, _ in lines])
     half = 6
-    width = np.minimum(np.arange(n) + half + 1, n) - np.maximum(np.arange(n) - half, 0)
+    last, first = np.minimum(np.arange(n) + half + 1, n), np.maximum(np.arange(n) - half, 0)
+    width = last - first
 
     def around(x: np.ndarray) -> np.ndarray:
         s = np.concatenate([[0.0], np.cumsum(x)])
-        return s[np.minimum(np.arange(n) + half + 1, n)] - s[np.maximum(np.arange(n) - half, 0)]
+        return s[last] - s[first]
 
     listing = (around(is_f) <= 1) & (around(is_n) / width < 0.3) & (around(is_r) / width >= 0.3)
     stuffed = (around(is_h) / width >= 0.3) & (around(is_n) / width < 0.3)
