@@ -120,3 +120,33 @@ def last_known(df: DataFrame, key: str, order: str, value: str, out: str) -> Dat
 def plausible(gap_s: Column, dist: Column, jump: float = 200.0, speed: float = 800.0, check_gap_s: float = 3.0) -> Column:
     """Whether a person can have moved ``dist`` in ``gap_s``; true where nothing is known or the gap is long."""
     return F.coalesce((F.greatest(gap_s, F.lit(0.0)) > check_gap_s) | (dist <= F.lit(jump) + F.lit(speed) * F.greatest(gap_s, F.lit(0.0))), F.lit(True))
+
+
+def pair_scores(queries: DataFrame, gallery: DataFrame, block: int = 1024, places: int = 6) -> DataFrame:
+    """q_id, q_pid, q_cam, g_id, g_pid, g_cam, sim of a stated set of queries against all rows of the gallery.
+
+    Queries (q_id, q_pid, q_cam, feat) go to the tasks in blocks of ``block``, each block a matrix product with the
+    gallery's batches (g_id, g_pid, g_cam, feat), which neither move nor come to the driver.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    out = None
+    schema = "q_id long, q_pid long, q_cam long, g_id long, g_pid long, g_cam long, sim double"
+    for b in range(blocks):
+        mine = queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b).toPandas()
+        ids, feats = mine[["q_id", "q_pid", "q_cam"]], np.stack(mine["feat"].to_numpy()).astype(float) if len(mine) else np.zeros((0, 1))
+
+        def run(batches, ids=ids, feats=feats):
+            for g in batches:
+                if not len(g) or not len(ids):
+                    continue
+                sims = feats @ np.stack(g["feat"].to_numpy()).astype(float).T
+                q, r = np.divmod(np.arange(sims.size), len(g))
+                yield pd.concat([ids.iloc[q].reset_index(drop=True), g[["g_id", "g_pid", "g_cam"]].iloc[r].reset_index(drop=True)], axis=1).assign(sim=np.round(sims.reshape(-1), places))
+
+        got = gallery.select("g_id", "g_pid", "g_cam", "feat").mapInPandas(run, schema)
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -102,3 +102,15 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 POOL = "pool AS (SELECT * FROM build_dataset QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY ingested_at) = 1)"
+
+
+def walk(spark: SparkSession, d: str) -> DataFrame:
+    """Long presences with a few missing frames: one person per 400 orders."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").where(k % 37 != 0).select(
+        F.expr("o_orderkey div 400").alias("person"), (k % 400).alias("frame_id"), (100 + F.expr("(o_orderkey * 31) % 300") + (k % 400)).cast("double").alias("area"),
+        F.expr("(o_orderkey * 13) % 600").cast("double").alias("x"), F.expr("(o_orderkey * 7) % 400").cast("double").alias("y"), F.when(k % 3 != 0, F.expr("(o_orderkey * 5) % 90")).alias("value"))
+
+
+WALK = """walk AS (SELECT o_orderkey // 400 AS person, o_orderkey % 400 AS frame_id, CAST(100 + (o_orderkey * 31) % 300 + o_orderkey % 400 AS DOUBLE) AS area, CAST((o_orderkey * 13) % 600 AS DOUBLE) AS x,
+ CAST((o_orderkey * 7) % 400 AS DOUBLE) AS y, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey * 5) % 90 END AS value FROM orders WHERE o_orderkey % 37 <> 0)"""
