@@ -1,3 +1,3 @@
 """All queries of the core, gathered on import."""
 
-from tessera.plans import frames, scalar  # noqa: F401
+from tessera.plans import frames, quality, scalar  # noqa: F401

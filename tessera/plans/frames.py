@@ -213,15 +213,15 @@ def f15(spark, d):
     return c.select("person", F.round(v.unit(F.col("c"))[0], 6).alias("first"))
 
 
-@query("f16_identity_similarity", f"WITH {_PERSON} SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 6) AS sim FROM ps")
+@query("f16_identity_similarity", f"WITH {_PERSON} SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 7) AS sim FROM ps")
 def f16(spark, d):
-    return _person_scores(spark, d).select("q_id", "g_pid", F.round(v.identity_similarity(F.col("cen"), F.col("best")), 6).alias("sim"))
+    return _person_scores(spark, d).select("q_id", "g_pid", F.round(v.identity_similarity(F.col("cen"), F.col("best")), 7).alias("sim"))
 
 
-@query("f17_fused_score", f"WITH {_PERSON} SELECT q_id, g_pid, round(CASE WHEN q_id % 10 = 0 THEN greatest(cen, 0.9 * best) ELSE 0.85 * greatest(cen, 0.9 * best) + 0.15 * cen END, 6) AS score FROM ps")
+@query("f17_fused_score", f"WITH {_PERSON} SELECT q_id, g_pid, round(CASE WHEN q_id % 10 = 0 THEN greatest(cen, 0.9 * best) ELSE 0.85 * greatest(cen, 0.9 * best) + 0.15 * cen END, 9) AS score FROM ps")
 def f17(spark, d):
     ratio = F.when(F.col("q_id") % 10 != 0, F.col("cen"))
-    return _person_scores(spark, d).select("q_id", "g_pid", F.round(v.fused(v.identity_similarity(F.col("cen"), F.col("best")), ratio), 6).alias("score"))
+    return _person_scores(spark, d).select("q_id", "g_pid", F.round(v.fused(v.identity_similarity(F.col("cen"), F.col("best")), ratio), 9).alias("score"))
 
 
 @query("f18_score_variants", f"""WITH {_PERSON}, x AS (SELECT q_pid = g_pid AS same, cen AS centroid, best, greatest(cen, 0.9 * best) AS hybrid, 0.85 * greatest(cen, 0.9 * best) + 0.15 * cen AS hybrid_ratio FROM ps WHERE q_pid >= 0)
@@ -233,7 +233,7 @@ def f18(spark, d):
     return long.groupBy("variant").agg(F.round(F.avg(F.when(F.col("same"), F.col("score"))) - F.avg(F.when(~F.col("same"), F.col("score"))), 6).alias("separation"))
 
 
-@query("w1_ranking_runner_up", f"WITH {_PERSON}, r AS (SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 6) AS s FROM ps) SELECT q_id, g_pid AS best, s AS s1, coalesce(lead(s) OVER w, 0) AS s2 FROM r WINDOW w AS (PARTITION BY q_id ORDER BY s DESC, g_pid) QUALIFY row_number() OVER w = 1")
+@query("w1_ranking_runner_up", f"WITH {_PERSON}, r AS (SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 7) AS s FROM ps) SELECT q_id, g_pid AS best, s AS s1, coalesce(lead(s) OVER w, 0) AS s2 FROM r WINDOW w AS (PARTITION BY q_id ORDER BY s DESC, g_pid) QUALIFY row_number() OVER w = 1")
 def w1(spark, d):
     return identity_ranking(spark, d).select("q_id", F.col("g_pid").alias("best"), "s1", "s2")
 
@@ -241,12 +241,12 @@ def w1(spark, d):
 def identity_ranking(spark, d):
     from pyspark.sql import Window
 
-    s = _person_scores(spark, d).withColumn("s", F.round(v.identity_similarity(F.col("cen"), F.col("best")), 6))
+    s = _person_scores(spark, d).withColumn("s", F.round(v.identity_similarity(F.col("cen"), F.col("best")), 7))
     w = Window.partitionBy("q_id").orderBy(F.col("s").desc(), "g_pid")
     return s.withColumn("s2", F.coalesce(F.lead("s").over(w), F.lit(0.0))).withColumn("_r", F.row_number().over(w)).where("_r = 1").withColumnRenamed("s", "s1")
 
 
-@query("w2_decision", f"WITH {_PERSON}, r AS (SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 6) AS s FROM ps), t AS (SELECT q_id, g_pid, s, coalesce(lead(s) OVER w, 0) AS s2 FROM r WINDOW w AS (PARTITION BY q_id ORDER BY s DESC, g_pid) QUALIFY row_number() OVER w = 1) SELECT q_id, CASE WHEN s < 0.2 THEN 'new' WHEN s >= 0.3 AND s - s2 >= 0.02 THEN 'matched' ELSE 'provisional' END AS outcome FROM t")
+@query("w2_decision", f"WITH {_PERSON}, r AS (SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 7) AS s FROM ps), t AS (SELECT q_id, g_pid, s, coalesce(lead(s) OVER w, 0) AS s2 FROM r WINDOW w AS (PARTITION BY q_id ORDER BY s DESC, g_pid) QUALIFY row_number() OVER w = 1) SELECT q_id, CASE WHEN s < 0.2 THEN 'new' WHEN s >= 0.3 AND s - s2 >= 0.02 THEN 'matched' ELSE 'provisional' END AS outcome FROM t")
 def w2(spark, d):
     gap = F.col("s1") - F.col("s2")
     return identity_ranking(spark, d).select("q_id", F.when(F.col("s1") < 0.2, "new").when((F.col("s1") >= 0.3) & (gap >= 0.02), "matched").otherwise("provisional").alias("outcome"))
