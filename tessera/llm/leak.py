@@ -20,7 +20,10 @@ SHINGLE = 5
 TILE = 3
 BLOCK_WORDS = 200_000
 
-_DROP = re.compile(r"(?<=\d)[.,](?=\d)|['*_~`]|-[ \t]*\r?\n[>|# \t]*|(?<=\w)-(?=\w)")
+_POINT = re.compile(r"[.,](?<=\d.)(?=\d)")
+_HYPHEN = re.compile(r"-(?:[ \t]*\r?\n[>|# \t]*|(?<=\w-)(?=\w))")
+_MARKS = dict.fromkeys(map(ord, "'*_~`"))
+_ACCENT = re.compile(f"[{chr(0x300)}-{chr(0x36F)}]+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _NOTE = re.compile(r"\[\^?\w{1,4}\]|\]\([^()\s]*\)")
 _WORD = re.compile(r"\w+")
@@ -44,7 +47,8 @@ def words_of(text: str) -> list[str]:
     """
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text.translate(_LOOK)).lower().translate(_LOOK)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        if not text.isascii():
+            text = _ACCENT.sub("", unicodedata.normalize("NFD", text))
     else:
         text = text.lower()
     if "&" in text:
@@ -53,7 +57,8 @@ def words_of(text: str) -> list[str]:
         text = _TAG.sub(" ", text)
     if "[" in text:
         text = _NOTE.sub(" ", text)
-    return _WORD.findall(_DROP.sub("", text))
+    text = _POINT.sub("", text.translate(_MARKS))
+    return _WORD.findall(_HYPHEN.sub("", text) if "-" in text else text)
 
 
 def tiles(doc: list[int], item: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
@@ -124,6 +129,47 @@ def longest_passage(doc: list[int], item: list[int], min_words: int, one_in: int
     return most
 
 
+def seeded_diagonals(at_item: np.ndarray, at_doc: np.ndarray, item_words: int, min_words: int, one_in: int) -> Iterator[int]:
+    """Diagonals on which, by the seeds (shingle starts) alone, a passage may begin.
+
+    A stretch of w words with at most w / one_in edits keeps w - SHINGLE * (w // one_in) - SHINGLE + 1 whole shingles,
+    and all of them lie on diagonals no farther apart than its edits.
+    """
+    order = np.lexsort((at_doc, at_item))
+    item, diagonal = at_item[order].tolist(), (at_doc - at_item)[order].tolist()
+    reach, told = item_words // one_in, set()
+    for a in range(len(item)):
+        if diagonal[a] in told:
+            continue
+        n, before = 0, -1
+        for b in range(a, len(item)):
+            if abs(diagonal[b] - diagonal[a]) > reach or item[b] == before:
+                continue
+            n, before = n + 1, item[b]
+            w = max(min_words, item[b] - item[a] + SHINGLE)
+            if n >= w - SHINGLE * (w // one_in) - SHINGLE + 1:
+                told.add(diagonal[a])
+                yield diagonal[a]
+                break
+
+
+def enough_words(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: int, one_in: int) -> bool:
+    """Whether enough of some stretch's words stand near their place in the document, in whatever order."""
+    n, reach = len(item), len(item) // one_in
+    wide = np.zeros(n + 2 * reach, doc.dtype)
+    lo = diagonal - reach
+    a, z = max(0, lo), min(len(doc), lo + len(wide))
+    if z <= a:
+        return False
+    wide[a - lo : z - lo] = doc[a:z]
+    near = (np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1) == item[:, None]).any(axis=1)
+    if n < min_words:
+        return False
+    # A word counts 1, a missing one 1 - one_in: a stretch is good if its sum is not negative.
+    upto = np.concatenate([[0], np.cumsum(np.where(near, 1, 1 - one_in))])
+    return bool((np.minimum.accumulate(upto[: n + 1 - min_words]) <= upto[min_words:]).any())
+
+
 class ItemIndex:
     """Word ids, shingle hashes and positions of a block of items."""
 
@@ -134,10 +180,11 @@ class ItemIndex:
         self.base = np.random.default_rng(7).integers(1 << 62, size=SHINGLE, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         flat = np.array(list(chain.from_iterable([*w, 0] for w in self.words)), np.int64)
         owner = np.repeat(np.arange(len(items)), [len(w) + 1 for w in self.words])
+        place = np.concatenate([np.arange(len(w) + 1) for w in self.words]) if self.words else np.zeros(0, np.int64)
         h, ok = self.rolling(flat)
         at = np.flatnonzero(ok)
         order = np.argsort(h[at], kind="stable")
-        self.hashes, self.owner = h[at][order], owner[at][order]
+        self.hashes, self.owner, self.place = h[at][order], owner[at][order], place[at][order]
 
     def rolling(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the shingle at each place, and whether all of its words are known."""
@@ -169,7 +216,7 @@ class ItemIndex:
         n = (hi - lo)[hit]
         pos = np.repeat(place[hit], n)
         first = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.owner[first]
+        item, at_item = self.owner[first], self.place[first]
         text = np.searchsorted(np.array(starts), pos, "right") - 1
         # Of w words with w / one_in edits at least w - SHINGLE * edits - SHINGLE + 1 shingles stay whole.
         need = max(1, min(w - SHINGLE * (w // one_in) - SHINGLE + 1 for w in range(min_words, 4 * min_words)))
@@ -179,12 +226,18 @@ class ItemIndex:
         ends = np.cumsum(count)
         for p in np.flatnonzero(count >= need):
             t, i = divmod(int(pair[p]), len(self.ids))
-            seeds = np.sort(pos[order[ends[p] - count[p] : ends[p]]]) - starts[t]
+            of = order[ends[p] - count[p] : ends[p]]
+            of = of[np.argsort(pos[of], kind="stable")]
+            seeds, on_item = pos[of] - starts[t], at_item[of]
             words, reach = self.words[i], len(self.words[i]) + len(self.words[i]) // one_in + 1
             most = 0
-            for part in np.split(seeds, np.flatnonzero(np.diff(seeds) > reach) + 1):
-                if len(part) >= need:
-                    a, z = max(0, int(part[0]) - reach), int(part[-1]) + SHINGLE + reach
+            cuts = np.flatnonzero(np.diff(seeds) > reach) + 1
+            for part, other in zip(np.split(seeds, cuts), np.split(on_item, cuts)):
+                if len(part) < need:
+                    continue
+                a, z = max(0, int(part[0]) - reach), int(part[-1]) + SHINGLE + reach
+                near, of_item = np.array(rows[t][a:z], np.int64), np.array(words, np.int64)
+                if any(enough_words(near, of_item, g, min_words, one_in) for g in seeded_diagonals(other, part - a, len(words), min_words, one_in)):
                     most = max(most, longest_passage(rows[t][a:z], words, min_words, one_in))
             if most:
                 out.append((t, self.ids[i], most))
