@@ -14,7 +14,7 @@ from tessera.operators.folds import ordered_fold, schema_of
 from tessera.operators.gates import class_conf_ok
 from tessera.operators.matching import attached
 from tessera.operators.ordered import with_island
-from tessera.operators.suppression import overlaps
+from tessera.operators.suppression import overlap_grid
 
 
 @dataclass
@@ -30,17 +30,25 @@ def persist(tracks: list[Seen], labels: list[str], boxes: np.ndarray, p: Verific
 
     A track takes the first free detection of its label that overlaps enough, and its box; the others age.
     """
-    free = [True] * len(labels)
-    for t in tracks:
-        hit = next((i for i, same in enumerate(overlaps(t.box, boxes, clamp=True) >= p.same_iou) if same and free[i] and labels[i] == t.label), None) if len(labels) else None
-        if hit is None:
-            t.missed += 1
+    def same() -> np.ndarray:
+        """Which tracks could be which detections."""
+        if not tracks or not len(labels):
+            return np.zeros((len(tracks), len(labels)), bool)
+        near = overlap_grid(np.stack([t.box for t in tracks]), boxes, clamp=True) >= p.same_iou
+        return near & (np.array([t.label for t in tracks])[:, None] == np.array(labels)[None, :])
+
+    free = np.ones(len(labels), bool)
+    for t, could in zip(tracks, same()):
+        hits = np.flatnonzero(could & free)
+        if len(hits):
+            free[hits[0]] = False
+            t.box, t.seen, t.missed = boxes[hits[0]], t.seen + 1, 0
         else:
-            free[hit] = False
-            t.box, t.seen, t.missed = boxes[hit], t.seen + 1, 0
-    tracks += [Seen(labels[i], boxes[i]) for i, f in enumerate(free) if f]
+            t.missed += 1
+    tracks += [Seen(labels[i], boxes[i]) for i in np.flatnonzero(free)]
     tracks[:] = [t for t in tracks if t.missed < p.forget_after]
-    return [next((t.seen for t in tracks if t.label == lab and overlaps(t.box, boxes[i : i + 1], clamp=True)[0] >= p.same_iou), 0) for i, lab in enumerate(labels)]
+    now = same()
+    return [tracks[int(now[:, i].argmax())].seen if now[:, i].any() else 0 for i in range(len(labels))]
 
 
 def persistence(candidates: DataFrame, p: Verification = VERIFICATION) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tessera.operators.folds import schema_of, whole_groups
+
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of least total cost; the smaller side is matched whole.
@@ -51,19 +53,24 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _grouped(df: DataFrame, keys: list[str], left: str, right: str, cost: str, fn, out: str) -> DataFrame:
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    kinds = [df.schema[c].dataType.simpleString() for c in (left, right)]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(pdf[left].unique()), sorted(pdf[right].unique())
-        grid = pdf.pivot_table(index=left, columns=right, values=cost, aggfunc="min").reindex(index=rows, columns=cols).to_numpy(float)
-        found = [(rows[i], cols[j], v) for i, j, v in fn(grid)]
-        got = pd.DataFrame(found, columns=[left, right, out])
-        for i, k in enumerate(keys):
-            got.insert(i, k, pdf[k].iloc[0])
-        return got
-
-    return df.select(*keys, left, right, cost).groupBy(*keys).applyInPandas(solve, f"{schema}, {left} {kinds[0]}, {right} {kinds[1]}, {out} double")
+    """``fn`` turns each group's grid of costs (not a number where there is no pair) into rows, columns and values."""
+    def solve(b: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        lefts, rights, costs = b[left].to_numpy(), b[right].to_numpy(), b[cost].to_numpy(float)
+        at, chosen_l, chosen_r, values = [], [], [], []
+        for a, z in bounds:
+            rows, ri = np.unique(lefts[a:z], return_inverse=True)
+            cols, ci = np.unique(rights[a:z], return_inverse=True)
+            grid = np.full((len(rows), len(cols)), np.nan)
+            grid[ri, ci] = costs[a:z]
+            for i, j, v in fn(grid):
+                at.append(a)
+                chosen_l.append(rows[i])
+                chosen_r.append(cols[j])
+                values.append(v)
+        got = b[keys].iloc[at].reset_index(drop=True)
+        return got.assign(**{left: np.array(chosen_l, lefts.dtype), right: np.array(chosen_r, rights.dtype), out: np.array(values, float)})
+
+    return whole_groups(df.select(*keys, left, right, cost), keys, solve, f"{schema_of(df.select(*keys, left, right))}, {out} double")
 
 
 def assign_overlaps(pairs: DataFrame, keys: list[str], left: str, right: str, least: float = 0.5) -> DataFrame:

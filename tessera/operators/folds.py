@@ -60,3 +60,39 @@ def ordered_fold(
 
 def schema_of(df: DataFrame, columns: list[str] | None = None) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if columns is None or f.name in columns)
+
+
+def whole_groups(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame, list[tuple[int, int]]], pd.DataFrame], schema: str) -> DataFrame:
+    """Passes batches of whole groups to ``fn`` with the places where each group begins and ends.
+
+    For many small groups, such as frames: one call and one result per batch, and not per group. A group must fit a
+    task's memory.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+
+        def cuts(b: pd.DataFrame) -> np.ndarray:
+            new = np.zeros(len(b), bool)
+            for k in keys:
+                c = pd.factorize(b[k], use_na_sentinel=True)[0]
+                new[1:] |= c[1:] != c[:-1]
+            return np.flatnonzero(new)
+
+        def call(b: pd.DataFrame, at: np.ndarray) -> Iterator[pd.DataFrame]:
+            if len(b):
+                edges = [0, *at.tolist(), len(b)]
+                yield fn(b, list(zip(edges, edges[1:])))
+
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            at = cuts(b)
+            if not len(at):
+                rest = b
+                continue
+            last = int(at[-1])
+            yield from call(b.iloc[:last], at[:-1])
+            rest = b.iloc[last:]
+        if rest is not None:
+            yield from call(rest, cuts(rest))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

@@ -7,19 +7,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.folds import ordered_fold, schema_of
+from tessera.operators.folds import ordered_fold, schema_of, whole_groups
 
 
-def overlaps(box: np.ndarray, others: np.ndarray, clamp: bool = False) -> np.ndarray:
-    """Intersection over union of one box with many; ``clamp`` takes every area as at least 1."""
-    w = np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0])
-    h = np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1])
+def overlap_grid(a: np.ndarray, b: np.ndarray, clamp: bool = False) -> np.ndarray:
+    """Intersection over union of every box of ``a`` with every one of ``b``; ``clamp`` takes each area as at least 1."""
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
     inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-    low = 1.0 if clamp else 0.0
-    union = max(low, (box[2] - box[0]) * (box[3] - box[1])) + np.maximum(low, (others[:, 2] - others[:, 0]) * (others[:, 3] - others[:, 1])) - inter
+    area = [(x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (a, b)]
+    if clamp:
+        area = [np.maximum(1.0, x) for x in area]
+    union = area[0][:, None] + area[1][None, :] - inter
     return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
 
 
+def overlaps(box: np.ndarray, others: np.ndarray, clamp: bool = False) -> np.ndarray:
+    return overlap_grid(np.asarray(box)[None, :], others, clamp)[0]
+
+
 def kept_boxes(boxes: np.ndarray, order: np.ndarray, above: float) -> np.ndarray:
     """Which boxes stay if, in ``order``, each that stays removes the later ones that overlap it by more than ``above``."""
     keep = np.zeros(len(boxes), bool)
@@ -36,11 +42,14 @@ def suppress_duplicates(df: DataFrame, keys: list[str], row_id: str, above: floa
 
     The rule is recursive, a box that is removed removes none, so it is a fold per frame. Frames are spread over tasks.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf[row_id], -pdf["conf"], ~pdf["matched"].astype(bool)))
-        return pdf[kept_boxes(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), order, above)]
-
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    def fold(b: pd.DataFrame, bounds: list[tuple[int, int]]) -> pd.DataFrame:
+        boxes, ids, conf, loose = b[["x1", "y1", "x2", "y2"]].to_numpy(float), b[row_id].to_numpy(), -b["conf"].to_numpy(float), ~b["matched"].to_numpy(bool)
+        keep = np.zeros(len(b), bool)
+        for a, z in bounds:
+            keep[a:z] = kept_boxes(boxes[a:z], np.lexsort((ids[a:z], conf[a:z], loose[a:z])), above)
+        return b[keep]
+
+    return whole_groups(df, keys, fold, schema_of(df))
 
 
 def farthest_points(feats: np.ndarray, k: int) -> list[int]:

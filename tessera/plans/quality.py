@@ -285,12 +285,12 @@ def c9(spark, d):
     return parsed.where("l is not null").select("image_id", "l.cls", F.round("l.cx", 4).alias("cx"), F.round("l.w", 4).alias("w"))
 
 
-@query("c11_person_labels", f"WITH {PEOPLE} SELECT k AS image_id, 0 AS cls, round((x1 + x2) / 2 / 640, 6) AS cx, round((y1 + y2) / 2 / 480, 6) AS cy, round((x2 - x1) / 640, 6) AS w, round((y2 - y1) / 480, 6) AS h FROM people WHERE k % 3 = 1 AND k % 5 <> 0")
+@query("c11_person_labels", f"WITH {PEOPLE} SELECT k AS image_id, 0 AS cls, round((x1 + x2) / 2 / 640, 9) AS cx, round((y1 + y2) / 2 / 480, 9) AS cy, round((x2 - x1) / 640, 9) AS w, round((y2 - y1) / 480, 9) AS h FROM people WHERE k % 3 = 1 AND k % 5 <> 0")
 def c11(spark, d):
     p = people(spark, d)
     images = p.select(F.col("k").alias("id"), F.lit(640).alias("width"), F.lit(480).alias("height"))
     ann = p.select(F.col("k").alias("image_id"), (F.col("k") % 3).alias("category_id"), F.when(F.col("k") % 5 == 0, 1).otherwise(0).alias("iscrowd"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"))
-    return tables.person_labels(images, ann).select("image_id", "cls", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")])
+    return tables.person_labels(images, ann).select("image_id", "cls", *[F.round(c, 9).alias(c) for c in ("cx", "cy", "w", "h")])
 
 
 @query("c13_class_report", f"WITH {_LINES}, s AS (SELECT coalesce(src, '?') AS source, b.cls AS cls FROM lb JOIN pool USING (image_id)) SELECT source, cls, CASE cls WHEN 0 THEN 'guns' WHEN 1 THEN 'knife' WHEN 2 THEN 'long_gun' END AS name, count(*) AS n, cls NOT BETWEEN 0 AND 2 AS stray FROM s GROUP BY source, cls")

@@ -100,8 +100,18 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, empty: an empty label file says there is nothing; a missing one says nothing."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), (F.col("length") == 0).alias("empty"))
+    """file, empty: an empty label file says there is nothing; a missing one says nothing.
+
+    Scans leave out empty files, so names and lengths come from the file system's listing, as for Spark's own index.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName().endswith(".txt"):
+            found.append((f.getPath().toString(), f.getLen() == 0))
+    return spark.createDataFrame(found, "file string, empty boolean")
 
 
 def class_names(path: str) -> list[str] | None:

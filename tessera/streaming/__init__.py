@@ -1,0 +1 @@
+"""The state machines of the batch operators over streams."""
