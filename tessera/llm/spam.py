@@ -102,23 +102,22 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     for w, c in content.items():
         what[w] |= (4 if c >= 4 and c >= 0.07 * m else 0) | (8 if c >= 2 else 0)
     flags = np.fromiter(map(what.__getitem__, words), np.int64, n)
-    is_f, is_n, is_h, is_r = ((flags & b > 0).astype(float) for b in (1, 2, 4, 8))
-    code = np.repeat([c for _, c in lines], [len(ws) for ws, _ in lines])
+    # Sums over the words up to ``half`` places away, for all four kinds at once.
     half = 6
-    last, first = np.minimum(np.arange(n) + half + 1, n), np.maximum(np.arange(n) - half, 0)
-    width = last - first
-
-    def around(x: np.ndarray) -> np.ndarray:
-        s = np.concatenate([[0.0], np.cumsum(x)])
-        return s[last] - s[first]
-
-    listing = (around(is_f) <= 1) & (around(is_n) / width < 0.3) & (around(is_r) / width >= 0.3)
-    stuffed = (around(is_h) / width >= 0.3) & (around(is_n) / width < 0.3)
-    term = (listing | stuffed) & ~code & (width > half)
+    upto = np.zeros((4, n + 2 * half + 1), np.int64)
+    np.cumsum(flags[None, :] >> np.arange(4)[:, None] & 1, axis=1, out=upto[:, half + 1 : half + 1 + n])
+    upto[:, half + 1 + n :] = upto[:, half + n, None]
+    near_f, near_n, near_h, near_r = upto[:, 2 * half + 1 :] - upto[:, :n]
+    width = np.minimum(np.arange(n) + half + 1, n) - np.maximum(np.arange(n) - half, 0)
+    code = np.repeat([c for _, c in lines], [len(ws) for ws, _ in lines])
+    plain = near_n < 0.3 * width
+    listing = (near_f <= 1) & (near_r >= 0.3 * width)
+    stuffed = near_h >= 0.3 * width
+    term = (listing | stuffed) & plain & ~code & (width > half)
     size = np.fromiter(map(len, words), float, n)
     # Shares are of the visible characters; what is no letter or digit is shared out over the words.
     rest = max(0, total - links - tags) / total
-    return own, [float(is_f.mean()), entropy, repeated, min(1.0, links / total), float((size * term).sum() / size.sum()) * rest, min(1.0, tags / total)]
+    return own, [float(np.count_nonzero(flags & 1) / n), entropy, repeated, min(1.0, links / total), float((size * term).sum() / size.sum()) * rest, min(1.0, tags / total)]
 
 
 def text_features(docs: DataFrame) -> DataFrame:
