@@ -78,13 +78,9 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
         links = min(total, links + sum(len("".join(t.split())) for t in re.findall(r"</?(?:ul|ol|li|a)\b[^<>]*>", text) if "href" not in t) // 4)
     words = [w for ws, _ in lines for w in ws]
     seen = Counter(words)
-    hits = dict.fromkeys(_BIT, 0)
-    for w, c in seen.items():
-        mask = _MASK.get(w)
-        if mask:
-            for k, bit in _BIT.items():
-                if mask & bit:
-                    hits[k] += c
+    count = np.fromiter(seen.values(), np.int64, len(seen))
+    mask = np.fromiter((_MASK.get(w, 0) for w in seen), np.int64, len(seen))
+    hits = {k: int(count[mask & bit > 0].sum()) for k, bit in _BIT.items()}
     best = max(hits.values())
     lang = (lang or "").lower()
     own = lang if lang in hits and hits[lang] >= 0.8 * best else max(hits, key=lambda k: (hits[k], k == "en"))
@@ -93,15 +89,16 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     n = len(words)
     if not n:
         return own, [0.0, 0.0, 0.0, links / total, 0.0, tags / total]
-    content = {w: c for w, c in seen.items() if not _MASK.get(w, 0) & used and not w.isdigit()}
-    m = sum(content.values())
-    entropy = -sum(c / m * math.log2(c / m) for c in content.values()) / math.log2(max(2, m)) if m else 0.0
-    repeated = sum(c for c in content.values() if c >= 3) / n
     # What each word is: 1 function word, 2 number, 4 heavy term, 8 term that comes again.
-    what = {w: (1 if _MASK.get(w, 0) & used else 0) | (2 if w.isdigit() else 0) for w in seen}
-    for w, c in content.items():
-        what[w] |= (4 if c >= 4 and c >= 0.07 * m else 0) | (8 if c >= 2 else 0)
-    flags = np.fromiter(map(what.__getitem__, words), np.int64, n)
+    digit = np.fromiter(map(str.isdigit, seen), bool, len(seen))
+    function = mask & used > 0
+    content = ~function & ~digit
+    c = count[content]
+    m = int(c.sum())
+    entropy = float(-(c / m * np.log2(c / m)).sum()) / math.log2(max(2, m)) if m else 0.0
+    repeated = float(c[c >= 3].sum()) / n
+    what = function + 2 * digit + content * (4 * ((count >= 4) & (count >= 0.07 * m)) + 8 * (count >= 2))
+    flags = np.fromiter(map(dict(zip(seen, what.tolist())).__getitem__, words), np.int64, n)
     # Sums over the words up to ``half`` places away, for all four kinds at once.
     half = 6
     upto = np.zeros((4, n + 2 * half + 1), np.int64)
