@@ -25,6 +25,8 @@ FEATURES = ["function_words", "entropy", "repeated", "links", "terms", "tags"]
 FLOOR = 0.05
 #: Upper 0.1 % point of chi-square with as many degrees of freedom as there are features.
 CUT = 22.458
+#: Words from a stuffed term to its next mention.
+CLOSE = 9
 
 _BIT = {k: 1 << i for i, k in enumerate(FUNCTION_WORDS)}
 _MASK: dict[str, int] = {}
@@ -99,6 +101,12 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     repeated = float(c[c >= 3].sum()) / n
     what = function + 2 * digit + content * (4 * ((count >= 4) & (count >= 0.07 * m)) + 8 * (count >= 2))
     flags = np.fromiter(map(dict(zip(seen, what.tolist())).__getitem__, words), np.int64, n)
+    # A term is stuffed where it comes again within a few words; a repeated sentence repeats its words farther apart.
+    for w in [w for w, x in zip(seen, what.tolist()) if x & 4]:
+        at = np.fromiter((i for i, x in enumerate(words) if x == w), np.int64)
+        close = np.diff(at) <= CLOSE
+        alone = at[~(np.concatenate([[False], close]) | np.concatenate([close, [False]]))]
+        flags[alone] &= ~4
     # Sums over the words up to ``half`` places away, for all four kinds at once.
     half = 6
     upto = np.zeros((4, n + 2 * half + 1), np.int64)
