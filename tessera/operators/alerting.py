@@ -38,8 +38,9 @@ def persist(tracks: list[Seen], labels: list[str], boxes: np.ndarray, p: Verific
         return near & (np.array([t.label for t in tracks])[:, None] == np.array(labels)[None, :])
 
     free = np.ones(len(labels), bool)
-    for t, could in zip(tracks, same()):
-        hits = np.flatnonzero(could & free)
+    could = same()
+    for t, any_, row in zip(tracks, could.any(axis=1).tolist(), could):
+        hits = np.flatnonzero(row & free) if any_ else ()
         if len(hits):
             free[hits[0]] = False
             t.box, t.seen, t.missed = boxes[hits[0]], t.seen + 1, 0
@@ -47,8 +48,10 @@ def persist(tracks: list[Seen], labels: list[str], boxes: np.ndarray, p: Verific
             t.missed += 1
     tracks += [Seen(labels[i], boxes[i]) for i in np.flatnonzero(free)]
     tracks[:] = [t for t in tracks if t.missed < p.forget_after]
+    if not len(labels):
+        return []
     now = same()
-    return [tracks[int(now[:, i].argmax())].seen if now[:, i].any() else 0 for i in range(len(labels))]
+    return [tracks[k].seen if any_ else 0 for k, any_ in zip(now.argmax(axis=0).tolist(), now.any(axis=0).tolist())]
 
 
 def persistence(candidates: DataFrame, p: Verification = VERIFICATION) -> DataFrame:
@@ -57,13 +60,15 @@ def persistence(candidates: DataFrame, p: Verification = VERIFICATION) -> DataFr
     Columns: stream_id, frame_id, cand_id, label and a box. A missing frame number is an empty cycle.
     """
     def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for frame, part in pdf.groupby("frame_id", sort=False):
+        out: list[int] = []
+        frames, labels, boxes = pdf["frame_id"].to_numpy(), pdf["label"].tolist(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        edges = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
+        for a, z in zip(edges, edges[1:]):
             before = state.get("frame")
-            for _ in range(0 if before is None else min(int(frame - before - 1), p.forget_after)):
+            for _ in range(0 if before is None else min(int(frames[a] - before - 1), p.forget_after)):
                 persist(state["tracks"], [], np.zeros((0, 4)), p)
-            out += persist(state["tracks"], part["label"].tolist(), part[["x1", "y1", "x2", "y2"]].to_numpy(float), p)
-            state["frame"] = frame
+            out += persist(state["tracks"], labels[a:z], boxes[a:z], p)
+            state["frame"] = frames[a]
         return pdf.assign(seen=out)
 
     return ordered_fold(candidates, ["stream_id"], ["frame_id", "cand_id"], lambda: {"tracks": []}, step, schema_of(candidates) + ", seen int", whole="frame_id")
