@@ -26,6 +26,7 @@ def units(records: DataFrame, ws: Workspace, known: DataFrame | None = None) ->
     own = F.array(F.concat(F.lit("#"), F.col("record_id").cast("string")))
     r = records.where("record_id is not null").dropDuplicates(["record_id"])
     r = r.select("record_id", "split", F.when(F.size(F.coalesce("keys", F.array().cast("array<string>"))) > 0, F.col("keys")).otherwise(own).alias("keys"))
+    r = ws.table(r)
     long = r.select("record_id", F.explode("keys").alias("key"))
     vertex = long.groupBy("key").agg(F.min("record_id").alias("vertex"))
     if known is not None:
