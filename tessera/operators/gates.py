@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import ADMISSION, ASSOCIATION, FRAME, VERIFICATION, Admission, Verification
 from tessera.functions.geometry import HIPS, SHOULDERS, WRISTS, Box, centre, clipped, distance, landmark
 
-__all__ = ["HIPS", "person_box", "weapon_shape", "embeddable", "admission_reason", "touches_border", "render_decision", "class_conf_ok", "arm_raised", "track_colour", "near_wrist", "time_holdout", "under_delivered"]
+__all__ = ["HIPS", "person_box", "weapon_shape", "embeddable", "admission_reason", "touches_border", "render_decision", "class_conf_ok", "arm_raised", "track_colour", "near_wrist", "time_holdout", "under_delivered", "vetoed", "expired"]
 
 
 def person_box(b: Box, cls: Column, conf: Column, least_conf: float = 0.3) -> Column:
@@ -100,3 +100,13 @@ def time_holdout(df: DataFrame, group: str, order: str, first_share: float = 0.7
 def under_delivered(frames: Column, seconds: Column, requested_fps: Column, share: float = 0.5) -> Column:
     """A capture that reached less than ``share`` of the requested rate."""
     return F.coalesce(F.try_divide(frames, seconds), F.lit(0.0)) < requested_fps * F.lit(share)
+
+
+def vetoed(similarity: Column, gap: Column, least: float = 0.6636, from_gap: int = 2) -> Column:
+    """A track that comes back after a gap and does not look like the identity it holds."""
+    return (gap >= from_gap) & (similarity < least)
+
+
+def expired(active: Column, last_seen: Column, now: Column, ttl: float = 600.0) -> Column:
+    """An identity that no live track holds and that was last seen too long ago."""
+    return ~active & (now - last_seen > ttl)

@@ -150,3 +150,12 @@ def pair_scores(queries: DataFrame, gallery: DataFrame, block: int = 1024, place
         got = gallery.select("g_id", "g_pid", "g_cam", "feat").mapInPandas(run, schema)
         out = got if out is None else out.unionByName(got)
     return out
+
+
+def evicted(df: DataFrame, ident: str, last_seen: str, active: str, capacity: int) -> DataFrame:
+    """The identities that leave when only ``capacity`` may stay: absent ones, seen longest ago first.
+
+    Of n identities n - ``capacity`` must go, or all absent ones if they are fewer.
+    """
+    n = df.count()
+    return df.where(~F.col(active)).orderBy(last_seen, ident).limit(max(0, n - capacity))

@@ -103,3 +103,21 @@ def chain_tracks(df: DataFrame, key: str, frame: str, row_id: str, stride: int =
     linked = ordered_fold(rows, [key], [frame, row_id], lambda: {"boxes": None, "ids": None, "frame": None, "count": 0}, step, schema_of(rows, [key, frame, row_id]) + ", track long", whole=frame)
     long = linked.groupBy(key, "track").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     return linked.join(long.drop("_n"), [key, "track"], "left_semi")
+
+
+def diverse_reservoir(df: DataFrame, key: str, order: str, room: int = 16) -> DataFrame:
+    """key, order of the samples that stay if each row in turn is offered to its key's store of ``room`` samples."""
+    from tessera.operators.identity import keep_diverse
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[np.ndarray] = []
+        ids: dict[int, int] = {}
+        for at, f in zip(pdf[order], pdf["feat"]):
+            v = np.asarray(f, float)
+            ids[id(v)] = at
+            keep_diverse(kept, v, room)
+        return pd.DataFrame({key: pdf[key].iloc[0], order: [ids[id(v)] for v in kept]})
+
+    return df.select(key, order, "feat").groupBy(key).applyInPandas(lambda pdf: fold(pdf.sort_values(order)), f"{key} {kinds[key]}, {order} {kinds[order]}")

@@ -406,3 +406,32 @@ def o40(spark, d):
 def o41(spark, d):
     p = presence(spark, d).where("level >= 2").select((F.col("person") % 4).alias("stream_id"), "event_id", "t_us")
     return alerting.deduplicated(p, ["stream_id"], "t_us", 12 * _HOUR, "event_id").select("stream_id", "event_id")
+
+
+@query("o23_diversity_reservoir")
+def o23(spark, d):
+    return suppression.diverse_reservoir(samples(spark, d), "person", "vec_id", 16)
+
+
+@query("o27_reid_veto", f"WITH {_PERSON} SELECT q_id, g_pid FROM ps WHERE q_pid = g_pid AND q_id % 4 >= 2 AND round(greatest(cen, 0.9 * best), 7) < 0.2")
+def o27(spark, d):
+    sim = F.round(v.identity_similarity(F.col("cen"), F.col("best")), 7)
+    return _person_scores(spark, d).where("q_pid = g_pid").where(gates.vetoed(sim, F.col("q_id") % 4, 0.2)).select("q_id", "g_pid")
+
+
+_LAST = f"{PRESENCE}, l AS (SELECT person, max(t_us) AS seen, person % 3 = 0 AS active FROM presence GROUP BY person), n AS (SELECT max(t_us) AS now FROM presence)"
+
+
+def _last_seen(spark, d):
+    return presence(spark, d).groupBy("person").agg(F.max("t_us").alias("seen")).withColumn("active", F.col("person") % 3 == 0)
+
+
+@query("o32_ttl_expiry", f"WITH {_LAST} SELECT person FROM l, n WHERE NOT active AND now - seen > {4 * _HOUR}")
+def o32(spark, d):
+    now = presence(spark, d).agg(F.max("t_us").alias("now"))
+    return _last_seen(spark, d).crossJoin(F.broadcast(now)).where(gates.expired(F.col("active"), F.col("seen"), F.col("now"), 4 * _HOUR)).select("person")
+
+
+@query("o33_capacity_eviction", f"WITH {_LAST}, k AS (SELECT greatest(0, count(*) - 10) AS k FROM l) SELECT person FROM (SELECT person, row_number() OVER (ORDER BY seen, person) AS r FROM l WHERE NOT active), k WHERE r <= k")
+def o33(spark, d):
+    return matching.evicted(_last_seen(spark, d), "person", "seen", "active", 10).select("person")

@@ -2,7 +2,7 @@
 
 Each keeps the state of its batch twin per key. Rows are held until the watermark has passed them and then stepped
 through in order, so a stream gives what the batch operator gives on the same rows; rows later than the watermark are
-dropped by it. Frames are what the reference order is by, so event time only decides when a frame is complete.
+dropped by it. Rows are ordered by frame; event time only decides when a frame is complete.
 """
 
 from __future__ import annotations
