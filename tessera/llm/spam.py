@@ -117,7 +117,7 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     code = np.repeat([c for _, c in lines], [len(ws) for ws, _ in lines])
     plain = near_n < 0.3 * width
     listing = (near_f <= 1) & (near_r >= 0.3 * width)
-    stuffed = near_h >= 0.3 * width
+    stuffed = near_h >= 0.2 * width
     term = (listing | stuffed) & plain & ~code & (width > half)
     size = np.fromiter(map(len, words), float, n)
     # Shares are of the visible characters; what is no letter or digit is shared out over the words.
