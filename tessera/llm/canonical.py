@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Look-alike letters, accented letters, digits typed for letters, and words curators add to a name.
@@ -78,8 +78,10 @@ def map_values(
     dots = vg.join(index, ["field", "g"]).groupBy("field", "s", "ref_id", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(v_norm, ["field", "s"]).join(r_norm, ["field", "ref_id", "name"]).select("field", "s", "ref_id", "name", (F.col("dot") / (F.col("vn") * F.col("rn"))).alias("score"))
     per_entry = scored.groupBy("field", "s", "ref_id").agg(F.max(F.struct("score", "name")).alias("b"))
-    ranked = per_entry.groupBy("field", "s").agg(F.max(F.struct("b", "ref_id")).alias("top"), F.max_by("b.score", F.struct("b", "ref_id")).alias("best"), F.slice(F.reverse(F.array_sort(F.collect_list("b.score"))), 1, 2).alias("two"))
-    best = ranked.select("field", "s", F.col("top.ref_id").alias("ref_id"), F.col("top.b.name").alias("name"), F.col("best").alias("score"), (F.col("best") - F.coalesce(F.get("two", F.lit(1)), F.lit(0.0))).alias("lead"))
+    w = Window.partitionBy("field", "s").orderBy(F.col("b.score").desc(), F.col("b.name").desc(), F.col("ref_id").desc())
+    two = per_entry.withColumn("k", F.row_number().over(w)).where("k <= 2")
+    ranked = two.groupBy("field", "s").agg(F.max(F.when(F.col("k") == 1, F.struct("ref_id", "b.name", "b.score"))).alias("top"), F.max(F.when(F.col("k") == 2, F.col("b.score"))).alias("next"))
+    best = ranked.select("field", "s", "top.ref_id", "top.name", "top.score", (F.col("top.score") - F.coalesce("next", F.lit(0.0))).alias("lead"))
     near = s.join(best, ["field", "s"]).withColumn("edits", F.array_min(F.transform(_turns(F.col("ws")), lambda t: F.levenshtein(t, F.col("name")))))
     size, letters = F.length("name"), lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
     loose = F.levenshtein(letters(F.col("s")), letters(F.col("name")))
