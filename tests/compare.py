@@ -5,10 +5,11 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def tidy(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
