@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Function words of the corpus' languages.
@@ -25,6 +25,8 @@ FEATURES = ["function_words", "entropy", "repeated", "links", "terms", "tags"]
 FLOOR = 0.05
 #: Upper 0.1 % point of chi-square with as many degrees of freedom as there are features.
 CUT = 22.458
+#: The group of all rows, beside the languages.
+ALL = "*"
 #: Words from a stuffed term to its next mention.
 CLOSE = 9
 
@@ -126,7 +128,7 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and a column per feature for each document with visible text; others give no row."""
+    """doc_id, lang, a column per feature and a hash of the text for each document with visible text; others give no row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,27 +137,38 @@ def text_features(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame([v for _, v in got], columns=FEATURES, index=b.index)
             out.insert(0, "lang", [k for k, _ in got])
             out.insert(0, "doc_id", b["doc_id"])
+            out["text_hash"] = b["text_hash"]
             yield out
 
-    rows = docs.where("text is not null").where(F.col("text").rlike(r"\S")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    return rows.mapInPandas(run, f"doc_id {kind}, lang string, {', '.join(f'{f} double' for f in FEATURES)}")
+    rows = docs.where("text is not null").where(F.col("text").rlike(r"\S")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInPandas(run, f"doc_id {kind}, lang string, {', '.join(f'{f} double' for f in FEATURES)}, text_hash long")
 
 
-def robust_distance(features: DataFrame, columns: list[str] = FEATURES, group: str = "lang", keep: float = 9.0, floor: float = FLOOR) -> DataFrame:
+def robust_distance(features: DataFrame, columns: list[str] = FEATURES, group: str = "lang", keep: float = 9.0, floor: float = FLOOR, once: str | None = None, ordinary: Column | None = None) -> DataFrame:
     """``features`` with ``distance``: squared Mahalanobis distance from the robust centre of the row's group.
 
-    All rows count. The first centre and spread of a group are the medians and the quartile ranges (bounded below by
-    ``floor``); rows within ``keep`` such spreads in every column then give mean and covariance, which are the
-    reweighted estimates. Groups are few (languages); only their statistics come to the driver, not rows. A group of
-    one row has distance 0, an empty table no row.
+    The first centre and spread of a group are the medians and the median deviations from them (bounded below by
+    ``floor``), which hold as long as less than half of the rows are of another kind; rows within ``keep`` such spreads
+    in every column then give mean and covariance, which are the reweighted estimates. Rows of a group that agree in
+    ``once`` count once, and rows that are not ``ordinary`` get a distance but have no part in the estimates, whatever
+    their number; a group without ordinary rows is measured against those of all groups, and where there are none at
+    all every distance is infinite. Groups are few (languages); only their statistics come to the driver, not rows. A
+    group of one ordinary row has distance 0, an empty table no row.
     """
-    q = features.groupBy(group).agg(*[F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(c) for c in columns])
-    start = q.select(group, *[F.col(c)[1].alias(f"m_{c}") for c in columns], *[F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(floor)).alias(f"s_{c}") for c in columns])
+    base = features if ordinary is None else features.where(ordinary)
+    if ordinary is not None:
+        base = base.unionByName(base.withColumn(group, F.lit(ALL)))
+    if once is not None:
+        base = base.dropDuplicates([group, once])
+    base = base.select(group, *columns)
+    middle = base.groupBy(group).agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"m_{c}") for c in columns])
+    off = base.join(F.broadcast(middle), group)
+    start = off.groupBy(group).agg(*[F.first(f"m_{c}").alias(f"m_{c}") for c in columns], *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000), F.lit(floor)).alias(f"s_{c}") for c in columns])
     inside = None
     for c in columns:
         near = F.abs(F.col(c) - F.col(f"m_{c}")) <= math.sqrt(keep) * F.col(f"s_{c}")
         inside = near if inside is None else inside & near
-    core = features.join(F.broadcast(start), group).where(inside)
+    core = base.join(F.broadcast(start), group).where(inside)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     stats = core.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.avg(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs]).collect()
     rows = []
@@ -167,6 +180,10 @@ def robust_distance(features: DataFrame, columns: list[str] = FEATURES, group: s
             cov[i, j] = cov[j, i] = r[f"{a}*{b}"] - mean[i] * mean[j]
         inverse = np.linalg.inv(cov + np.eye(len(columns)) * floor**2)
         rows.append((r[group], mean.tolist(), inverse.reshape(-1).tolist()))
+    if ordinary is not None:
+        own = {r[0]: r for r in rows}
+        found = [(k, own.get(k, own.get(ALL))) for (k,) in features.select(group).distinct().collect()]
+        rows = [(k, *r[1:]) for k, r in found if r is not None]
     model = features.sparkSession.createDataFrame(rows, f"{group} string, centre array<double>, inverse array<double>")
     x = F.array(*columns)
     out = features.join(F.broadcast(model), group, "left").withColumn("d", F.zip_with(x, "centre", lambda a, b: a - b))
@@ -176,17 +193,18 @@ def robust_distance(features: DataFrame, columns: list[str] = FEATURES, group: s
         for j in range(k):
             part = F.col("d")[i] * F.col("d")[j] * F.col("inverse")[i * k + j]
             quad = part if quad is None else quad + part
-    return out.withColumn("distance", F.coalesce(quad, F.lit(0.0))).drop("centre", "inverse", "d")
+    return out.withColumn("distance", F.coalesce(quad, F.lit(0.0 if ordinary is None else math.inf))).drop("centre", "inverse", "d")
 
 
 def spam_pages(docs: DataFrame, cut: float = CUT, share: float = 0.5) -> DataFrame:
     """doc_id, lang, the features, distance and spam_share of the pages that are spam.
 
     ``docs``: doc_id, text, lang. Null, empty and blank texts are no spam; a null or wrong lang is replaced by what the
-    text shows; repeated rows count once; an empty table gives no row.
+    text shows; repeated rows count once; copies of a text count once in the statistics; an empty table gives no row.
 
     Method: robust Mahalanobis distance per language over function-word density, entropy, repetition and the shares of
-    links, terms and tags. An outlier beyond ``cut`` is spam if it lies in the spam directions, which are the axes of
+    links, terms and tags, estimated from the pages whose spam share is at most ``share``: however many pages of a language
+    are spam, they can't become its centre. An outlier beyond ``cut`` is spam if it lies in the spam directions, which are the axes of
     the three shares: its projection on them, the share of the text they cover together, must exceed ``share``. Logs,
     tables, code and counts are outliers as well, but lie in other directions.
     """
@@ -194,7 +212,8 @@ def spam_pages(docs: DataFrame, cut: float = CUT, share: float = 0.5) -> DataFra
     from tessera.llm.workspace import Workspace
 
     feats = Workspace(spark).table(text_features(docs))
-    far = robust_distance(feats).withColumn("spam_share", F.col("links") + F.col("terms") + F.col("tags"))
+    of_spam = F.col("links") + F.col("terms") + F.col("tags")
+    far = robust_distance(feats, once="text_hash", ordinary=of_spam <= share).drop("text_hash").withColumn("spam_share", of_spam)
     got = far.where((F.col("distance") > cut) & (F.col("spam_share") > share))
     one = Window.partitionBy("doc_id").orderBy(F.col("spam_share").desc(), "lang")
     return got.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")

@@ -153,6 +153,18 @@ def test_spam_pages_of_a_corpus(spark):
     assert spam.spam_pages(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("clean,spam_rows", [(130, 70), (60, 140), (3, 40), (0, 40)])
+def test_spam_is_found_whatever_its_share_of_a_language(spark, clean, spam_rows):
+    r = random.Random(2)
+    links = "https://a.test/x1\nhttp://b.test/y2\nhttps://c.example/z?r=1\n"
+    for copies in (True, False):
+        rows = [(i, " ".join(r.sample(PROSE.split(), 30)) + ". " + PROSE, "en") for i in range(clean)]
+        rows += [(1000 + i, links if copies else links + f"https://d.test/{i}\n", "en") for i in range(spam_rows)]
+        rows += [(5000 + i, "El perro de la casa no estaba en el jardín porque la puerta era para los gatos. " * 2, "es") for i in range(20)]
+        got = {x["doc_id"] for x in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert got == set(range(1000, 1000 + spam_rows))
+
+
 def test_distance_is_that_of_numpy(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(400, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]])
