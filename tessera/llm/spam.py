@@ -46,6 +46,20 @@ _TAG = re.compile(r"<[^<>]*>")
 _CODE = re.compile(r"^\s*(?:def|return|if|else|for|while|class|import|from|elif|try|with)\b.*[:()=]|^\s*return\b|^\s*[\w.]+\s*[:=]\s*-?[\d.]+\b|^\s*#\s+\S")
 
 
+def heavy(at: np.ndarray, least: int = 4, share: float = 0.07) -> np.ndarray:
+    """Which mentions of a term lie in a stretch, of whatever length, with ``least`` mentions or more of which the term
+    makes up ``share`` of the content words. ``at``: their places among the content words."""
+    k = np.arange(len(at))
+    # Mentions i to j take at[j] - at[i] + 1 words, which may be at most (j - i + 1) / share.
+    spare = k / share - at
+    first = np.searchsorted(-np.minimum.accumulate(spare), -(spare + 1 / share - 1 + 1e-9), "left")
+    good = k - first >= least - 1
+    upto = np.zeros(len(at) + 1, np.int64)
+    np.add.at(upto, first[good], 1)
+    np.add.at(upto, k[good] + 1, -1)
+    return np.cumsum(upto[:-1]) > 0
+
+
 def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     """Language and feature values of a text with at least one visible character.
 
@@ -93,7 +107,7 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     n = len(words)
     if not n:
         return own, [0.0, 0.0, 0.0, links / total, 0.0, tags / total]
-    # What each word is: 1 function word, 2 number, 4 heavy term, 8 term that comes again.
+    # What each word is: 1 function word, 2 number, 4 heavy term by its own stretch of the text, 8 term that comes again.
     digit = np.fromiter(map(str.isdigit, seen), bool, len(seen))
     function = mask & used > 0
     content = ~function & ~digit
@@ -101,14 +115,21 @@ def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
     m = int(c.sum())
     entropy = float(-(c / m * np.log2(c / m)).sum()) / math.log2(max(2, m)) if m else 0.0
     repeated = float(c[c >= 3].sum()) / n
-    what = function + 2 * digit + content * (4 * ((count >= 4) & (count >= 0.07 * m)) + 8 * (count >= 2))
-    flags = np.fromiter(map(dict(zip(seen, what.tolist())).__getitem__, words), np.int64, n)
-    # A term is stuffed where it comes again within a few words; a repeated sentence repeats its words farther apart.
-    for w in [w for w, x in zip(seen, what.tolist()) if x & 4]:
-        at = np.fromiter((i for i, x in enumerate(words) if x == w), np.int64)
-        close = np.diff(at) <= CLOSE
-        alone = at[~(np.concatenate([[False], close]) | np.concatenate([close, [False]]))]
-        flags[alone] &= ~4
+    which = np.fromiter(map(dict(zip(seen, range(len(seen)))).__getitem__, words), np.int64, n)
+    flags = (function + 2 * digit + 8 * (content & (count >= 2)))[which]
+    often = content & (count >= 4)
+    if often.any():
+        said = np.cumsum(content[which])
+        spots = np.flatnonzero(often[which])
+        spots = spots[np.argsort(which[spots], kind="stable")]
+        # A term is stuffed where it comes again within a few words; a repeated sentence repeats its words farther apart.
+        other = np.diff(which[spots]) != 0
+        close = (np.diff(spots) <= CLOSE) & ~other
+        again = np.concatenate([[False], close]) | np.concatenate([close, [False]])
+        ends = np.concatenate([[0], np.flatnonzero(other) + 1, [len(spots)]])
+        for i in np.flatnonzero(np.add.reduceat(again, ends[:-1], dtype=np.int64)):
+            at, near = spots[ends[i] : ends[i + 1]], again[ends[i] : ends[i + 1]]
+            flags[at[near & heavy(said[at])]] |= 4
     # Sums over the words up to ``half`` places away, for all four kinds at once.
     half = 6
     upto = np.zeros((4, n + 2 * half + 1), np.int64)

@@ -143,6 +143,29 @@ def test_spam_share(text, want):
     assert (sum(spam.features_of(text, "en")[1][3:]) > 0.5) == want
 
 
+def _stuffed(term):
+    near = " ".join(f"{term} {x} w{term}{i}{j} {f}" for i in range(5) for j, (x, f) in enumerate([(f"u{term}{i}", "for"), (f"v{term}{i}", "in")]))
+    return near + ". "
+
+
+def test_stuffing_counts_whatever_the_length_of_the_page():
+    for n in (1, 5, 20, 60):
+        page = "".join(_stuffed(f"term{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(n))
+        assert sum(spam.features_of(page, "en")[1][3:]) > 0.5, n
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_heavy_mentions_are_those_of_some_stretch(seed):
+    r = random.Random(seed)
+    at = np.array(sorted(r.sample(range(1, r.choice([40, 200, 600])), r.randint(4, 25))))
+    n, want = len(at), np.zeros(25, bool)[: len(at)]
+    for i in range(n):
+        for j in range(i + 3, n):
+            if j - i + 1 >= 0.07 * (at[j] - at[i] + 1):
+                want[i : j + 1] = True
+    assert (spam.heavy(at) == want).all()
+
+
 def test_spam_pages_of_a_corpus(spark):
     r = random.Random(1)
     rows = [(i, " ".join(r.sample(PROSE.split(), 30)) + ". " + PROSE, r.choice(["en", "EN", None, "xx"])) for i in range(200)]
