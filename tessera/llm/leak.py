@@ -61,6 +61,14 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(_HYPHEN.sub("", text) if "-" in text else text)
 
 
+def matches(doc: list[int], item: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
+    """(item start, doc start, ``least``) of all matches of ``least`` words."""
+    at = defaultdict(list)
+    for i in range(len(item) - least + 1):
+        at[tuple(item[i : i + least])].append(i)
+    return [(i, j, least) for j in range(len(doc) - least + 1) for i in at.get(tuple(doc[j : j + least]), ())]
+
+
 def tiles(doc: list[int], item: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item start, doc start, length) of the longest matches that share no word, longest first.
 
@@ -92,40 +100,52 @@ def tiles(doc: list[int], item: list[int], least: int = TILE) -> list[tuple[int,
                 out.append((i, j, best))
 
 
-def edits_between(a: list[int], b: list[int]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
-def longest_passage(doc: list[int], item: list[int], min_words: int, one_in: int) -> int:
+def longest_passage(doc: list[int], item: list[int], min_words: int, one_in: int, diagonals: list[int] | None = None) -> int:
     """Words of the longest stretch of the item that the document holds in order with one edit in ``one_in`` words.
 
-    Tiles are chained in item order; words between two tiles of a chain are compared one by one. 0 if no stretch
-    reaches ``min_words``.
+    The stretch begins and ends with words that are there; 0 if none reaches ``min_words``. It is looked for on the
+    ``diagonals`` (place in the document less place in the item) and as far beside them as edits can lead, without
+    ``diagonals`` on those of all matches of ``TILE`` words. The fewest edits are found for each place and diagonal, so
+    other copies of the item's words take nothing away.
     """
-    marked = sorted(tiles(doc, item))
+    n, reach = len(item), len(item) // one_in
+    if diagonals is None:
+        diagonals = [j - i for i, j, _ in matches(doc, item)]
     most = 0
-    for s, (i0, _, _) in enumerate(marked):
-        cost = {s: 0}
-        for k in range(s, len(marked)):
-            if k not in cost:
-                continue
-            i, j, n = marked[k]
-            if i + n - i0 >= min_words and cost[k] * one_in <= i + n - i0:
-                most = max(most, i + n - i0)
-            for m in range(k + 1, len(marked)):
-                i2, j2, n2 = marked[m]
-                gi, gj = i2 - i - n, j2 - j - n
-                allowed = (len(item) - i0) // one_in - cost[k]
-                if gi < 0 or gj < 0 or abs(gi - gj) > allowed or max(gi, gj) > 4 * allowed + 4:
-                    continue
-                c = cost[k] + edits_between(item[i + n : i2], doc[j + n : j2])
-                if c < cost.get(m, 1 << 30):
-                    cost[m] = c
+    bands: list[list[int]] = []
+    for g in sorted(set(diagonals)):
+        if bands and g - reach <= bands[-1][1] + 1:
+            bands[-1][1] = g + reach
+        else:
+            bands.append([g - reach, g + reach])
+    words = np.array(item, np.int64)
+    for lo, hi in bands:
+        width = hi - lo + 1
+        wide = np.full(n + width - 1, -1, np.int64)
+        a, z = max(0, lo), min(len(doc), hi + n)
+        if z <= a:
+            continue
+        wide[a - lo : z - lo] = doc[a:z]
+        same = np.lib.stride_tricks.sliding_window_view(wide, width) == words[:, None]
+        starts = same.copy()
+        starts[1:] &= ~same[:-1]
+        step, far = np.arange(width), n + width
+        for i0 in np.flatnonzero(starts.any(axis=1)).tolist():
+            if n - i0 <= max(most, min_words - 1):
+                break
+            # Fewest edits by which item words i0 to i - 1 lead to diagonal lo + k from any start in item word i0.
+            edits = np.where(starts[i0], 0, far)
+            for i in range(i0, n):
+                ends = edits[same[i]]
+                w = i + 1 - i0
+                if w > most and w >= min_words and len(ends) and ends.min() * one_in <= w:
+                    most = w
+                # The item's word agrees, is exchanged or is left out; then words of the document are added.
+                after = edits + ~same[i]
+                after[:-1] = np.minimum(after[:-1], edits[1:] + 1)
+                edits = np.minimum.accumulate(after - step) + step
+                if edits.min() * one_in > n - i0:
+                    break
     return most
 
 
@@ -237,8 +257,9 @@ class ItemIndex:
                     continue
                 a, z = max(0, int(part[0]) - reach), int(part[-1]) + SHINGLE + reach
                 near, of_item = np.array(rows[t][a:z], np.int64), np.array(words, np.int64)
-                if any(enough_words(near, of_item, g, min_words, one_in) for g in seeded_diagonals(other, part - a, len(words), min_words, one_in)):
-                    most = max(most, longest_passage(rows[t][a:z], words, min_words, one_in))
+                good = [g for g in seeded_diagonals(other, part - a, len(words), min_words, one_in) if enough_words(near, of_item, g, min_words, one_in)]
+                if good:
+                    most = max(most, longest_passage(rows[t][a:z], words, min_words, one_in, good))
             if most:
                 out.append((t, self.ids[i], most))
         return out
@@ -251,9 +272,9 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = 25, one_in: int =
     leak; repeated rows count once; either table may be empty. One word in ``one_in`` may be exchanged, added or left
     out, and :func:`words_of` says what makes no difference.
 
-    Method: greedy string tiling. Shingles of five words seed each pair of document and item; a pair with as many seeds
-    as a passage must leave whole (the count lemma) is tiled by longest matches first, and the stretch covered by a
-    chain of tiles decides. Items are sent to the tasks as an index of at most about ``block_words`` words; a longer
+    Method: tiles of five words as seeds, then alignment. Shingles of five words seed each pair of document and item; a
+    pair with as many seeds as a passage must leave whole (the count lemma) is aligned word by word beside the seeded
+    diagonals, so that a shorter quote of the same words elsewhere can't break the passage up. Items are sent to the tasks as an index of at most about ``block_words`` words; a longer
     list is taken in blocks, each against all documents. Documents are neither shuffled nor collected.
     """
     spark = docs.sparkSession

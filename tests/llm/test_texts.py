@@ -72,6 +72,44 @@ def test_passages_are_found_as_by_alignment(seed):
     assert bool(got) <= bool(want) and bool(got) >= bool(clear)
 
 
+def clear_passage(doc, item, least, one_in):
+    """As :func:`naive_passage`, of stretches that begin and end with words that are there."""
+    best = 0
+    for a in range(len(item)):
+        for b in [j for j, y in enumerate(doc) if y == item[a]]:
+            row = list(range(len(doc) - b + 1))
+            for i, x in enumerate(item[a:], 1):
+                before, row[0] = row[0], i
+                for j, y in enumerate(doc[b:], 1):
+                    old = row[j]
+                    row[j] = min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+                    if x == y and i >= least and before * one_in <= i:
+                        best = max(best, i)
+                    before = old
+    return best
+
+
+def test_a_quote_nearby_takes_nothing_from_a_passage():
+    item = [f"w{i}" for i in range(40)]
+    part = [f"x{i}" if i in (4, 9, 20) else w for i, w in enumerate(item[:28])]
+    doc = item[:12] + [f"y{i}" for i in range(10)] + part
+    assert leak.ItemIndex([(7, " ".join(item))]).search([" ".join(doc)], 25, 8) == [(0, 7, 28)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_passage_words_are_those_of_a_full_alignment(seed):
+    r = random.Random(seed)
+    item = [r.randrange(1, 30) for _ in range(r.randint(26, 44))]
+    doc = [r.randrange(1, 30) for _ in range(8)]
+    for _ in range(3):
+        part = item[r.randint(0, 6) : r.randint(10, len(item))]
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(part))
+            part[k : k + 1] = r.choice([[], [99], [part[k], 99]])
+        doc += part + [r.randrange(1, 30) for _ in range(r.randint(0, 8))]
+    assert leak.longest_passage(doc, item, 20, 8, list(range(-len(item), len(doc)))) == clear_passage(doc, item, 20, 8)
+
+
 ITEM = "The narrow gate counted forty two late visits behind the pump house because nobody had moved the second camera, and the older note about the quiet corridor never reached our own reviewer before noon."
 
 
