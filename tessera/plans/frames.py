@@ -103,12 +103,12 @@ def j10(spark, d):
     return curation.mapped(*_typed_labels(spark, d)).select("entry_id", "class", "target")
 
 
-@query("p15_forbidden_class", "SELECT class_name AS src_class, target FROM class_ref WHERE class_name IN ('person_with_weapon', 'handgun') AND target IN ('guns', 'knife', 'long_gun')")
+@query("g15_forbidden_class", "SELECT class_name AS src_class, target FROM class_ref WHERE class_name IN ('person_with_weapon', 'handgun') AND target IN ('guns', 'knife', 'long_gun')")
 def p15(spark, d):
     return curation.forbidden(_typed_labels(spark, d)[1], ["person_with_weapon", "handgun"], ["guns", "knife", "long_gun"]).select("src_class", "target")
 
 
-@query("p16_unmapped_class", "SELECT classes AS class, count(*) AS n FROM class_map WHERE classes IS NOT NULL AND classes NOT IN (SELECT class_name FROM class_ref) GROUP BY classes")
+@query("g16_unmapped_class", "SELECT classes AS class, count(*) AS n FROM class_map WHERE classes IS NOT NULL AND classes NOT IN (SELECT class_name FROM class_ref) GROUP BY classes")
 def p16(spark, d):
     return curation.unmapped(*_typed_labels(spark, d)).select("class", "n")
 

@@ -175,56 +175,56 @@ def f24(spark, d):
     return spark.read.parquet(f"{d}/build_dataset.parquet").select("image_id", build_key(F.col("src"), s).alias("build_key"), clip_key(s, r"^(frame-[0-9]+)").alias("clip_key")).distinct()
 
 
-@query("p1_person_box", f"WITH {PEOPLE} SELECT frame_id, det_id FROM people WHERE conf >= 0.3 AND x2 - x1 > 1 AND y2 - y1 > 1 AND k % 3 = 0")
+@query("g1_person_box", f"WITH {PEOPLE} SELECT frame_id, det_id FROM people WHERE conf >= 0.3 AND x2 - x1 > 1 AND y2 - y1 > 1 AND k % 3 = 0")
 def p1(spark, d):
     return people(spark, d).where(gates.person_box(Box.of(), F.col("k") % 3, F.col("conf"))).select(*_KEY)
 
 
-@query("p2_weapon_shape", f"WITH {CANDIDATES} SELECT frame_id, cand_id FROM cand WHERE x2 - x1 >= 20 AND y2 - y1 >= 20 AND (label <> 'knife' OR greatest(x2 - x1, y2 - y1) / greatest(least(x2 - x1, y2 - y1), 1) >= 1.5)")
+@query("g2_weapon_shape", f"WITH {CANDIDATES} SELECT frame_id, cand_id FROM cand WHERE x2 - x1 >= 20 AND y2 - y1 >= 20 AND (label <> 'knife' OR greatest(x2 - x1, y2 - y1) / greatest(least(x2 - x1, y2 - y1), 1) >= 1.5)")
 def p2(spark, d):
     return candidates(spark, d).where(gates.weapon_shape(Box.of(), F.col("label"))).select("frame_id", "cand_id")
 
 
-@query("p3_embeddable", f"WITH {PEOPLE} SELECT frame_id, det_id, least(640, CAST(x2 AS INT)) - greatest(0, CAST(x1 AS INT)) >= 8 AND least(480, CAST(y2 AS INT)) - greatest(0, CAST(y1 AS INT)) >= 16 AS ok FROM people")
+@query("g3_embeddable", f"WITH {PEOPLE} SELECT frame_id, det_id, least(640, CAST(x2 AS INT)) - greatest(0, CAST(x1 AS INT)) >= 8 AND least(480, CAST(y2 AS INT)) - greatest(0, CAST(y1 AS INT)) >= 16 AS ok FROM people")
 def p3(spark, d):
     return people(spark, d).select(*_KEY, gates.embeddable(Box.of()).alias("ok"))
 
 
-@query("p4_admission", f"""WITH {POSED} SELECT frame_id, det_id, CASE WHEN k % 11 = 0 THEN 'invalid_embedding' WHEN NOT matched THEN 'not_matched' WHEN conf < 0.5 THEN 'low_confidence' WHEN y2 - y1 < 64 THEN 'crop_too_small'
+@query("g4_admission", f"""WITH {POSED} SELECT frame_id, det_id, CASE WHEN k % 11 = 0 THEN 'invalid_embedding' WHEN NOT matched THEN 'not_matched' WHEN conf < 0.5 THEN 'low_confidence' WHEN y2 - y1 < 64 THEN 'crop_too_small'
  WHEN x1 <= 5 OR x2 >= 635 THEN 'side_truncated' WHEN (y1 <= 5 OR y2 >= 475) AND (y2 - y1) / greatest(x2 - x1, 1) < 1.2 THEN 'clipped_and_implausible_shape' WHEN kp_count < 5 THEN 'insufficient_keypoints' ELSE 'ok' END AS reason FROM posed""")
 def p4(spark, d):
     reason = gates.admission_reason(Box.of(), F.col("conf"), F.col("matched"), g.visible_count(F.col("kp")), F.col("k") % 11 != 0)
     return posed(spark, d).select(*_KEY, reason.alias("reason"))
 
 
-@query("p5_touches_border", f"WITH {PEOPLE} SELECT frame_id, det_id FROM people WHERE x1 <= 15 OR y1 <= 15 OR x2 >= 625 OR y2 >= 465")
+@query("g5_touches_border", f"WITH {PEOPLE} SELECT frame_id, det_id FROM people WHERE x1 <= 15 OR y1 <= 15 OR x2 >= 625 OR y2 >= 465")
 def p5(spark, d):
     return people(spark, d).where(gates.touches_border(Box.of())).select(*_KEY)
 
 
-@query("p6_render_decision", f"""WITH {POSED}, t AS (SELECT *, k % 4 AS tsu, x1 <= 15 OR y1 <= 15 OR x2 >= 625 OR y2 >= 465 AS edge FROM posed)
+@query("g6_render_decision", f"""WITH {POSED}, t AS (SELECT *, k % 4 AS tsu, x1 <= 15 OR y1 <= 15 OR x2 >= 625 OR y2 >= 465 AS edge FROM posed)
  SELECT frame_id, det_id, CASE WHEN matched THEN true WHEN tsu > 2 OR edge THEN false WHEN kp_count IS NULL THEN tsu <= 1 ELSE kp_count >= 5 END AS render, NOT (matched OR tsu > 2 OR edge) AS coasting FROM t""")
 def p6(spark, d):
     r = gates.render_decision(F.col("matched"), F.col("k") % 4, gates.touches_border(Box.of()), g.visible_count(F.col("kp")))
     return posed(spark, d).select(*_KEY, r.alias("r")).select(*_KEY, "r.render", "r.coasting")
 
 
-@query("p7_keypoint_count", f"WITH {POSED} SELECT frame_id, det_id, kp_count FROM posed")
+@query("g7_keypoint_count", f"WITH {POSED} SELECT frame_id, det_id, kp_count FROM posed")
 def p7(spark, d):
     return posed(spark, d).select(*_KEY, g.visible_count(F.col("kp")).alias("kp_count"))
 
 
-@query("p8_class_conf_gate", f"WITH {CANDIDATES} SELECT frame_id, cand_id FROM cand WHERE conf >= CASE label WHEN 'guns' THEN 0.29 WHEN 'knife' THEN 0.23 WHEN 'long_gun' THEN 0.56 ELSE 0.5 END")
+@query("g8_class_conf_gate", f"WITH {CANDIDATES} SELECT frame_id, cand_id FROM cand WHERE conf >= CASE label WHEN 'guns' THEN 0.29 WHEN 'knife' THEN 0.23 WHEN 'long_gun' THEN 0.56 ELSE 0.5 END")
 def p8(spark, d):
     return candidates(spark, d).where(gates.class_conf_ok(F.col("label"), F.col("conf"))).select("frame_id", "cand_id")
 
 
-@query("p9_arm_raised", f"WITH {POSED} SELECT frame_id, det_id, coalesce(py15 < py11, false) OR coalesce(py16 < py12, false) AS raised FROM posed")
+@query("g9_arm_raised", f"WITH {POSED} SELECT frame_id, det_id, coalesce(py15 < py11, false) OR coalesce(py16 < py12, false) AS raised FROM posed")
 def p9(spark, d):
     return posed(spark, d).select(*_KEY, gates.arm_raised(F.col("kp")).alias("raised"))
 
 
-@query("p10_track_colour", f"WITH {PEOPLE} SELECT frame_id, det_id, CASE WHEN k % 10 > 6 THEN 'level_' || (k % 10 - 6) WHEN k % 5 = 0 THEN 'provisional' WHEN NOT matched THEN 'coasting' ELSE 'tracked' END AS colour FROM people")
+@query("g10_track_colour", f"WITH {PEOPLE} SELECT frame_id, det_id, CASE WHEN k % 10 > 6 THEN 'level_' || (k % 10 - 6) WHEN k % 5 = 0 THEN 'provisional' WHEN NOT matched THEN 'coasting' ELSE 'tracked' END AS colour FROM people")
 def p10(spark, d):
     return people(spark, d).select(*_KEY, gates.track_colour(F.col("k") % 5 == 0, ~F.col("matched"), F.greatest(F.col("k") % 10 - 6, F.lit(0))).alias("colour"))
 
@@ -232,33 +232,33 @@ def p10(spark, d):
 _CW = "sqrt(power((c.x1 + c.x2) / 2 - p.px{0}, 2) + power((c.y1 + c.y2) / 2 - p.py{0}, 2)) <= 60"
 
 
-@query("p11_near_wrist", f"WITH {POSED}, {CANDIDATES} SELECT c.frame_id, c.cand_id, p.det_id FROM cand c JOIN posed p ON c.frame_id = p.frame_id AND (coalesce({_CW.format(15)}, false) OR coalesce({_CW.format(16)}, false))")
+@query("g11_near_wrist", f"WITH {POSED}, {CANDIDATES} SELECT c.frame_id, c.cand_id, p.det_id FROM cand c JOIN posed p ON c.frame_id = p.frame_id AND (coalesce({_CW.format(15)}, false) OR coalesce({_CW.format(16)}, false))")
 def p11(spark, d):
     p = posed(spark, d).select("frame_id", "det_id", "kp")
     return candidates(spark, d).join(p, "frame_id").where(gates.near_wrist(Box.of(), F.col("kp"))).select("frame_id", "cand_id", "det_id")
 
 
-@query("p12_resolved_only", f"WITH {PEOPLE} SELECT frame_id, count(*) AS n FROM people WHERE k % 9 <> 0 GROUP BY frame_id")
+@query("g12_resolved_only", f"WITH {PEOPLE} SELECT frame_id, count(*) AS n FROM people WHERE k % 9 <> 0 GROUP BY frame_id")
 def p12(spark, d):
     return people(spark, d).withColumn("canonical_id", F.when(F.col("k") % 9 != 0, F.col("track_id"))).where("canonical_id is not null").groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
-@query("p13_visible_and_known", f"WITH {PEOPLE} SELECT frame_id, det_id FROM people WHERE conf >= 0.25 AND k % 9 <> 0")
+@query("g13_visible_and_known", f"WITH {PEOPLE} SELECT frame_id, det_id FROM people WHERE conf >= 0.25 AND k % 9 <> 0")
 def p13(spark, d):
     return people(spark, d).withColumn("id", F.when(F.col("k") % 9 != 0, F.col("track_id"))).where((F.col("conf") >= 0.25) & F.col("id").isNotNull()).select(*_KEY)
 
 
-@query("p14_invalid_masked", f"WITH {SAMPLES} SELECT q.vec_id AS q_id, t.vec_id AS t_id, CASE WHEN q.vec_id % 6 = 0 THEN 0 ELSE round(list_dot_product(q.feat, t.feat), 6) END AS sim FROM {_CROSS}")
+@query("g14_invalid_masked", f"WITH {SAMPLES} SELECT q.vec_id AS q_id, t.vec_id AS t_id, CASE WHEN q.vec_id % 6 = 0 THEN 0 ELSE round(list_dot_product(q.feat, t.feat), 6) END AS sim FROM {_CROSS}")
 def p14(spark, d):
     return _sample_pairs(spark, d).select("q_id", "t_id", F.round(v.masked_similarity(F.col("q"), F.col("t"), F.col("q_id") % 6 != 0), 6).alias("sim"))
 
 
-@query("p17_time_holdout", f"WITH {PRESENCE} SELECT person, event_id FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY person) AS n FROM presence) WHERE i >= floor(n * 0.7)")
+@query("g17_time_holdout", f"WITH {PRESENCE} SELECT person, event_id FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY person) AS n FROM presence) WHERE i >= floor(n * 0.7)")
 def p17(spark, d):
     return gates.time_holdout(presence(spark, d).select("person", "event_id"), "person", "event_id").select("person", "event_id")
 
 
-@query("p18_under_delivery", f"WITH {PRESENCE} SELECT person FROM presence GROUP BY person HAVING coalesce(count(*) / nullif((max(t_us) - min(t_us)) / 1e6, 0), 0) < 0.00006 * 0.5")
+@query("g18_under_delivery", f"WITH {PRESENCE} SELECT person FROM presence GROUP BY person HAVING coalesce(count(*) / nullif((max(t_us) - min(t_us)) / 1e6, 0), 0) < 0.00006 * 0.5")
 def p18(spark, d):
     per = presence(spark, d).groupBy("person").agg(F.count("*").alias("n"), ((F.max("t_us") - F.min("t_us")) / F.lit(1e6)).alias("s"))
     return per.where(gates.under_delivered(F.col("n"), F.col("s"), F.lit(0.00006))).select("person")
