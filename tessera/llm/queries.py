@@ -165,7 +165,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_pages(spark: SparkSession, d: str) -> DataFrame:
     """Spam pages with language, distance and the share of the text that is spam."""
     got = spam.spam_pages(_read(spark, d, "documents"))
-    return got.select("doc_id", "lang", F.round("distance", 3).alias("distance"), F.round("spam_share", 4).alias("spam_share"))
+    return got.select("doc_id", "lang", F.round("distance", 3).alias("distance"), F.round("spam_share", 4).alias("spam_share"), F.round("cut", 3).alias("cut"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,12 +6,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workspace import Workspace
+
 # Function words of the corpus' languages.
 FUNCTION_WORDS = {
     "en": "a about above across after against all along also although an and any are as at be because been before behind below beneath beside between beyond both but by can could did do does down during each either else ever every few for from further had has have he her here hers him his how however i if in inside into is it its itself just many may me might more most much must my near neither no nobody none nor not of off on once one only onto opposite or other our ours out outside over own past per rather same shall she should since so some still such than that the their theirs them then there these they this those though through till to too toward under unless until up upon us very was we were what when where whereas whether which while who whom whose why will with within without would yet you your yours",
@@ -19,222 +22,320 @@ FUNCTION_WORDS = {
     "de": "aber alle allem allen aller alles als also am an andere auch auf aus bei beim bin bis bist da damit dann darum das dass dasselbe dein dem den denn der des desselben dessen die dies diese diesem diesen dieser dieses doch dort durch ein eine einem einen einer eines er erst es etwas euch für gegen gewesen hab habe haben hat hatte hatten hier hinter ich ihm ihn ihnen ihr ihre ihrem ihren im in ins ist ja jede jedem jeden jeder jedes kann kein keine können mehr mein mich mir mit muss nach nahe neben nicht nichts noch nun nur ob obwohl oder ohne sehr sein seine seinem seinen seiner seit sich sie sind so solche soll sondern sonst um und uns unser unter vom von vor während war waren was weil weiter welche wenn wer werde werden wie wieder will wir wird wo wurde wurden zu zum zur zwar zwischen über",
     "fr": "a ai après au aucun aussi autre aux avaient avait avant avec avoir bien car ce cela ces cet cette chaque chez comme d dans de depuis des deux devant dont donc du déjà elle elles en encore entre est et étaient était être eu eux fait font hors il ils j je jusque l la le les leur leurs lors lui là m mais me mes moins mon même n ne ni non nos notre nous on ont ou où par pas pendant peu plus pour pourquoi près puis qu quand que quel quelle qui quoi s sa sans se ses si sien son sont sous sur t ta tandis te tes toi ton toujours tous tout toute très trop tu un une vers voici voilà vos votre vous y à ça",
 }
-SHOP = r"add to cart|buy now|in den warenkorb|añadir al carrito|ajouter au panier"
-FEATURES = ["function_words", "entropy", "repeated", "links", "terms", "tags"]
-#: The smallest spread of a feature within a language: shares of a text below this are noise.
-FLOOR = 0.05
+
+FEATURES = ["function", "entropy", "repeated", "links", "marks", "numbers", "symbols"]
+#: Spread of a feature below which differences between stretches of some forty words are noise.
+FLOOR = {"function": 0.05, "entropy": 0.05, "repeated": 0.1, "links": 0.1, "marks": 0.05, "numbers": 0.03, "symbols": 0.02}
+#: Which way each feature goes in spam. Numbers and symbols go their own way, that of logs, tables, settings and code.
+SPAMWARD = {"function": -1, "entropy": -1, "repeated": 1, "links": 1, "marks": 1}
+#: Visible characters of a stretch.
+STRETCH = 240
+#: A content word is repeated if it comes again among so many content words.
+NEAR = 6
+#: A stretch with this share of function words is running text, of which the estimates are made.
+RUNNING = 0.2
+#: Visible characters by which a short stretch is drawn to the centre.
+PRIOR = 48
 #: Upper 0.1 % point of chi-square with as many degrees of freedom as there are features.
-CUT = 22.458
-#: The group of all rows, beside the languages.
-ALL = "*"
-#: Words from a stuffed term to its next mention.
-CLOSE = 9
+LEAST_CUT = 24.322
+#: Features are kept in thousandths, so that their medians are exact over all stretches and come from small counts.
+UNIT = 1000
 
 _BIT = {k: 1 << i for i, k in enumerate(FUNCTION_WORDS)}
 _MASK: dict[str, int] = {}
 for _k, _v in FUNCTION_WORDS.items():
     for _w in _v.split():
         _MASK[_w] = _MASK.get(_w, 0) | _BIT[_k]
-_URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?:com|net|org|info|biz|shop|example|test|invalid|io|co|de|es|fr)\b(?:/[^\s<>\"')\]]*)?", re.I)
-_MAYBE_URL = re.compile(r"\.[A-Za-z]{2}|://|www\.")
-_WORD = re.compile(r"[^\W_]+")
-_HASH = re.compile(r"#[^\W\d_]\w*|#\d*[^\W\d_]\w*")
-_PRICE = re.compile(r"(?:EUR|USD|GBP|[$\xa3€])\s?\d+(?:[.,]\d\d)?|\d+(?:[.,]\d\d)?\s?(?:EUR|USD|GBP|[$\xa3€])")
-_SHOP = re.compile(SHOP, re.I)
-_PIECE = re.compile(r"</li>|<br\s*/?>|</a>|\n|\r|\|")
+_LINK = re.compile(
+    r"<[^<>]*(?:https?://|www\.)[^<>]*>|(?:\]\()?(?:https?://|www\.)[^\s<>\"')\]]+\)?|(?<![\w@./-])[a-z0-9](?:[a-z0-9-]*\.)+[a-z]{2,}(?![\w(=.-])(?:/[^\s<>\"')\]]*)?", re.I)
 _TAG = re.compile(r"<[^<>]*>")
-_CODE = re.compile(r"^\s*(?:def|return|if|else|for|while|class|import|from|elif|try|with)\b.*[:()=]|^\s*return\b|^\s*[\w.]+\s*[:=]\s*-?[\d.]+\b|^\s*#\s+\S")
-
-
-def heavy(at: np.ndarray, least: int = 4, share: float = 0.07) -> np.ndarray:
-    """Which mentions of a term lie in a stretch, of whatever length, with ``least`` mentions or more of which the term
-    makes up ``share`` of the content words. ``at``: their places among the content words."""
-    k = np.arange(len(at))
-    # Mentions i to j take at[j] - at[i] + 1 words, which may be at most (j - i + 1) / share.
-    spare = k / share - at
-    first = np.searchsorted(-np.minimum.accumulate(spare), -(spare + 1 / share - 1 + 1e-9), "left")
-    good = k - first >= least - 1
-    upto = np.zeros(len(at) + 1, np.int64)
-    np.add.at(upto, first[good], 1)
-    np.add.at(upto, k[good] + 1, -1)
-    return np.cumsum(upto[:-1]) > 0
-
-
-def features_of(text: str, lang: str | None) -> tuple[str, list[float]]:
-    """Language and feature values of a text with at least one visible character.
-
-    The language is the one of which most function words occur, ``lang`` where none do. The last three features are
-    shares of the visible characters: of link lines, that hold links and at most a few words beside them; of stretches
-    of repeated terms, where hardly any function word occurs or one phrase is most of what is said; of tags and
-    products, that is hashtags and items with a price or a shop's button.
-    """
-    total = max(1, sum(map(len, text.split())))
-    lines, links, tags = [], 0, 0
-    for piece in _PIECE.split(text):
-        if not piece.strip():
-            continue
-        bare = _TAG.sub(" ", piece) if "<" in piece else piece
-        found = _URL.findall(piece) if _MAYBE_URL.search(piece) else ()
-        if found:
-            beside = _WORD.findall(_URL.sub(" ", bare if len(bare) > 3 else piece).lower())
-            if len(beside) <= 6 or len(beside) <= 3 * len(found):
-                links += sum(map(len, piece.split()))
-                continue
-            bare = _URL.sub(" ", bare)
-        words = _WORD.findall(bare.lower())
-        if len(words) <= 16 and (_SHOP.search(bare) or _PRICE.search(bare)):
-            tags += sum(map(len, piece.split()))
+_MARK = re.compile(r"#[^\W\d_]\w*|(?:EUR|USD|GBP|[$\xa3€])\s?\d[\d.,]*|\d[\d.,]*\s?(?:EUR|USD|GBP|[$\xa3€])")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?\d*|\d[\d.,:/-]*|_+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def visible(text: str) -> int:
+    return sum(map(len, text.split()))
+
+
+def stretches(text: str, width: int = STRETCH) -> list[str]:
+    """The text in stretches of about ``width`` visible characters: whole lines, and long lines cut between words."""
+    out: list[str] = []
+    now: list[str] = []
+    size = 0
+    for line in text.splitlines():
+        words = line.split()
+        n = sum(map(len, words))
+        if not n:
             continue
-        if "#" in bare:
-            marks = _HASH.findall(bare)
-            if len(marks) >= 3:
-                tags += sum(map(len, marks))
-                bare = _HASH.sub(" ", bare)
-                words = _WORD.findall(bare.lower())
-        lines.append((words, bool(_CODE.match(piece))))
-    if "</" in text and links:
-        links = min(total, links + sum(len("".join(t.split())) for t in re.findall(r"</?(?:ul|ol|li|a)\b[^<>]*>", text) if "href" not in t) // 4)
-    words = [w for ws, _ in lines for w in ws]
-    seen = Counter(words)
-    count = np.fromiter(seen.values(), np.int64, len(seen))
-    mask = np.fromiter((_MASK.get(w, 0) for w in seen), np.int64, len(seen))
-    hits = {k: int(count[mask & bit > 0].sum()) for k, bit in _BIT.items()}
-    best = max(hits.values())
-    lang = (lang or "").lower()
-    own = lang if lang in hits and hits[lang] >= 0.8 * best else max(hits, key=lambda k: (hits[k], k == "en"))
-    # A text in two languages has the function words of both.
-    used = _BIT[own] | sum(bit for k, bit in _BIT.items() if k != own and hits[k] >= max(5, 0.25 * best))
-    n = len(words)
-    if not n:
-        return own, [0.0, 0.0, 0.0, links / total, 0.0, tags / total]
-    # What each word is: 1 function word, 2 number, 4 heavy term by its own stretch of the text, 8 term that comes again.
-    digit = np.fromiter(map(str.isdigit, seen), bool, len(seen))
-    function = mask & used > 0
-    content = ~function & ~digit
-    c = count[content]
-    m = int(c.sum())
-    entropy = float(-(c / m * np.log2(c / m)).sum()) / math.log2(max(2, m)) if m else 0.0
-    repeated = float(c[c >= 3].sum()) / n
-    which = np.fromiter(map(dict(zip(seen, range(len(seen)))).__getitem__, words), np.int64, n)
-    flags = (function + 2 * digit + 8 * (content & (count >= 2)))[which]
-    often = content & (count >= 4)
-    if often.any():
-        said = np.cumsum(content[which])
-        spots = np.flatnonzero(often[which])
-        spots = spots[np.argsort(which[spots], kind="stable")]
-        # A term is stuffed where it comes again within a few words; a repeated sentence repeats its words farther apart.
-        other = np.diff(which[spots]) != 0
-        close = (np.diff(spots) <= CLOSE) & ~other
-        again = np.concatenate([[False], close]) | np.concatenate([close, [False]])
-        ends = np.concatenate([[0], np.flatnonzero(other) + 1, [len(spots)]])
-        for i in np.flatnonzero(np.add.reduceat(again, ends[:-1], dtype=np.int64)):
-            at, near = spots[ends[i] : ends[i + 1]], again[ends[i] : ends[i + 1]]
-            flags[at[near & heavy(said[at])]] |= 4
-    # Sums over the words up to ``half`` places away, for all four kinds at once.
-    half = 6
-    upto = np.zeros((4, n + 2 * half + 1), np.int64)
-    np.cumsum(flags[None, :] >> np.arange(4)[:, None] & 1, axis=1, out=upto[:, half + 1 : half + 1 + n])
-    upto[:, half + 1 + n :] = upto[:, half + n, None]
-    near_f, near_n, near_h, near_r = upto[:, 2 * half + 1 :] - upto[:, :n]
-    width = np.minimum(np.arange(n) + half + 1, n) - np.maximum(np.arange(n) - half, 0)
-    code = np.repeat([c for _, c in lines], [len(ws) for ws, _ in lines])
-    plain = near_n < 0.3 * width
-    listing = (near_f <= 1) & (near_r >= 0.3 * width)
-    stuffed = near_h >= 0.2 * width
-    term = (listing | stuffed) & plain & ~code & (width > half)
-    size = np.fromiter(map(len, words), float, n)
-    # Shares are of the visible characters; what is no letter or digit is shared out over the words.
-    rest = max(0, total - links - tags) / total
-    return own, [float(np.count_nonzero(flags & 1) / n), entropy, repeated, min(1.0, links / total), float((size * term).sum() / size.sum()) * rest, min(1.0, tags / total)]
+        pieces = [(line, n)]
+        if 2 * n > 3 * width:
+            goal, pieces, part, m = n / round(n / width), [], [], 0
+            for word in words:
+                for a in range(0, len(word), 2 * width):
+                    part.append(word[a : a + 2 * width])
+                    m += len(part[-1])
+                    if m >= goal:
+                        pieces.append((" ".join(part), m))
+                        part, m = [], 0
+            if part:
+                pieces.append((" ".join(part), m))
+        for piece, m in pieces:
+            if size and 2 * (size + m) > 3 * width:
+                out.append("\n".join(now))
+                now, size = [], 0
+            now.append(piece)
+            size += m
+            if size >= width:
+                out.append("\n".join(now))
+                now, size = [], 0
+    if now:
+        rest = "\n".join(now)
+        if out and 3 * size < width:
+            out[-1] += "\n" + rest
+        else:
+            out.append(rest)
+    return out
+
+
+def language_of(text: str, lang: str | None = None) -> tuple[str, int]:
+    """The language of which most function words occur, and the mask of all languages used.
+
+    ``lang`` holds unless another language has clearly more, so a text with hardly any function word keeps it.
+    """
+    seen = Counter(_LETTERS.findall(text.lower()))
+    hits = dict.fromkeys(_BIT, 0)
+    for w in seen.keys() & _MASK.keys():
+        for k, bit in _BIT.items():
+            if _MASK[w] & bit:
+                hits[k] += seen[w]
+    best, lang = max(hits.values()), (lang or "").lower()
+    own = lang if lang in hits and hits[lang] + 3 >= 0.8 * best else max(hits, key=lambda k: (hits[k], k == "en"))
+    return own, _BIT[own] | sum(bit for k, bit in _BIT.items() if hits[k] >= max(3, 0.25 * best))
+
+
+def features_of(stretch: str, mask: int) -> tuple[int, list[float]]:
+    """Visible characters and the plain densities of a stretch, each from 0 to 1.
+
+    Share of function words among the words; entropy of the other words, 1 where all differ; share of them that come
+    again within ``NEAR``; then, in visible characters, the shares of links, of marks (hashtags and prices), of numbers,
+    and of what is neither letter nor digit.
+    """
+    links = marks = 0
+
+    def link(m: re.Match) -> str:
+        nonlocal links
+        links += visible(m[0])
+        return " "
+
+    def mark(m: re.Match) -> str:
+        nonlocal marks
+        marks += visible(m[0])
+        return " "
+
+    bare = _LINK.sub(link, stretch) if "." in stretch else stretch
+    bare = _TAG.sub(" ", bare) if "<" in bare else bare
+    size = max(1, visible(bare) + links)
+    tokens = _TOKEN.findall(_MARK.sub(mark, bare).lower())
+    words = [w for w in tokens if w[0].isalpha()]
+    letters, digits = sum(map(len, words)), sum(len(w) for w in tokens if w[0].isdigit())
+    content = [w for w in words if not _MASK.get(w, 0) & mask]
+    m, at = len(content), {}
+    again = [False] * m
+    for k, w in enumerate(content):
+        j = at.get(w, -NEAR - 1)
+        if k - j <= NEAR:
+            again[j] = again[k] = True
+        at[w] = k
+    entropy = 1.0 if m < 2 else -sum(c / m * math.log2(c / m) for c in Counter(content).values()) / math.log2(m)
+    symbols = max(0, size - links - marks - digits - letters)
+    return size, [1 - m / len(words) if words else 0.0, entropy, sum(again) / m if m else 0.0, links / size, marks / size, digits / size, symbols / size]
 
 
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, a column per feature and a hash of the text for each document with visible text; others give no row."""
+    """A row per stretch of each document with visible text: doc_id, text_hash, part, lang, size and the features in thousandths."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "part", "lang", "size", *FEATURES]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features_of(t, k) for t, k in zip(b["text"], b["lang"])]
-            out = pd.DataFrame([v for _, v in got], columns=FEATURES, index=b.index)
-            out.insert(0, "lang", [k for k, _ in got])
-            out.insert(0, "doc_id", b["doc_id"])
-            out["text_hash"] = b["text_hash"]
-            yield out
-
-    rows = docs.where("text is not null").where(F.col("text").rlike(r"\S")).select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInPandas(run, f"doc_id {kind}, lang string, {', '.join(f'{f} double' for f in FEATURES)}, text_hash long")
-
-
-def robust_distance(features: DataFrame, columns: list[str] = FEATURES, group: str = "lang", keep: float = 9.0, floor: float = FLOOR, once: str | None = None, ordinary: Column | None = None) -> DataFrame:
-    """``features`` with ``distance``: squared Mahalanobis distance from the robust centre of the row's group.
-
-    The first centre and spread of a group are the medians and the median deviations from them (bounded below by
-    ``floor``), which hold as long as less than half of the rows are of another kind; rows within ``keep`` such spreads
-    in every column then give mean and covariance, which are the reweighted estimates. Rows of a group that agree in
-    ``once`` count once, and rows that are not ``ordinary`` get a distance but have no part in the estimates, whatever
-    their number; a group without ordinary rows is measured against those of all groups, and where there are none at
-    all every distance is infinite. Groups are few (languages); only their statistics come to the driver, not rows. A
-    group of one ordinary row has distance 0, an empty table no row.
+            of, langs, parts, sizes, values = [], [], [], [], []
+            for row, (text, lang) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                own, mask = language_of(text, lang)
+                for k, s in enumerate(stretches(text)):
+                    size, x = features_of(s, mask)
+                    of.append(row)
+                    parts.append(k)
+                    langs.append(own)
+                    sizes.append(size)
+                    values.append(x)
+            x = np.rint(np.array(values or np.zeros((0, len(FEATURES)))) * UNIT).astype(np.int16)
+            take = pa.array(of, pa.int64())
+            cols = [b.column(0).take(take), b.column(3).take(take), pa.array(parts, pa.int32()), pa.array(langs, pa.string()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(x[:, i]) for i in range(len(FEATURES))], names)
+
+    rows = docs.where("doc_id is not null and text is not null").where(F.col("text").rlike(r"\S"))
+    rows = rows.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, part int, lang string, size int, {', '.join(f'{f} short' for f in FEATURES)}")
+
+
+def middle(counts: dict[int, int]) -> float:
+    """Lower median of values by their counts."""
+    half, upto = (sum(counts.values()) + 1) // 2, 0
+    for v in sorted(counts):
+        upto += counts[v]
+        if upto >= half:
+            return v
+    raise ValueError("no values")
+
+
+def robust_centres(rows: DataFrame, columns: list[str], floor: dict[str, float], group: str = "lang", keep: float = 3.0, unit: int = UNIT) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Centre and covariance of each group of ``rows``, and of all rows together under None.
+
+    Medians and median deviations (at least ``floor``) come first and hold while less than half of the rows are of
+    another kind; rows within ``keep`` such spreads in every column then give mean and covariance, whose variances are
+    raised to the floors. ``columns`` are whole numbers, ``unit`` to one, so medians are exact and come from one count per group,
+    column and value; only counts and sums come to the driver, whose number is bounded by groups and values, not by rows.
     """
-    base = features if ordinary is None else features.where(ordinary)
-    if ordinary is not None:
-        base = base.unionByName(base.withColumn(group, F.lit(ALL)))
-    if once is not None:
-        base = base.dropDuplicates([group, once])
-    base = base.select(group, *columns)
-    middle = base.groupBy(group).agg(*[F.percentile_approx(c, 0.5, 2000).alias(f"m_{c}") for c in columns])
-    off = base.join(F.broadcast(middle), group)
-    start = off.groupBy(group).agg(*[F.first(f"m_{c}").alias(f"m_{c}") for c in columns], *[F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 2000), F.lit(floor)).alias(f"s_{c}") for c in columns])
-    inside = None
-    for c in columns:
-        near = F.abs(F.col(c) - F.col(f"m_{c}")) <= math.sqrt(keep) * F.col(f"s_{c}")
-        inside = near if inside is None else inside & near
-    core = base.join(F.broadcast(start), group).where(inside)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    stats = core.groupBy(group).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.avg(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs]).collect()
-    rows = []
-    for r in stats:
-        mean = np.array([r[f"m_{c}"] for c in columns])
-        cov = np.zeros((len(columns), len(columns)))
-        for a, b in pairs:
-            i, j = columns.index(a), columns.index(b)
-            cov[i, j] = cov[j, i] = r[f"{a}*{b}"] - mean[i] * mean[j]
-        inverse = np.linalg.inv(cov + np.eye(len(columns)) * floor**2)
-        rows.append((r[group], mean.tolist(), inverse.reshape(-1).tolist()))
-    if ordinary is not None:
-        own = {r[0]: r for r in rows}
-        found = [(k, own.get(k, own.get(ALL))) for (k,) in features.select(group).distinct().collect()]
-        rows = [(k, *r[1:]) for k, r in found if r is not None]
-    model = features.sparkSession.createDataFrame(rows, f"{group} string, centre array<double>, inverse array<double>")
-    x = F.array(*columns)
-    out = features.join(F.broadcast(model), group, "left").withColumn("d", F.zip_with(x, "centre", lambda a, b: a - b))
+    long = rows.select(group, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("int").alias("v")) for i, c in enumerate(columns)])).alias("x"))
+    seen: dict[tuple[str | None, int], Counter] = {}
+    for r in long.groupBy(group, "x.i", "x.v").agg(F.count("*").alias("n")).collect():
+        for g in (r[group], None):
+            seen.setdefault((g, r["i"]), Counter())[r["v"]] += r["n"]
+    low = np.array([floor[c] for c in columns]) * unit
+    near: dict[str | None, list[tuple[float, float]]] = {}
+    for g in {g for g, _ in seen}:
+        box = []
+        for i, least in enumerate(low):
+            m = middle(seen[g, i])
+            off: Counter = Counter()
+            for v, n in seen[g, i].items():
+                off[abs(v - m)] += n
+            s = keep * max(1.4826 * middle(off), least)
+            box.append((m - s, m + s))
+        near[g] = box
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     k = len(columns)
-    quad = None
-    for i in range(k):
-        for j in range(k):
-            part = F.col("d")[i] * F.col("d")[j] * F.col("inverse")[i * k + j]
-            quad = part if quad is None else quad + part
-    return out.withColumn("distance", F.coalesce(quad, F.lit(0.0 if ordinary is None else math.inf))).drop("centre", "inverse", "d")
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    x = [F.col(c) / F.lit(float(unit)) for c in columns]
+    sums = [F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(x)], *[F.sum(x[a] * x[b]).alias(f"p{a}_{b}") for a, b in pairs]]
 
+    def estimate(r) -> tuple[np.ndarray, np.ndarray]:
+        mean = np.array([r[f"s{i}"] for i in range(k)]) / r["n"]
+        cov = np.zeros((k, k))
+        for a, b in pairs:
+            cov[a, b] = cov[b, a] = r[f"p{a}_{b}"] / r["n"] - mean[a] * mean[b]
+        return mean, cov + np.diag(np.maximum((low / unit) ** 2 - np.diag(cov), 0.0))
 
-def spam_pages(docs: DataFrame, cut: float = CUT, share: float = 0.5) -> DataFrame:
-    """doc_id, lang, the features, distance and spam_share of the pages that are spam.
+    def inside(box: list[tuple[float, float]]) -> Column:
+        ok = F.lit(True)
+        for c, (lo, hi) in zip(columns, box):
+            ok &= F.col(c).between(lo, hi)
+        return ok
 
-    ``docs``: doc_id, text, lang. Null, empty and blank texts are no spam; a null or wrong lang is replaced by what the
-    text shows; repeated rows count once; copies of a text count once in the statistics; an empty table gives no row.
+    if near:
+        own = F.lit(False)
+        for g, box in near.items():
+            if g is not None:
+                own |= (F.col(group) == g) & inside(box)
+        for r in rows.where(own).groupBy(group).agg(*sums).collect():
+            out[r[group]] = estimate(r)
+        out[None] = estimate(rows.where(inside(near[None])).agg(*sums).first())
+    return out
 
-    Method: robust Mahalanobis distance per language over function-word density, entropy, repetition and the shares of
-    links, terms and tags, estimated from the pages whose spam share is at most ``share``: however many pages of a language
-    are spam, they can't become its centre. An outlier beyond ``cut`` is spam if it lies in the spam directions, which are the axes of
-    the three shares: its projection on them, the share of the text they cover together, must exceed ``share``. Logs,
-    tables, code and counts are outliers as well, but lie in other directions.
+
+def spamward_part(y: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Squared length of the part of each row of ``y`` that lies in the cone of the columns of ``axes``.
+
+    The nearest point of the cone is the projection on some set of axes with no negative share, and the longest such
+    projection.
     """
-    spark = docs.sparkSession
-    from tessera.llm.workspace import Workspace
-
-    feats = Workspace(spark).table(text_features(docs))
-    of_spam = F.col("links") + F.col("terms") + F.col("tags")
-    far = robust_distance(feats, once="text_hash", ordinary=of_spam <= share).drop("text_hash").withColumn("spam_share", of_spam)
-    got = far.where((F.col("distance") > cut) & (F.col("spam_share") > share))
-    one = Window.partitionBy("doc_id").orderBy(F.col("spam_share").desc(), "lang")
-    return got.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k")
+    k = axes.shape[1]
+    best = np.zeros(len(y))
+    for r in range(1, k + 1):
+        for s in combinations(range(k), r):
+            a = axes[:, s]
+            share = y @ np.linalg.pinv(a).T
+            length = ((share @ a.T) ** 2).sum(axis=1)
+            best = np.where((share >= 0).all(axis=1) & (length > best), length, best)
+    return best
+
+
+def distances(rows: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``rows`` of :func:`text_features` with ``distance``, the squared Mahalanobis distance from the centre of the
+    language (of all, where it has none), and ``direction``, the share of it that is spamward.
+
+    A short stretch is drawn to the centre as by ``PRIOR`` characters of ordinary text.
+    """
+    names = ["doc_id", "text_hash", "part", "lang", "size", "function", "distance", "direction"]
+    ready = {}
+    for g, (mean, cov) in model.items():
+        whiten = np.linalg.inv(np.linalg.cholesky(cov))
+        ready[g] = mean, whiten, np.stack([whiten[:, FEATURES.index(f)] * sign for f, sign in SPAMWARD.items()], axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(names.index("size") + 1 + i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))], axis=1) / UNIT
+            size, lang = b.column(4).to_numpy(zero_copy_only=False), np.array(b.column(3).to_pylist(), object)
+            far, way = np.zeros(len(x)), np.zeros(len(x))
+            for g in set(lang.tolist()):
+                at = np.flatnonzero(lang == g)
+                mean, whiten, axes = ready.get(g, ready[None])
+                y = (x[at] - mean) @ whiten.T
+                d = (y**2).sum(axis=1)
+                far[at] = d * (size[at] / (size[at] + PRIOR)) ** 2
+                way[at] = spamward_part(y, axes) / np.maximum(d, 1e-12)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(6)] + [pa.array(far), pa.array(way)], names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select(*names[:5], *FEATURES).mapInArrow(run, f"doc_id {kind}, text_hash long, part int, lang string, size int, function short, distance double, direction double")
+
+
+def spam_pages(docs: DataFrame, spread: float = 3.0, direction: float = 0.7, least: float = LEAST_CUT, share: float = 0.5) -> DataFrame:
+    """doc_id, lang, distance (the largest of a spam stretch), spam_share and cut of the pages that are spam.
+
+    ``docs``: doc_id, text, lang. Null, empty and blank texts are no spam, nor are rows without doc_id; a null or wrong
+    lang is replaced by what the text shows; repeated rows count once; of different texts under one doc_id one spam text
+    is enough; copies of a text count once in the statistics; an empty table gives no row.
+
+    Method: texts are cut into stretches of about ``STRETCH`` visible characters. Robust centre and covariance of plain
+    densities (:func:`features_of`) are estimated per language over the running text of the whole corpus, that is the
+    stretches with ``RUNNING`` function words or more, so lists of any number can't become the centre and stuffed
+    sentences only if they are half of it. A stretch is spam if its squared Mahalanobis distance lies beyond the cut and
+    ``direction`` of it lies in the cone of the spam directions (``SPAMWARD``). The cut is, per language, the
+    median of the logarithms of the distances of running text plus ``spread`` median deviations, and ``least`` or more. A page is spam if more than
+    ``share`` of its visible characters stand in spam stretches. A corpus without any running text has no centre and
+    gives no row.
+    """
+    ws = Workspace(docs.sparkSession)
+    rows = ws.table(text_features(docs))
+    once = rows.where(F.col("function") >= RUNNING * UNIT).dropDuplicates(["text_hash", "part"])
+    model = robust_centres(once, FEATURES, FLOOR)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if not model:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, lang string, distance double, spam_share double, cut double")
+    far = ws.table(distances(rows, model))
+    # Logarithms in hundredths: their counts are as few as those of the features.
+    log = F.round(F.log(F.greatest("distance", F.lit(1e-6))) * 100).cast("int")
+    counts: dict[str | None, Counter] = {}
+    running = far.where(F.col("function") >= RUNNING * UNIT).select("lang", "text_hash", "part", log.alias("v")).dropDuplicates(["text_hash", "part"])
+    for r in running.groupBy("lang", "v").agg(F.count("*").alias("n")).collect():
+        for g in (r["lang"], None):
+            counts.setdefault(g, Counter())[r["v"]] += r["n"]
+    cuts = {}
+    for g, c in counts.items():
+        m = middle(c)
+        off: Counter = Counter()
+        for v, n in c.items():
+            off[abs(v - m)] += n
+        cuts[g] = max(least, math.exp((m + spread * 1.4826 * middle(off)) / 100))
+    cut = F.lit(cuts[None])
+    for g, v in cuts.items():
+        if g is not None:
+            cut = F.when(F.col("lang") == g, F.lit(v)).otherwise(cut)
+    rows = far.withColumn("cut", cut).withColumn("bad", (F.col("distance") > F.col("cut")) & (F.col("direction") >= direction))
+    page = rows.groupBy("doc_id", "text_hash").agg(
+        F.first("lang").alias("lang"), F.max(F.when(F.col("bad"), F.col("distance"))).alias("distance"), F.first("cut").alias("cut"),
+        (F.sum(F.when(F.col("bad"), F.col("size")).otherwise(0)) / F.sum("size")).alias("spam_share"))
+    found = page.where(F.col("spam_share") > share).groupBy("doc_id").agg(F.max(F.struct("spam_share", "distance", "lang", "cut")).alias("p"))
+    return found.select("doc_id", "p.lang", "p.distance", "p.spam_share", "p.cut")

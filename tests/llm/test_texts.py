@@ -166,52 +166,82 @@ PROSE = "The gate near the stairs was closed because nobody had moved the camera
 TERMS = "cheap smart lock, best smart lock, smart lock sale, buy smart lock, smart lock price, smart lock free, new smart lock, smart lock offer, top smart lock, used smart lock, "
 
 
-@pytest.mark.parametrize("text,want", [
-    (PROSE, False), (PROSE * 8, False), (TERMS, True), (TERMS * 5, True), (PROSE + TERMS, False), (PROSE + TERMS * 4, True),
+CASES = [
+    (PROSE, False), (PROSE * 8, False), (TERMS, True), (TERMS * 5, True), (PROSE * 2 + TERMS, False), (PROSE + TERMS * 4, True),
     ("https://a.test/x1\nhttp://b.test/y2\nhttps://c.example/z?r=1\n", True), (PROSE + "\nhttps://a.test/x1", False),
     ("* [top lock](http://a.test/1)\n* [buy lock](http://b.test/2)\n* [new lock](http://c.test/3)\n", True),
-    ("\n".join(f"[{i}] {PROSE.split('.')[0]} at number {i}. https://a.test/{i}" for i in range(6)), False),
-    ("#buylock #bestlock #cheaplock #locksale #lockoffer", True), ("Ost Smart Lock XL906 EUR 702.17 | Wen Smart Lock S12 EUR 11.50 | Tar Smart Lock II44 EUR 90.00", True),
+    ("\n".join(f"[{i}] {x.strip()} https://a.test/{i}" for i, x in enumerate((PROSE + "It was not far from the old wall of the yard. The guards had left for the day before that. ").split(". ")[:5])), False),
+    ("#buylock #bestlock #cheaplock #locksale #lockoffer", True), ("Ost Smart Lock XL906 EUR 702.17 | Wen Smart Lock S12 EUR 11.50 | Tar Smart Lock II44 $90.00 | Hol Smart Lock $8.20 | Lem Door Lock $7.10 | Bra Smart Lock $12.00", True),
     ("Looking for smart lock? Our smart lock is the smart lock you want. " * 6, True), ("".join(f"Round {i}. {PROSE}\n" for i in range(6)), False),
     ("ts,id,level\n" + "".join(f"2024-01-{i:02d}T10:00:00,{i},3,SAFE,\"guns\",0.{i}\n" for i in range(10, 28)), False),
     ("".join(f"def f_{i}(x, limit=5):\n    if len(x) > limit:\n        return x[-{i}:]\n    return None\n\n" for i in range(8)), False),
     ("Class counts: shotgun 51 - machete 19 - laptop 42 - wrench 79 - purse 8 - dagger 6 - crowbar 27", False), ("ok", False),
-])
-def test_spam_share(text, want):
-    assert (sum(spam.features_of(text, "en")[1][3:]) > 0.5) == want
+]
+
+
+NOUNS = [a + b for a in ("gate", "lamp", "hall", "note", "stair", "track", "crowd", "frame", "bus", "door", "clip", "score", "guard", "wall") for b in ("", "s", "way", "side", "line", "yard", "house", "man")]
+LITTLE = "the of a in and to on with was for by at from that it had near under while because not this which our".split()
+
+
+def _prose(r, n, little=LITTLE):
+    """Running text of one to three stretches: some four words in ten are function words."""
+    def sentence():
+        return " ".join(r.choice(little) if r.random() < 0.42 else r.choice(NOUNS) for _ in range(r.randint(7, 14))).capitalize() + r.choice([". ", ". ", " 12. ", ", 3.4. "])
+    return ["".join(sentence() for _ in range(r.randint(5, 12))) for _ in range(n)]
+
+
+def test_spam_is_what_is_far_off_in_a_spam_direction(spark):
+    texts = _prose(random.Random(3), 120) + [t for t, _ in CASES]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {x["doc_id"] - 120 for x in spam.spam_pages(df).collect()}
+    wrong = [t[:60] for i, (t, want) in enumerate(CASES) if (i in got) != want]
+    assert not wrong and min(got) >= 0
+
+
+def test_distance_and_direction_decide(spark):
+    texts = _prose(random.Random(3), 120) + [t for t, _ in CASES]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    real = spam.spam_pages(df).count()
+    assert spam.spam_pages(df, spread=-1e3, least=0.0).count() > real and spam.spam_pages(df, direction=0.0).count() > real
 
 
 def _stuffed(term):
-    near = " ".join(f"{term} {x} w{term}{i}{j} {f}" for i in range(5) for j, (x, f) in enumerate([(f"u{term}{i}", "for"), (f"v{term}{i}", "in")]))
-    return near + ". "
+    return " ".join(f"{term} {x} w{term}{j} {f}" for j in range(10) for x, f in ((f"u{term}{j}", "for"), (f"{term}", "in"))) + ". "
 
 
-def test_stuffing_counts_whatever_the_length_of_the_page():
-    for n in (1, 5, 20, 60):
-        page = "".join(_stuffed(f"term{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(n))
-        assert sum(spam.features_of(page, "en")[1][3:]) > 0.5, n
+def test_stuffing_counts_whatever_the_length_of_the_page(spark):
+    pages = ["".join(_stuffed(f"term{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(n)) for n in (1, 5, 20, 60)]
+    texts = _prose(random.Random(3), 400) + pages
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {x["doc_id"] for x in spam.spam_pages(df).collect()} == {400, 401, 402, 403}
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_heavy_mentions_are_those_of_some_stretch(seed):
+@pytest.mark.parametrize("seed", range(6))
+def test_stretches_hold_the_whole_text(seed):
     r = random.Random(seed)
-    at = np.array(sorted(r.sample(range(1, r.choice([40, 200, 600])), r.randint(4, 25))))
-    n, want = len(at), np.zeros(25, bool)[: len(at)]
-    for i in range(n):
-        for j in range(i + 3, n):
-            if j - i + 1 >= 0.07 * (at[j] - at[i] + 1):
-                want[i : j + 1] = True
-    assert (spam.heavy(at) == want).all()
+    text = "".join(r.choice(["word ", "a", "\n", " ", "x" * 900, "\r\n", chr(0x3000)]) for _ in range(400))
+    got = spam.stretches(text)
+    assert "".join("".join(x.split()) for x in got) == "".join(text.split())
+    assert all(spam.visible(x) <= 3 * spam.STRETCH for x in got) and all(x.strip() for x in got)
+
+
+def test_features_of_plain_cases():
+    mask = spam.language_of("the gate and the stairs are closed", "en")[1]
+    size, x = spam.features_of("the gate and the stairs", mask)
+    assert size == 19 and x[0] == 0.6 and x[1] == 1.0 and x[2:] == [0, 0, 0, 0, 0]
+    assert spam.features_of("gate gate gate", mask)[1][1:3] == [0.0, 1.0]
+    assert spam.features_of("https://a.museum/x", mask)[1][3] == 1.0 and spam.features_of("shop.museum", mask)[1][3] == 1.0
+    assert spam.features_of("#one #two", mask)[1][4] == 1.0 and spam.features_of("12 34", mask)[1][5] == 1.0
+    assert spam.features_of("a_b = c[1](x)", mask)[1][3] == 0.0
 
 
 def test_spam_pages_of_a_corpus(spark):
     r = random.Random(1)
-    rows = [(i, " ".join(r.sample(PROSE.split(), 30)) + ". " + PROSE, r.choice(["en", "EN", None, "xx"])) for i in range(200)]
-    rows += [(1000, TERMS * 3, "en"), (1000, TERMS * 3, "en"), (1001, None, "en"), (1002, " \n", "en"), (1003, "", None), (1004, "x " * 200_000, "en")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("distance", F.lit(1))
-    got = {x["doc_id"] for x in spam.spam_pages(df).collect()}
-    assert 1000 in got and not got & set(range(200)) and not got & {1001, 1002, 1003}
-    assert spam.spam_pages(df.where("false")).count() == 0
+    rows = [(i, t, r.choice(["en", "EN", None, "xx"])) for i, t in enumerate(_prose(r, 200))]
+    rows += [(1000, TERMS * 3, "en"), (1000, TERMS * 3, "en"), (1001, None, "en"), (1002, " \n", "en"), (1003, "", None), (1004, " ".join(_prose(r, 2000)), "en"), (None, TERMS * 3, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("distance", F.lit(1)).withColumn("size", F.lit("clash"))
+    assert [x["doc_id"] for x in spam.spam_pages(df).collect()] == [1000]
+    assert spam.spam_pages(df.where("false")).count() == 0 and spam.spam_pages(df.where("doc_id = 1003")).count() == 0
 
 
 @pytest.mark.parametrize("clean,spam_rows", [(130, 70), (60, 140), (3, 40), (0, 40)])
@@ -219,18 +249,27 @@ def test_spam_is_found_whatever_its_share_of_a_language(spark, clean, spam_rows)
     r = random.Random(2)
     links = "https://a.test/x1\nhttp://b.test/y2\nhttps://c.example/z?r=1\n"
     for copies in (True, False):
-        rows = [(i, " ".join(r.sample(PROSE.split(), 30)) + ". " + PROSE, "en") for i in range(clean)]
+        rows = [(i, t, "en") for i, t in enumerate(_prose(r, clean))]
         rows += [(1000 + i, links if copies else links + f"https://d.test/{i}\n", "en") for i in range(spam_rows)]
-        rows += [(5000 + i, "El perro de la casa no estaba en el jardín porque la puerta era para los gatos. " * 2, "es") for i in range(20)]
+        rows += [(5000 + i, t, "es") for i, t in enumerate(_prose(r, 20, "el la de los en y un que no se con por para su".split()))]
         got = {x["doc_id"] for x in spam.spam_pages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
         assert got == set(range(1000, 1000 + spam_rows))
 
 
-def test_distance_is_that_of_numpy(spark):
+def test_centre_and_distance_are_those_of_numpy(spark):
     r = np.random.default_rng(0)
-    x = r.normal(size=(400, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]])
-    df = spark.createDataFrame([("g", float(a), float(b)) for a, b in x], "lang string, a double, b double")
-    got = np.array([row["distance"] for row in spam.robust_distance(df, ["a", "b"], keep=1e9, floor=1e-6).orderBy("a").collect()])
-    d = x[np.argsort(x[:, 0])] - x.mean(axis=0)
-    want = np.einsum("ij,jk,ik->i", d, np.linalg.inv(np.cov(x.T, bias=True)), d)
-    assert np.allclose(got, want, rtol=1e-4)
+    x = np.clip(r.normal(size=(400, 2)) @ np.array([[60.0, 30.0], [0.0, 50.0]]) + 500, 0, 1000).round().astype(int)
+    df = spark.createDataFrame([("g", int(a), int(b)) for a, b in x], "lang string, a int, b int")
+    mean, cov = spam.robust_centres(df, ["a", "b"], {"a": 1e-9, "b": 1e-9}, keep=1e9)["g"]
+    assert np.allclose(mean, x.mean(axis=0) / 1000) and np.allclose(cov, np.cov(x.T, bias=True) / 1e6)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_cone_part_is_that_of_a_fine_search(seed):
+    r = np.random.default_rng(seed)
+    axes, y = r.normal(size=(3, 2)), r.normal(size=(20, 3))
+    got = spam.spamward_part(y, axes)
+    turn = np.linspace(0, np.pi / 2, 20001)
+    ways = np.stack([np.cos(turn), np.sin(turn)], axis=1) @ axes.T
+    ways /= np.linalg.norm(ways, axis=1)[:, None]
+    assert np.allclose(np.maximum(y @ ways.T, 0).max(axis=1) ** 2, got, atol=1e-3)
