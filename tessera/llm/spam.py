@@ -6,7 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +48,11 @@ for _k, _v in FUNCTION_WORDS.items():
         _MASK[_w] = _MASK.get(_w, 0) | _BIT[_k]
 _LINK = re.compile(
     r"<[^<>]*(?:https?://|www\.)[^<>]*>|(?:\]\()?(?:https?://|www\.)[^\s<>\"')\]]+\)?|(?<![\w@./-])[a-z0-9](?:[a-z0-9-]*\.)+[a-z]{2,}(?![\w(=.-])(?:/[^\s<>\"')\]]*)?", re.I)
+_MAYBE_LINK = re.compile(r"\.[A-Za-z]{2}|://|www\.", re.I)
+_MAYBE_MARK = re.compile(r"[#$\xa3€]|EUR|USD|GBP")
 _TAG = re.compile(r"<[^<>]*>")
 _MARK = re.compile(r"#[^\W\d_]\w*|(?:EUR|USD|GBP|[$\xa3€])\s?\d[\d.,]*|\d[\d.,]*\s?(?:EUR|USD|GBP|[$\xa3€])")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?\d*|\d[\d.,:/-]*|_+")
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def visible(text: str) -> int:
@@ -98,58 +99,70 @@ def stretches(text: str, width: int = STRETCH) -> list[str]:
     return out
 
 
-def language_of(text: str, lang: str | None = None) -> tuple[str, int]:
+def language_of(words: Counter, lang: str | None = None) -> tuple[str, int]:
     """The language of which most function words occur, and the mask of all languages used.
 
     ``lang`` holds unless another language has clearly more, so a text with hardly any function word keeps it.
     """
-    seen = Counter(_LETTERS.findall(text.lower()))
     hits = dict.fromkeys(_BIT, 0)
-    for w in seen.keys() & _MASK.keys():
-        for k, bit in _BIT.items():
-            if _MASK[w] & bit:
-                hits[k] += seen[w]
+    for w, n in words.items():
+        of = _MASK.get(w)
+        if of:
+            for k, bit in _BIT.items():
+                if of & bit:
+                    hits[k] += n
     best, lang = max(hits.values()), (lang or "").lower()
     own = lang if lang in hits and hits[lang] + 3 >= 0.8 * best else max(hits, key=lambda k: (hits[k], k == "en"))
     return own, _BIT[own] | sum(bit for k, bit in _BIT.items() if hits[k] >= max(3, 0.25 * best))
 
 
-def features_of(stretch: str, mask: int) -> tuple[int, list[float]]:
-    """Visible characters and the plain densities of a stretch, each from 0 to 1.
-
-    Share of function words among the words; entropy of the other words, 1 where all differ; share of them that come
-    again within ``NEAR``; then, in visible characters, the shares of links, of marks (hashtags and prices), of numbers,
-    and of what is neither letter nor digit.
-    """
+def shares_of(stretch: str) -> tuple[int, list[str], list[float]]:
+    """Visible characters, words, and the shares of links, marks, numbers and symbols in a stretch."""
     links = marks = 0
+    bare = stretch
+    if _MAYBE_LINK.search(bare):
+        links = visible(bare) - visible(bare := _LINK.sub(" ", bare))
+    if "<" in bare:
+        bare = _TAG.sub(" ", bare)
+    n = visible(bare)
+    size = max(1, n + links)
+    if _MAYBE_MARK.search(bare):
+        marks = n - visible(bare := _MARK.sub(" ", bare))
+    words, letters, digits = [], 0, 0
+    for w in _TOKEN.findall(bare.lower()):
+        if w[0].isalpha():
+            words.append(w)
+            letters += len(w)
+        elif w[0] != "_":
+            digits += len(w)
+    symbols = max(0, size - links - marks - digits - letters)
+    return size, words, [links / size, marks / size, digits / size, symbols / size]
+
 
-    def link(m: re.Match) -> str:
-        nonlocal links
-        links += visible(m[0])
-        return " "
-
-    def mark(m: re.Match) -> str:
-        nonlocal marks
-        marks += visible(m[0])
-        return " "
-
-    bare = _LINK.sub(link, stretch) if "." in stretch else stretch
-    bare = _TAG.sub(" ", bare) if "<" in bare else bare
-    size = max(1, visible(bare) + links)
-    tokens = _TOKEN.findall(_MARK.sub(mark, bare).lower())
-    words = [w for w in tokens if w[0].isalpha()]
-    letters, digits = sum(map(len, words)), sum(len(w) for w in tokens if w[0].isdigit())
+def densities_of(words: list[str], mask: int) -> list[float]:
+    """Share of function words, entropy of the others (1 where all differ), and share of them that come again within ``NEAR``."""
     content = [w for w in words if not _MASK.get(w, 0) & mask]
     m, at = len(content), {}
-    again = [False] * m
+    if m < 2:
+        return [1 - m / len(words) if words else 0.0, 1.0, 0.0]
+    again, repeats = set(), False
     for k, w in enumerate(content):
-        j = at.get(w, -NEAR - 1)
-        if k - j <= NEAR:
-            again[j] = again[k] = True
+        j = at.get(w)
+        if j is not None:
+            repeats = True
+            if k - j <= NEAR:
+                again.add(j)
+                again.add(k)
         at[w] = k
-    entropy = 1.0 if m < 2 else -sum(c / m * math.log2(c / m) for c in Counter(content).values()) / math.log2(m)
-    symbols = max(0, size - links - marks - digits - letters)
-    return size, [1 - m / len(words) if words else 0.0, entropy, sum(again) / m if m else 0.0, links / size, marks / size, digits / size, symbols / size]
+    entropy = -sum(c / m * math.log2(c / m) for c in Counter(content).values()) / math.log2(m) if repeats else 1.0
+    return [1 - m / len(words), entropy, len(again) / m]
+
+
+def features_of(text: str, lang: str | None = None) -> tuple[str, list[tuple[int, list[float]]]]:
+    """Language of a text, and visible characters and the plain densities, each from 0 to 1, of each of its stretches."""
+    parts = [shares_of(s) for s in stretches(text)]
+    own, mask = language_of(Counter(chain.from_iterable(words for _, words, _ in parts)), lang)
+    return own, [(size, densities_of(words, mask) + shares) for size, words, shares in parts]
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -161,9 +174,8 @@ def text_features(docs: DataFrame) -> DataFrame:
         for b in batches:
             of, langs, parts, sizes, values = [], [], [], [], []
             for row, (text, lang) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                own, mask = language_of(text, lang)
-                for k, s in enumerate(stretches(text)):
-                    size, x = features_of(s, mask)
+                own, found = features_of(text, lang)
+                for k, (size, x) in enumerate(found):
                     of.append(row)
                     parts.append(k)
                     langs.append(own)
