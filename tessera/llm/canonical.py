@@ -5,89 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Look-alike letters, accented letters, digits typed for letters, and words curators add to a name.
+from tessera.llm.workspace import Workspace
+
+# Look-alike letters, accented letters, and digits typed for letters.
 LOOKALIKES = {
     "a": "аαáàâäãåā", "b": "ƅ", "c": "сçćč", "d": "ԁ", "e": "еεéèêëē", "h": "һ", "i": "іιíìîïī", "j": "ј", "k": "κ", "n": "ñń", "o": "оοóòôöõōø",
     "p": "рρ", "q": "ԛ", "s": "ѕśš", "u": "υúùûüū", "v": "ν", "w": "ԝ", "x": "хχ", "y": "уýÿ", "z": "žźż",
 }
 DIGIT_LETTERS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-ADDED_WORDS = ["dataset", "set", "yolo", "coco", "upload", "new", "final", "export", "copy", "class", "label", "obj", "annotated", "bbox"]
 
-_FROM = "".join(LOOKALIKES.values())
-_TO = "".join(plain * len(alike) for plain, alike in LOOKALIKES.items())
-_ADDED = rf"^({'|'.join(ADDED_WORDS)}|v?\d+|\d+(st|nd|rd|th))$"
+LOOKS = "".join(LOOKALIKES.values()), "".join(plain * len(alike) for plain, alike in LOOKALIKES.items())
+DIGITS = "".join(DIGIT_LETTERS) + "l", "".join(DIGIT_LETTERS.values()) + "i"
 
 
-def words_of(c: Column) -> Column:
-    """Words of a name as plain lower-case letters, without added words; l and i are one letter, as 1 stands for both."""
-    plain = F.translate(F.lower(c), _FROM, _TO)
-    invisible = F.regexp_replace(plain, "[" + "".join(map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD))) + "]", "")
-    words = F.regexp_extract_all(invisible, F.lit("[a-z0-9]+"), 0)
-    kept = F.filter(words, lambda w: ~w.rlike(_ADDED))
-    digits, letters = "".join(DIGIT_LETTERS), "".join(DIGIT_LETTERS.values())
-    return F.transform(F.when(F.size(kept) > 0, kept).otherwise(words), lambda w: F.translate(w, digits + "l", letters + "i"))
+def plain_of(c: Column) -> Column:
+    """The letters and digits of a name as plain lower-case letters; l and i are one letter, as 1 stands for both."""
+    return F.translate(F.regexp_replace(F.translate(F.lower(c), *LOOKS), "[^a-z0-9]+", ""), *DIGITS)
 
 
-def _grams(s: Column, sizes: tuple[int, ...]) -> Column:
+def grams_of(s: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct n-grams of a text marked at both ends."""
     marked = F.concat(F.lit("^"), s, F.lit("$"))
 
     def of(n: int) -> Column:
         last = F.length(marked) - n
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(marked, i + 1, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*[of(n) for n in sizes])
-
-
-def _turns(words: Column) -> Column:
-    """The words joined, in every rotation of their order."""
-    n = F.size(words)
-    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.array_join(F.concat(F.slice(words, i + 1, F.greatest(n - i, F.lit(0))), F.slice(words, F.lit(1), i)), ""))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
 def map_values(
-    values: DataFrame, refs: DataFrame, sizes: tuple[int, ...] = (2, 3), least: float = 0.2, margin: float = 0.03, max_edits: int = 3, edit_share: float = 0.3,
+    values: DataFrame, refs: DataFrame, sizes: tuple[int, ...] = (2, 3), least: float = 0.47, margin: float = 0.04, strange: float = 0.3, ws: Workspace | None = None,
 ) -> DataFrame:
-    """field, value, ref_id, score for each distinct value of a field; ref_id is -1 where nothing is meant.
+    """field, value, ref_id, score for each distinct value of a field; ref_id is -1 and score null where nothing is meant.
 
     ``values``: field, value. ``refs``: field, ref_id, name; an entry may have several names. Null and blank values and
     names are left out; a value without letters and digits, or of a field without references, is unmatched. Values that
     differ only in spelling are scored once.
 
-    Method: values are made distinct and normalised. Candidates come from an inverted index of character n-grams and
-    are scored by cosine, each gram weighted by the rarity of its gram among the names. The best is accepted above
-    ``least`` and ``margin`` over the next entry, and must pass an exact check: at most ``max_edits`` edits and
-    ``edit_share`` of its length in some rotation of the words, or nearly the same letters with some exchanged, or the
-    same words in any order, or a cut-off writing of more than half of the name.
+    Method: values are made distinct, normalised (:func:`plain_of`) and written once. Candidates come from an inverted
+    index of character n-grams and are scored by cosine, where a gram weighs by its rarity among the names. A gram of no
+    name, as in added words, tells no entry and weighs ``strange`` of the rarest. The best entry is accepted if its score
+    is at least ``least`` and ``margin`` above that of the next entry; nothing else decides.
     """
+    ws = ws or Workspace(values.sparkSession)
     v = values.where("field is not null and value is not null and trim(value) <> ''").select("field", "value").distinct()
-    v = v.withColumn("ws", words_of(F.col("value"))).withColumn("s", F.array_join("ws", ""))
-    s = v.where("s <> ''").select("field", "s", "ws").distinct()
-    r = refs.where("field is not null and name is not null and trim(name) <> ''").select("field", "ref_id", F.array_join(words_of(F.col("name")), "").alias("name")).where("name <> ''").distinct()
-
-    def vectors(df: DataFrame, key: list[str], text: str) -> DataFrame:
-        return df.select(*key, F.explode(_grams(F.col(text), sizes)).alias("g")).groupBy(*key, "g").agg(F.count("*").alias("tf"))
-
-    rg = vectors(r, ["field", "ref_id", "name"], "name")
+    v = ws.table(v.withColumn("s", plain_of(F.col("value"))))
+    r = refs.where("field is not null and ref_id is not null and name is not null").select("field", "ref_id", plain_of(F.col("name")).alias("name")).where("name <> ''").distinct()
+    rg = r.select("field", "ref_id", "name", F.explode(grams_of(F.col("name"), sizes)).alias("g"))
     n_names = r.groupBy("field").agg(F.count("*").alias("names"))
     rarity = rg.groupBy("field", "g").agg(F.count("*").alias("df")).join(n_names, "field").select("field", "g", F.log1p(F.col("names") / F.col("df")).alias("w"))
-    index = rg.join(rarity, ["field", "g"]).select("field", "ref_id", "name", "g", (F.col("tf") * F.col("w")).alias("x"))
-    r_norm = index.groupBy("field", "ref_id", "name").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("rn"))
-    vg = vectors(s.select("field", "s").distinct(), ["field", "s"], "s").join(n_names, "field").join(rarity, ["field", "g"], "left")
-    vg = vg.select("field", "s", "g", (F.col("tf") * F.coalesce("w", F.log1p(F.col("names").cast("double")))).alias("y"))
-    v_norm = vg.groupBy("field", "s").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("vn"))
-    dots = vg.join(index, ["field", "g"]).groupBy("field", "s", "ref_id", "name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(v_norm, ["field", "s"]).join(r_norm, ["field", "ref_id", "name"]).select("field", "s", "ref_id", "name", (F.col("dot") / (F.col("vn") * F.col("rn"))).alias("score"))
-    per_entry = scored.groupBy("field", "s", "ref_id").agg(F.max(F.struct("score", "name")).alias("b"))
-    w = Window.partitionBy("field", "s").orderBy(F.col("b.score").desc(), F.col("b.name").desc(), F.col("ref_id").desc())
-    two = per_entry.withColumn("k", F.row_number().over(w)).where("k <= 2")
-    ranked = two.groupBy("field", "s").agg(F.max(F.when(F.col("k") == 1, F.struct("ref_id", "b.name", "b.score"))).alias("top"), F.max(F.when(F.col("k") == 2, F.col("b.score"))).alias("next"))
-    best = ranked.select("field", "s", "top.ref_id", "top.name", "top.score", (F.col("top.score") - F.coalesce("next", F.lit(0.0))).alias("lead"))
-    near = s.join(best, ["field", "s"]).withColumn("edits", F.array_min(F.transform(_turns(F.col("ws")), lambda t: F.levenshtein(t, F.col("name")))))
-    size, letters = F.length("name"), lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
-    loose = F.levenshtein(letters(F.col("s")), letters(F.col("name")))
-    checked = (F.col("edits") <= F.least(F.lit(max_edits), F.greatest(F.lit(1), F.floor(size * edit_share)))) | (
-        (F.col("edits") <= max_edits + 1) & ((loose == 0) | ((loose <= 2) & (size >= 7)))) | (
-        (loose == 0) & (F.col("score") >= 0.6)) | (
-        F.col("name").startswith(F.col("s")) & (F.length("s") >= 4) & (F.length("s") > size * 0.5))
-    good = near.where((F.col("score") >= least) & (F.col("lead") >= margin) & checked).groupBy("field", "s").agg(F.first("ref_id").alias("ref_id"), F.first("score").alias("score"))
+    index = ws.table(rg.join(rarity, ["field", "g"]).select("field", "ref_id", "name", "g", "w"))
+    r_norm = index.groupBy("field", "ref_id", "name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
+    weighed = index.select("field", "g", "w").distinct()
+    vg = v.where("s <> ''").select("field", "s").distinct().select("field", "s", F.explode(grams_of(F.col("s"), sizes)).alias("g"))
+    rarest = F.lit(strange) * F.log1p(F.col("names").cast("double"))
+    v_norm = vg.join(n_names, "field").join(weighed, ["field", "g"], "left").withColumn("y", F.coalesce("w", rarest)).groupBy("field", "s").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("vn"))
+    dots = vg.join(index, ["field", "g"]).groupBy("field", "s", "ref_id", "name").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
+    scored = dots.join(r_norm, ["field", "ref_id", "name"]).groupBy("field", "s", "ref_id").agg(F.max(F.col("dot") / F.col("rn")).alias("part"))
+    w = Window.partitionBy("field", "s").orderBy(F.col("part").desc(), "ref_id")
+    two = scored.withColumn("k", F.row_number().over(w)).where("k <= 2")
+    ranked = two.groupBy("field", "s").agg(F.max(F.when(F.col("k") == 1, F.struct("ref_id", "part"))).alias("top"), F.coalesce(F.max(F.when(F.col("k") == 2, F.col("part"))), F.lit(0.0)).alias("next"))
+    best = ranked.join(v_norm, ["field", "s"]).select("field", "s", "top.ref_id", (F.col("top.part") / F.col("vn")).alias("score"), ((F.col("top.part") - F.col("next")) / F.col("vn")).alias("lead"))
+    good = best.where((F.col("score") >= least) & (F.col("lead") >= margin)).select("field", "s", "ref_id", "score")
     return v.join(good, ["field", "s"], "left").select("field", "value", F.coalesce("ref_id", F.lit(-1)).cast("long").alias("ref_id"), "score")

@@ -98,19 +98,24 @@ def _typed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return typed.where(F.trim(F.regexp_replace("value", r"[\s" + chr(0xA0) + "]+", " ")) != "").distinct(), exact.unionByName(aliases), exact.select("field", F.col("name").alias("value")).distinct()
 
 
+def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Typed values that are no canonical spelling, and what each of them means."""
+    ws = Workspace(spark)
+    typed, refs, exact = _typed(spark, d)
+    open_ = ws.table(typed.join(exact, ["field", "value"], "left_anti"))
+    return open_, canonical.map_values(open_, refs, ws=ws)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Each typed value that is no canonical spelling, with the entry meant or -1."""
-    typed, refs, exact = _typed(spark, d)
-    open_ = typed.join(exact, ["field", "value"], "left_anti")
-    return open_.join(canonical.map_values(open_, refs), ["field", "value"]).select("entry_id", "field", "ref_id").distinct()
+    open_, meant = _mapped(spark, d)
+    return open_.join(meant, ["field", "value"]).select("entry_id", "field", "ref_id").distinct()
 
 
 def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Typed values without an entry, with the number of entries that hold them."""
-    typed, refs, exact = _typed(spark, d)
-    open_ = typed.join(exact, ["field", "value"], "left_anti")
-    none = canonical.map_values(open_, refs).where("ref_id = -1")
-    return open_.join(none, ["field", "value"]).groupBy("field", "value").agg(F.count("*").alias("n_entries"))
+    open_, meant = _mapped(spark, d)
+    return open_.join(meant.where("ref_id = -1"), ["field", "value"]).groupBy("field", "value").agg(F.count("*").alias("n_entries"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm import canonical
+
 _SPLIT = "CASE WHEN lower(trim(split)) IN ('valid', 'validation') THEN 'val' WHEN lower(trim(split)) IN ('train', 'val', 'test') THEN lower(trim(split)) END"
 _SRC = r"""nullif(regexp_replace(regexp_replace(trim(lower(regexp_extract(regexp_replace(regexp_replace(src, '[\s\x{a0}\x{2007}\x{202f}\x{200b}\x{feff}]+', ' ', 'g'), '[/\\ ]+$', ''), '([^/\\]*)$', 1))),
  '(\.v\d+i\.[a-z0-9]+|\.(zip|tar|tgz|gz|rar|7z))+$', ''), '[^a-z0-9]', '', 'g'), '')"""
@@ -62,7 +64,36 @@ seen AS (SELECT 'build_dataset' AS t, c, count(*) AS n FROM im GROUP BY c UNION
 SELECT DISTINCT plan_id, category FROM sample_plan LEFT JOIN seen ON t = over_table AND c = category
 WHERE over_table IN ('build_dataset', 'resplit_dataset') AND coalesce(n, 0) < greatest(min_rows, round(share * sample_size))"""
 
+
+
+def _plain(c: str) -> str:
+    looks, digits = canonical.LOOKS, canonical.DIGITS
+    return f"translate(regexp_replace(translate(lower({c}), '{looks[0]}', '{looks[1]}'), '[^a-z0-9]+', '', 'g'), '{digits[0]}', '{digits[1]}')"
+
+
+_GRAMS = "list_distinct(list_concat(list_transform(range(1, length({0}) + 2), lambda i: substr('^' || {0} || '$', i, 2)), list_transform(range(1, length({0}) + 1), lambda i: substr('^' || {0} || '$', i, 3))))"
+_P4 = f"""WITH typed AS (SELECT DISTINCT * FROM (SELECT entry_id, 'sources' AS field, sources AS v FROM class_map UNION ALL SELECT entry_id, 'classes', classes FROM class_map)
+ WHERE trim(regexp_replace(v, '[\\s\\x{{a0}}]+', ' ', 'g')) <> ''),
+exact AS (SELECT 'sources' AS field, source_id AS ref_id, slug AS name FROM source_ref UNION ALL SELECT 'classes', class_id, class_name FROM class_ref),
+named AS (SELECT * FROM exact UNION ALL SELECT 'classes', class_id, unnest(aliases) FROM class_ref),
+opened AS (SELECT * FROM typed WHERE (field, v) NOT IN (SELECT (field, name) FROM exact)),
+r AS (SELECT DISTINCT field, ref_id, {_plain('name')} AS name FROM named WHERE {_plain('name')} <> ''),
+n AS (SELECT field, count(*) AS n FROM r GROUP BY field),
+rg AS (SELECT *, unnest({_GRAMS.format('name')}) AS g FROM r),
+w AS (SELECT field, g, ln(1 + any_value(n) / count(*)) AS w FROM rg JOIN n USING (field) GROUP BY field, g),
+rn AS (SELECT field, ref_id, name, sqrt(sum(w * w)) AS rn FROM rg JOIN w USING (field, g) GROUP BY ALL),
+s AS (SELECT DISTINCT field, {_plain('v')} AS s FROM opened WHERE {_plain('v')} <> ''),
+vg AS (SELECT *, unnest({_GRAMS.format('s')}) AS g FROM s),
+vn AS (SELECT field, s, sqrt(sum(coalesce(w, 0.3 * ln(1 + n)) ** 2)) AS vn FROM vg JOIN n USING (field) LEFT JOIN w USING (field, g) GROUP BY field, s),
+sc AS (SELECT field, s, ref_id, max(dot / rn) AS part FROM (SELECT vg.field, s, ref_id, name, sum(w * w) AS dot FROM vg JOIN rg USING (field, g) JOIN w USING (field, g) GROUP BY ALL) JOIN rn USING (field, ref_id, name) GROUP BY ALL),
+two AS (SELECT *, coalesce(lead(part) OVER o, 0) AS next, row_number() OVER o AS k FROM sc WINDOW o AS (PARTITION BY field, s ORDER BY part DESC, ref_id)),
+m AS (SELECT field, s, ref_id FROM two JOIN vn USING (field, s) WHERE k = 1 AND part / vn >= 0.47 AND (part - next) / vn >= 0.04),
+got AS (SELECT DISTINCT entry_id, opened.field, v, coalesce(ref_id, -1) AS ref_id FROM opened LEFT JOIN m ON m.field = opened.field AND m.s = {_plain('v')})
+"""
+
 SQL = {
     "p1_found": _P1, "p2_found": _P2, "p2_report": _P2R, "p3_found": _RUNS + "SELECT first_alert_id, last_alert_id FROM d WHERE n_alerts >= 2",
-    "p3_events": _RUNS + "SELECT stream_id, person_id, threat_level, weapons, first_alert_id, last_alert_id, n_alerts, duration_s FROM d", "p5_found": _P5, "p6_found": _P6,
+    "p3_events": _RUNS + "SELECT stream_id, person_id, threat_level, weapons, first_alert_id, last_alert_id, n_alerts, duration_s FROM d", "p4_found": _P4 + "SELECT DISTINCT entry_id, field, ref_id FROM got",
+    "p4_unmatched": _P4 + "SELECT field, v AS value, count(*) AS n_entries FROM got WHERE ref_id = -1 GROUP BY field, v",
+    "p5_found": _P5, "p6_found": _P6,
 }

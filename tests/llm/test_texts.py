@@ -155,6 +155,15 @@ def test_values_are_mapped(spark, field, value, want):
     assert [(r["value"], r["ref_id"]) for r in canonical.map_values(values, refs).collect()] == [(value, want)]
 
 
+def test_threshold_and_margin_decide(spark):
+    refs = spark.createDataFrame(REFS, "field string, ref_id long, name string")
+    values = spark.createDataFrame([("s", v) for v in ("blaeds_chapl", "ramp", "yard of guns", "knife ramp 2nd upload")], "field string, value string")
+    found = lambda **k: {r["value"]: r["ref_id"] for r in canonical.map_values(values, refs, **k).collect()}
+    assert found() == {"blaeds_chapl": 1, "ramp": -1, "yard of guns": -1, "knife ramp 2nd upload": 2}
+    assert set(found(least=0.95).values()) == {-1} and set(found(margin=0.9).values()) == {-1}
+    assert -1 not in found(least=0.0, margin=0.0).values()
+
+
 def test_no_values_or_no_references(spark):
     refs = spark.createDataFrame(REFS, "field string, ref_id long, name string")
     values = spark.createDataFrame([("s", "blades_chapel")], "field string, value string")
