@@ -20,30 +20,37 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _image_units(spark: SparkSession, d: str) -> DataFrame:
     key = keys.source_key(F.col("src"))
     arr = F.when(key.isNotNull(), F.array(key))
-    return _read(spark, d, "build_dataset").select(F.col("image_id").alias("record_id"), keys.split_key(F.col("split")).alias("split"), arr.alias("keys"))
+    return _read(spark, d, "build_dataset").select(F.col("image_id").alias("record_id"), keys.split_key(F.col("split")).alias("split"), arr.alias("keys"), F.col("ingested_at").alias("at"))
 
 
 def _group_units(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "resplit_dataset").select(F.col("group_id").alias("record_id"), keys.split_key(F.col("split")).alias("split"), keys.clip_keys(F.col("clips")).alias("keys"))
+    return _read(spark, d, "resplit_dataset").select(F.col("group_id").alias("record_id"), keys.split_key(F.col("split")).alias("split"), keys.clip_keys(F.col("clips")).alias("keys"), F.col("built_at").alias("at"))
+
+
+def _in_halves(spark: SparkSession, records: DataFrame, proportions: dict[str, float] | None, reassign: bool = False) -> DataFrame:
+    """Units after two batches: what came in the first half of the time, or at no known time, and the rest."""
+    records = Workspace(spark).table(records)
+    ends = records.agg(F.min("at").alias("a"), F.max("at").alias("z")).first()
+    if ends["a"] is None:
+        return splits.in_batches(spark, [records.drop("at")], proportions, reassign)
+    first = F.coalesce(F.col("at") <= F.lit(ends["a"] + (ends["z"] - ends["a"]) / 2), F.lit(True))
+    return splits.in_batches(spark, [records.where(first).drop("at"), records.where(~first).drop("at")], proportions, reassign)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Records whose source or tied set stands in several splits as delivered: the quarantined merges."""
+    """Records whose source or tied set stands in several splits as delivered: the quarantined merges after two batches."""
     out = None
     for kind, records in (("image", _image_units(spark, d)), ("group", _group_units(spark, d))):
-        members, _ = splits.units(records, Workspace(spark))
-        bad = splits.conflicts(splits.placed(members)).select("unit_id")
-        found = members.join(bad, "unit_id").select(F.lit(kind).alias("kind"), "record_id", "unit_id")
-        out = found if out is None else out.unionByName(found)
+        got = _in_halves(spark, records, None).where("state = 'quarantined'").select(F.lit(kind).alias("kind"), "record_id", "unit_id")
+        out = got if out is None else out.unionByName(got)
     return out
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
-    """Every record's split with whole units; units that were spread are placed anew."""
+    """Every record's split with whole units after two batches; units that were spread are placed anew."""
     out = None
     for kind, records in (("image", _image_units(spark, d)), ("group", _group_units(spark, d))):
-        got, _ = splits.update(spark, records, None, PROPORTIONS, reassign=True)
-        got = got.select(F.lit(kind).alias("kind"), "record_id", "unit_id", "split", "state")
+        got = _in_halves(spark, records, PROPORTIONS, reassign=True).select(F.lit(kind).alias("kind"), "record_id", "unit_id", "split", "state")
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -93,6 +93,44 @@ def test_an_increment_keeps_grows_and_quarantines(spark):
     assert out[10] == (1, "train", "kept") and out[11] == (2, None, "quarantined") and out[12][2] == "new"
     held = {r["key"]: (r["unit_id"], r["split"]) for r in table.collect()}
     assert held["z"] == (4, "test") and held["b"] == held["c"] == (2, None) and held["a"] == (1, "train")
+    assert {r["key"]: r["n"] for r in table.collect() if r["key"] in "abcz"} == {"a": 2, "b": 3, "c": 3, "z": 1}
+
+
+def test_a_quarantined_unit_stays_so_until_someone_decides(spark):
+    ws = Workspace(spark)
+    _, known = splits.update(spark, records(spark, [(1, "train", ["a"]), (2, "val", ["a"]), (3, "train", ["b"])]), None, SHARES, ws)
+    got, known = splits.update(spark, records(spark, [(10, None, ["a"]), (11, None, ["a", "b"])]), known, SHARES, ws)
+    assert {tuple(x)[1:] for x in got.collect()} == {(1, None, "quarantined")}
+    assert {(r["key"], r["unit_id"], r["state"], r["n"]) for r in known.collect()} == {("a", 1, "quarantined", 5), ("b", 1, "quarantined", 5)}
+    got, known = splits.update(spark, records(spark, [(12, None, ["b"])]), known, SHARES, ws, reassign=True)
+    placed = got.first()
+    assert placed["state"] == "reassigned" and placed["split"] is not None
+    got, known = splits.update(spark, records(spark, [(13, "test", ["a"])]), known, SHARES, ws)
+    assert tuple(got.first()) == (13, 1, placed["split"], "reassigned") and known.first()["n"] == 7
+
+
+def test_deficits_are_those_of_all_batches(spark):
+    ws = Workspace(spark)
+    _, known = splits.update(spark, records(spark, [(i, "train", [f"t{i % 90}"]) for i in range(900)]), None, SHARES, ws)
+    got, known = splits.update(spark, records(spark, [(1000 + i, None, [f"n{i}"]) for i in range(100)]), known, SHARES, ws)
+    assert {x["split"]: x["n"] for x in got.groupBy("split").agg(F.count("*").alias("n")).collect()} == {"val": 50, "test": 50}
+    again, known = splits.update(spark, records(spark, [(1000, None, ["n0"]), (2000, None, ["n0"])]), known, SHARES, ws, seen=got)
+    assert known.where("key = 'n0'").first()["n"] == 2 and {x["state"] for x in again.collect()} == {"new"}
+
+
+@pytest.mark.parametrize("seed,cut", [(s, c) for s in range(3) for c in (0, 20, 60)])
+def test_batches_give_the_units_of_one_graph(spark, seed, cut):
+    r = random.Random(seed)
+    ids = list(range(60))
+    r.shuffle(ids)
+    rows = [(i, r.choice(["train", "train", "val", None]), r.sample([f"k{x}" for x in range(45)], r.choice([0, 1, 1, 2]))) for i in ids]
+    heads = naive_heads([(a, b) for k in {k for _, _, ks in rows for k in ks} for a, b in zip([i for i, _, ks in rows if k in ks], [i for i, _, ks in rows if k in ks][1:])])
+    held = {}
+    for i, s, _ in rows:
+        held.setdefault(heads.get(i, i), set()).add(s)
+    want = {(i, heads.get(i, i), "quarantined" if len(held[heads.get(i, i)] - {None}) > 1 else "kept" if held[heads.get(i, i)] - {None} else "open") for i, _, _ in rows}
+    got = splits.in_batches(spark, [records(spark, rows[:cut]), records(spark, rows[cut:] + rows[:5])], None)
+    assert {(x["record_id"], x["unit_id"], x["state"]) for x in got.collect()} == want
 
 
 def test_shares_hold_as_nearly_as_whole_units_allow(spark):

@@ -161,7 +161,7 @@ def test_threshold_and_margin_decide(spark):
     found = lambda **k: {r["value"]: r["ref_id"] for r in canonical.map_values(values, refs, **k).collect()}
     assert found() == {"blaeds_chapl": 1, "ramp": -1, "yard of guns": -1, "knife ramp 2nd upload": 2}
     assert set(found(least=0.95).values()) == {-1} and set(found(margin=0.9).values()) == {-1}
-    assert -1 not in found(least=0.0, margin=0.0).values()
+    assert found(least=0.0, margin=0.0)["ramp"] in (2, 3)
 
 
 def test_no_values_or_no_references(spark):
