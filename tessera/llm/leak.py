@@ -5,20 +5,26 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import LOOKALIKES
+from tessera.llm.workspace import Workspace
 
 SHINGLE = 5
-TILE = 3
-BLOCK_WORDS = 200_000
+#: Words of a section, and words that it shares with the next one.
+SECTION, SHARED = 1024, 256
+#: Bits of the filter of item seeds, which bounds what is broadcast: 8 MB, whatever the number of items.
+FILTER_BITS = 26
+#: Distinct words whose hashes a worker remembers.
+CACHE = 1 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _POINT = re.compile(r"[.,](?<=\d.)(?=\d)")
 _HYPHEN = re.compile(r"-(?:[ \t]*\r?\n[>|# \t]*|(?<=\w-)(?=\w))")
@@ -61,56 +67,110 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(_HYPHEN.sub("", text) if "-" in text else text)
 
 
-def matches(doc: list[int], item: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
-    """(item start, doc start, ``least``) of all matches of ``least`` words."""
-    at = defaultdict(list)
-    for i in range(len(item) - least + 1):
-        at[tuple(item[i : i + least])].append(i)
-    return [(i, j, least) for j in range(len(doc) - least + 1) for i in at.get(tuple(doc[j : j + least]), ())]
+class Words:
+    """Words as 64-bit hashes; frequent words are hashed once per worker."""
 
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
 
-def tiles(doc: list[int], item: list[int], least: int = TILE) -> list[tuple[int, int, int]]:
+    def of(self, text: str) -> list[int]:
+        known, out = self.known, []
+        for w in words_of(text):
+            h = known.get(w)
+            if h is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            out.append(h)
+        return out
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers 0 to ``n`` of the base."""
+    out = np.ones(n + 1, np.uint64)
+    np.multiply.accumulate(np.full(n, _BASE), out=out[1:])
+    return out
+
+
+_POWERS = powers(SECTION)
+
+
+class Rolling:
+    """Karp-Rabin hashes of all windows of any length, by one subtraction and one product each.
+
+    Hashes are comparable between texts that were given the same ``power``, the powers of the base up to the longer one.
+    """
+
+    def __init__(self, words: np.ndarray, power: np.ndarray):
+        self.words = words
+        self.upto = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * power[: len(words)], out=self.upto[1:])
+        # The sum of a window begins with the power of its place; times what is missing, places make no difference.
+        self.shift = power[::-1]
+
+    def windows(self, n: int) -> np.ndarray:
+        m = max(0, len(self.words) - n + 1)
+        return (self.upto[n : n + m] - self.upto[:m]) * self.shift[:m] if m else np.zeros(0, np.uint64)
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item start, doc start, length) of the longest matches that share no word, longest first.
 
-    Matches of ``least`` words are found by their hash and lengthened; in each round the longest are marked, first come
-    first served, and what touches marked words is looked up anew.
+    Running Karp-Rabin: in each round the longest length at which unmarked windows of both agree is found by halving,
+    with window hashes that cost the same at every length; all such matches are marked in the item's order, first come
+    first served, each compared word by word, and the next round looks at what is unmarked.
     """
-    at = defaultdict(list)
-    for i in range(len(item) - least + 1):
-        at[hash(tuple(item[i : i + least]))].append(i)
-    free_d, free_i = [True] * len(doc), [True] * len(item)
+    power = _POWERS if max(len(doc), len(item)) <= SECTION else powers(max(len(doc), len(item)))
+    d, i = Rolling(doc, power), Rolling(item, power)
+    used_d, used_i = np.zeros(len(doc) + 1, np.int64), np.zeros(len(item) + 1, np.int64)
+    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
     out: list[tuple[int, int, int]] = []
-    while True:
-        best, found = least, []
-        for j in range(len(doc) - least + 1):
-            for i in at.get(hash(tuple(doc[j : j + least])), ()):
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and free_i[i + n] and free_d[j + n]:
-                    n += 1
-                if n > best:
-                    best, found = n, [(i, j)]
-                elif n == best:
-                    found.append((i, j))
-        if not found:
+
+    def open_windows(r: Rolling, used: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        h = r.windows(n)
+        at = np.flatnonzero(used[n : n + len(h)] == used[: len(h)])
+        return h[at], at
+
+    def agree(n: int) -> bool:
+        return bool(np.isin(open_windows(i, used_i, n)[0], open_windows(d, used_d, n)[0]).any())
+
+    high = min(len(doc), len(item))
+    while high >= least and agree(least):
+        low, top = least, high
+        while low < top:
+            n = (low + top + 1) // 2
+            low, top = (n, top) if agree(n) else (low, n - 1)
+        hi, at_i = open_windows(i, used_i, low)
+        hd, at_d = open_windows(d, used_d, low)
+        order = np.argsort(hd, kind="stable")
+        hd, at_d = hd[order], at_d[order]
+        marked = False
+        for h, a in zip(hi, at_i.tolist()):
+            if not free_i[a : a + low].all():
+                continue
+            for k in range(int(np.searchsorted(hd, h, "left")), int(np.searchsorted(hd, h, "right"))):
+                b = int(at_d[k])
+                if free_d[b : b + low].all() and (doc[b : b + low] == item[a : a + low]).all():
+                    free_i[a : a + low] = free_d[b : b + low] = False
+                    out.append((a, b, low))
+                    marked = True
+                    break
+        if not marked:
             return out
-        for i, j in found:
-            if all(free_i[i : i + best]) and all(free_d[j : j + best]):
-                free_i[i : i + best] = [False] * best
-                free_d[j : j + best] = [False] * best
-                out.append((i, j, best))
+        np.cumsum(~free_i, out=used_i[1:])
+        np.cumsum(~free_d, out=used_d[1:])
+        high = low
+    return out
 
 
-def longest_passage(doc: list[int], item: list[int], min_words: int, one_in: int, diagonals: list[int] | None = None) -> int:
+def longest_passage(doc: list[int], item: list[int], min_words: int, one_in: int, diagonals: list[int]) -> int:
     """Words of the longest stretch of the item that the document holds in order with one edit in ``one_in`` words.
 
     The stretch begins and ends with words that are there; 0 if none reaches ``min_words``. It is looked for on the
-    ``diagonals`` (place in the document less place in the item) and as far beside them as edits can lead, without
-    ``diagonals`` on those of all matches of ``TILE`` words. The fewest edits are found for each place and diagonal, so
+    ``diagonals`` (place in the document less place in the item) and as far beside them as edits can lead. The fewest edits are found for each place and diagonal, so
     other copies of the item's words take nothing away.
     """
     n, reach = len(item), len(item) // one_in
-    if diagonals is None:
-        diagonals = [j - i for i, j, _ in matches(doc, item)]
     most = 0
     bands: list[list[int]] = []
     for g in sorted(set(diagonals)):
@@ -190,120 +250,157 @@ def enough_words(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: in
     return bool((np.minimum.accumulate(upto[: n + 1 - min_words]) <= upto[min_words:]).any())
 
 
-class ItemIndex:
-    """Word ids, shingle hashes and positions of a block of items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, _ in items]
-        self.vocab: dict[str, int] = {}
-        self.words = [[self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t or "")] for _, t in items]
-        self.base = np.random.default_rng(7).integers(1 << 62, size=SHINGLE, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-        flat = np.array(list(chain.from_iterable([*w, 0] for w in self.words)), np.int64)
-        owner = np.repeat(np.arange(len(items)), [len(w) + 1 for w in self.words])
-        place = np.concatenate([np.arange(len(w) + 1) for w in self.words]) if self.words else np.zeros(0, np.int64)
-        h, ok = self.rolling(flat)
-        at = np.flatnonzero(ok)
-        order = np.argsort(h[at], kind="stable")
-        self.hashes, self.owner, self.place = h[at][order], owner[at][order], place[at][order]
-
-    def rolling(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the shingle at each place, and whether all of its words are known."""
-        n = max(0, len(ids) - SHINGLE + 1)
-        h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
-        u = ids.astype(np.uint64)
-        for k in range(SHINGLE):
-            h += u[k : k + n] * self.base[k]
-            ok &= ids[k : k + n] > 0
-        return h ^ (h >> np.uint64(29)), ok
-
-    def search(self, texts: list[str | None], min_words: int, one_in: int) -> list[tuple[int, int, int]]:
-        """(text number, item id, words) of the passages found."""
-        get = self.vocab.get
-        rows, starts, at = [], [], 0
-        for t in texts:
-            w = [get(x, 0) for x in words_of(t)] if t else []
-            starts.append(at)
-            at += len(w) + 1
-            rows.append(w)
-        flat = np.fromiter(chain.from_iterable(chain(w, (0,)) for w in rows), np.int64, at)
-        h, ok = self.rolling(flat)
-        place = np.flatnonzero(ok)
-        lo = np.searchsorted(self.hashes, h[place], "left")
-        hi = np.searchsorted(self.hashes, h[place], "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            return []
-        n = (hi - lo)[hit]
-        pos = np.repeat(place[hit], n)
-        first = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, at_item = self.owner[first], self.place[first]
-        text = np.searchsorted(np.array(starts), pos, "right") - 1
-        # Of w words with w / one_in edits at least w - SHINGLE * edits - SHINGLE + 1 shingles stay whole.
-        need = max(1, min(w - SHINGLE * (w // one_in) - SHINGLE + 1 for w in range(min_words, 4 * min_words)))
-        pair, inverse, count = np.unique(text * np.int64(len(self.ids)) + item, return_inverse=True, return_counts=True)
-        out = []
-        order = np.argsort(inverse, kind="stable")
-        ends = np.cumsum(count)
-        for p in np.flatnonzero(count >= need):
-            t, i = divmod(int(pair[p]), len(self.ids))
-            of = order[ends[p] - count[p] : ends[p]]
-            of = of[np.argsort(pos[of], kind="stable")]
-            seeds, on_item = pos[of] - starts[t], at_item[of]
-            words, reach = self.words[i], len(self.words[i]) + len(self.words[i]) // one_in + 1
-            most = 0
-            cuts = np.flatnonzero(np.diff(seeds) > reach) + 1
-            for part, other in zip(np.split(seeds, cuts), np.split(on_item, cuts)):
-                if len(part) < need:
-                    continue
-                a, z = max(0, int(part[0]) - reach), int(part[-1]) + SHINGLE + reach
-                near, of_item = np.array(rows[t][a:z], np.int64), np.array(words, np.int64)
-                good = [g for g in seeded_diagonals(other, part - a, len(words), min_words, one_in) if enough_words(near, of_item, g, min_words, one_in)]
-                if good:
-                    most = max(most, longest_passage(rows[t][a:z], words, min_words, one_in, good))
-            if most:
-                out.append((t, self.ids[i], most))
-        return out
-
-
-def leaked(docs: DataFrame, items: DataFrame, min_words: int = 25, one_in: int = 8, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, item_id, words: documents that hold ``min_words`` or more consecutive words of an item, once per pair.
-
-    ``docs``: doc_id, text. ``items``: item_id, text. Null and empty texts hold nothing; an item of fewer words can't
-    leak; repeated rows count once; either table may be empty. One word in ``one_in`` may be exchanged, added or left
-    out, and :func:`words_of` says what makes no difference.
-
-    Method: tiles of five words as seeds, then alignment. Shingles of five words seed each pair of document and item; a
-    pair with as many seeds as a passage must leave whole (the count lemma) is aligned word by word beside the seeded
-    diagonals, so that a shorter quote of the same words elsewhere can't break the passage up. Items are sent to the tasks as an index of at most about ``block_words`` words; a longer
-    list is taken in blocks, each against all documents. Documents are neither shuffled nor collected.
+def compare(doc: np.ndarray, item: np.ndarray, min_words: int, one_in: int, tile: int) -> tuple[int, list[int]]:
+    """Words of the longest passage (0 if there is none), and the places of the item's words that lie in tiles."""
+    hd, hi = seeds_of(doc), seeds_of(item)
+    order = np.argsort(hi, kind="stable")
+    lo, up = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
+    n = up - lo
+    at_doc = np.repeat(np.arange(len(hd)), n)
+    at_item = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
+    good = [g for g in seeded_diagonals(at_item, at_doc, len(item), min_words, one_in) if enough_words(doc, item, g, min_words, one_in)]
+    most = longest_passage(doc.astype(np.int64), item.astype(np.int64), min_words, one_in, good) if good else 0
+    return most, [a + x for a, _, m in tiles(doc, item, tile) for x in range(m)]
+
+
+def needed_seeds(min_words: int, one_in: int) -> int:
+    """Of w words with w // one_in edits at least w - SHINGLE * edits - SHINGLE + 1 shingles stay whole."""
+    return max(1, min(w - SHINGLE * (w // one_in) - SHINGLE + 1 for w in range(min_words, 4 * min_words)))
+
+
+def sections(words: list[int]) -> list[tuple[int, np.ndarray]]:
+    """Start and words of the sections of a text."""
+    all_ = np.array(words, np.uint64)
+    return [(a, all_[a : a + SECTION]) for a in range(0, max(1, len(all_) - SHARED), SECTION - SHARED)]
+
+
+def seeds_of(words: np.ndarray) -> np.ndarray:
+    h = Rolling(words, _POWERS).windows(SHINGLE)
+    return h ^ (h >> np.uint64(29))
+
+
+def item_sections(items: DataFrame) -> DataFrame:
+    """item_id, item_at, item_words (of the whole item), words, seeds: a row per section of each distinct item."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            of, at, total, rows, seeds = [], [], [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                w = words.of(text)
+                for a, part in sections(w):
+                    of.append(k)
+                    at.append(a)
+                    total.append(len(w))
+                    rows.append(part.view(np.int64))
+                    seeds.append(np.unique(seeds_of(part)).view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rows, seeds)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), pa.array(at, pa.int32()), pa.array(total, pa.int32()), *lists], ["item_id", "item_at", "item_words", "words", "seeds"])
+
+    rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    kind = rows.schema["item_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"item_id {kind}, item_at int, item_words int, words array<long>, seeds array<long>")
+
+
+def seed_filter(item_rows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """One bit per hash value of the items' seeds; at most 2^``bits`` / 64 words come to the driver."""
+    got = item_rows.select(F.explode("seeds").alias("s")).select(F.shiftrightunsigned("s", 64 - bits).alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).collect()
+    out = np.zeros(1 << max(0, bits - 6), np.uint64)
+    for r in got:
+        out[r["w"]] = r["b"] & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def seeded_sections(docs: DataFrame, item_filter: np.ndarray, need: int, span: int, bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, text_hash, at, words, seeds, times: the sections of the documents in which ``need`` seeds of the filter
+    stand within ``span`` words, with the seeds that do and how often."""
+    sent = docs.sparkSession.sparkContext.broadcast(item_filter)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = Words(), sent.value
+        for b in batches:
+            of, at, rows, seeds, times = [], [], [], [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for a, part in sections(words.of(text)):
+                    h = seeds_of(part)
+                    g = h >> np.uint64(64 - bits)
+                    hit = np.flatnonzero(known[(g >> np.uint64(6)).astype(np.int64)] >> (g & np.uint64(63)) & np.uint64(1))
+                    if len(hit) < need:
+                        continue
+                    close = np.flatnonzero(hit[need - 1 :] - hit[: len(hit) - need + 1] < span)
+                    if not len(close):
+                        continue
+                    mine = np.zeros(len(hit) + 1, np.int64)
+                    np.add.at(mine, close, 1)
+                    np.add.at(mine, close + need, -1)
+                    x, n = np.unique(h[hit[np.cumsum(mine)[:-1] > 0]], return_counts=True)
+                    of.append(k)
+                    at.append(a)
+                    rows.append(part.view(np.int64))
+                    seeds.append(x.view(np.int64))
+                    times.append(n)
+            lists = [pa.array(x, pa.list_(t)) for x, t in ((rows, pa.int64()), (seeds, pa.int64()), (times, pa.int32()))]
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(at, pa.int32()), *lists], ["doc_id", "text_hash", "at", "words", "seeds", "times"])
+
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, at int, words array<long>, seeds array<long>, times array<int>")
+
+
+def verified(pairs: DataFrame, min_words: int, one_in: int, tile: int) -> DataFrame:
+    """doc_id, text_hash, item_id, item_words, words, covered of pairs of sections that share a passage or a tile."""
+    names = ["doc_id", "text_hash", "item_id", "item_words", "words", "covered"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, most, places = [], [], []
+            d, i, start = b.column(5), b.column(6), b.column(4).to_pylist()
+            for k in range(b.num_rows):
+                n, covered = compare(d[k].values.to_numpy().view(np.uint64), i[k].values.to_numpy().view(np.uint64), min_words, one_in, tile)
+                if n or covered:
+                    keep.append(k)
+                    most.append(n)
+                    places.append([start[k] + x for x in covered])
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in range(4)] + [pa.array(most, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    rows = pairs.select("doc_id", "text_hash", "item_id", "item_words", "item_at", "doc_part", "item_part")
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, item_words int, words int, covered array<int>")
+
+
+def leaked(docs: DataFrame, items: DataFrame, min_words: int = 25, one_in: int = 8, coverage: float = 0.5, ws: Workspace | None = None) -> DataFrame:
+    """doc_id, item_id, words, covered, item_words: documents that give an item away, once per pair.
+
+    ``words`` is the longest passage of ``min_words`` or more consecutive words of the item of which one in ``one_in``
+    may be exchanged, added or left out, 0 if there is none; ``covered`` counts the item's words that stand in the
+    document in tiles of ten words or more (for the defaults), in whatever order. A pair is a leak if it has a
+    passage, or if ``covered`` reaches ``min_words`` and ``coverage`` of the item, which finds items whose parts were
+    moved. ``docs``: doc_id, text. ``items``: item_id, text. Null ids and null and empty texts hold nothing; an item of
+    fewer words can't leak; repeated rows count once, different texts under one id count together; either table may be
+    empty. :func:`words_of` says what makes no difference. A passage longer than the ``SHARED`` words of neighbouring
+    sections may be told by a part of it.
+
+    Method: seed join and greedy string tiling. The corpus is read once, however many items there are: a filter of fixed
+    size with the five-word seeds of all items keeps the sections of documents that have as many seeds close together as
+    a passage must leave whole (the count lemma), which are as many as a tile has. Their distinct seeds are joined with
+    the items' by hash; a standing phrase of fewer words than a tile has too few seeds to get there, and a hot seed is
+    split by the skew join. Pairs of sections with enough seeds are tiled by running Karp-Rabin, and aligned word by
+    word beside their seeded diagonals, so that the edits within a passage don't break it up.
     """
     spark = docs.sparkSession
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = 1 + int(size) // (5 * block_words)
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc_id"), "text")
-    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, words int"
-    types = [pa.int64() if "bigint" in k or "long" in k else pa.string() if "string" in k else pa.int32() for k in kinds.split(",")]
-    out = None
-    for block in range(blocks):
-        own = items.where("text is not null and item_id is not null").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own.select("item_id", "text").distinct().collect()])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value)
-            for b in batches:
-                texts = b.column(1).to_pylist()
-                first = 0
-                while first < len(texts):
-                    last, chars = first, 0
-                    while last < len(texts) and (last == first or chars + len(texts[last]) < 1 << 22):
-                        chars += len(texts[last])
-                        last += 1
-                    found = index.search(texts[first:last], min_words, one_in)
-                    if found:
-                        ids = b.column(0).take(pa.array([first + t for t, _, _ in found]))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([i for _, i, _ in found], types[1]), pa.array([n for _, _, n in found], pa.int32())], ["doc_id", "item_id", "words"])
-                    first = last
-
-        got = rows.mapInArrow(run, kinds)
-        out = got if out is None else out.unionByName(got)
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+    ws = ws or Workspace(spark)
+    need = needed_seeds(min_words, one_in)
+    # Any w words of a passage with its edits have `need` seeds within this span: short ones lie in it as a whole, and
+    # of longer ones some part of it has its share, as whole shingles grow faster than `need` per span.
+    span = 2 * (min_words + min_words // one_in + SHINGLE)
+    own = ws.table(item_sections(items))
+    rows = ws.table(seeded_sections(docs, seed_filter(own), need, span))
+    seeds = rows.select("doc_id", "text_hash", "at", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("doc_id", "text_hash", "at", "s.seeds", "s.times").distinct()
+    met = seeds.join(own.select("item_id", "item_at", F.explode("seeds").alias("seeds")), "seeds")
+    pairs = met.groupBy("doc_id", "text_hash", "at", "item_id", "item_at").agg(F.sum("times").alias("n")).where(F.col("n") >= need).drop("n")
+    parts = rows.select("doc_id", "text_hash", "at", F.col("words").alias("doc_part")).dropDuplicates(["doc_id", "text_hash", "at"])
+    pairs = pairs.join(parts, ["doc_id", "text_hash", "at"]).join(own.select("item_id", "item_at", "item_words", F.col("words").alias("item_part")), ["item_id", "item_at"])
+    told = verified(pairs.repartition(4 * spark.sparkContext.defaultParallelism), min_words, one_in, need + SHINGLE - 1)
+    per = told.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"), F.max("item_words").alias("item_words"))
+    return per.where((F.col("words") > 0) | ((F.col("covered") >= min_words) & (F.col("covered") >= coverage * F.col("item_words"))))

@@ -165,13 +165,13 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the items they give away and the number of words of the longest passage."""
+    """Documents with the items they give away: longest passage, and the item's words that tiles cover in any order."""
     return leak.leaked(_read(spark, d, "documents"), _read(spark, d, "eval_item"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and the items they give away."""
-    return p8_leaks(spark, d).select("doc_id", "item_id")
+    """Documents and the items of which they hold 25 consecutive words."""
+    return p8_leaks(spark, d).where("words > 0").select("doc_id", "item_id")
 
 
 def p9_pages(spark: SparkSession, d: str) -> DataFrame:

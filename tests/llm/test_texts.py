@@ -55,6 +55,14 @@ def naive_passage(doc, item, least, one_in):
     return best
 
 
+def as_array(words):
+    return np.array(leak.Words().of(" ".join(words)), np.uint64)
+
+
+def passage(doc, item):
+    return leak.compare(as_array(doc), as_array(item), 25, 8, 10)[0]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_passages_are_found_as_by_alignment(seed):
     r = random.Random(seed)
@@ -64,8 +72,7 @@ def test_passages_are_found_as_by_alignment(seed):
         k = r.randrange(len(part))
         part[k : k + 1] = r.choice([[], ["zz"], [part[k], "zz"]])
     doc = [f"w{r.randrange(60)}" for _ in range(20)] + part + [f"v{r.randrange(9)}" for _ in range(20)]
-    index = leak.ItemIndex([(7, " ".join(item))])
-    got = index.search([" ".join(doc)], 25, 8)
+    got = passage(doc, item)
     want = naive_passage(doc, item, 25, 8)
     # A stretch must begin and end with words that are there, so the aligned one may be longer by edits at its ends.
     clear = naive_passage(doc, item, 29, 9)
@@ -93,7 +100,7 @@ def test_a_quote_nearby_takes_nothing_from_a_passage():
     item = [f"w{i}" for i in range(40)]
     part = [f"x{i}" if i in (4, 9, 20) else w for i, w in enumerate(item[:28])]
     doc = item[:12] + [f"y{i}" for i in range(10)] + part
-    assert leak.ItemIndex([(7, " ".join(item))]).search([" ".join(doc)], 25, 8) == [(0, 7, 28)]
+    assert passage(doc, item) == 28
 
 
 @pytest.mark.parametrize("seed", range(40))
@@ -123,23 +130,60 @@ def test_looks_make_no_difference(spark, change):
     assert [(r["doc_id"], r["item_id"]) for r in leak.leaked(docs, items).collect()] == [(1, 5)]
 
 
-def test_item_blocks_give_the_same(spark):
+def frames(spark, docs, items):
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+def test_many_items_and_long_documents(spark):
     r = random.Random(4)
-    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(40))) for i in range(30)]
+    items = [(i, " ".join(f"w{r.randrange(400)}" for _ in range(40))) for i in range(30)] + [(99, " ".join(f"w{r.randrange(400)}" for _ in range(3000)))]
     docs = [(i, f"x y {items[i % 30][1]} z") for i in range(40)]
-    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    one, many = leak.leaked(d, t), leak.leaked(d, t, block_words=100)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 40
+    docs += [(100 + i, " ".join(f"y{r.randrange(900)}" for _ in range(950 + 20 * i)) + " " + items[i][1]) for i in range(12)] + [(200, "q " + " ".join(items[-1][1].split()[990:1060]))]
+    got = {(x["doc_id"], x["item_id"]): (x["words"], x["covered"]) for x in leak.leaked(*frames(spark, docs, items)).collect()}
+    assert got == {(i, i % 30): (40, 40) for i in range(40)} | {(100 + i, i): (40, 40) for i in range(12)} | {(200, 99): (70, 70)}
+    d, t = frames(spark, docs, items)
     assert leak.leaked(d.where("false"), t).count() == 0 and leak.leaked(d, t.where("false")).count() == 0
 
 
-def test_tiles_share_no_word():
-    r = random.Random(3)
-    a, b = [r.randrange(4) for _ in range(60)], [r.randrange(4) for _ in range(60)]
-    t = leak.tiles(a, b)
-    used_i, used_d = [i + k for i, _, n in t for k in range(n)], [j + k for _, j, n in t for k in range(n)]
-    assert len(set(used_i)) == len(used_i) and len(set(used_d)) == len(used_d)
-    assert all(b[i : i + n] == a[j : j + n] for i, j, n in t) and [n for _, _, n in t] == sorted((n for _, _, n in t), reverse=True)
+def test_moved_parts_are_found_by_coverage(spark):
+    item = [f"w{i}" for i in range(60)]
+    moved = item[40:] + ["x"] * 30 + item[20:40] + ["y", "z"] + item[:20]
+    docs = [(1, " ".join(moved)), (2, " ".join(item[:20] + ["x"] * 9 + item[40:44])), (3, " ".join(item)), (4, " ".join(item[:9] + ["a"] + item[10:19] + ["b"] + item[20:29] + ["c"] + item[30:39]))]
+    got = {x["doc_id"]: (x["words"], x["covered"], x["item_words"]) for x in leak.leaked(*frames(spark, docs, [(7, " ".join(item))])).collect()}
+    assert got == {1: (0, 60, 60), 3: (60, 60, 60), 4: (39, 0, 60)}
+
+
+def test_a_standing_phrase_of_all_items_is_no_leak(spark):
+    r = random.Random(8)
+    phrase = "all identities are opaque numbers and expire after"
+    items = [(i, phrase + " " + " ".join(f"w{r.randrange(900)}" for _ in range(40))) for i in range(60)]
+    docs = [(i, " ".join(f"v{r.randrange(900)}" for _ in range(40)) + " " + phrase + " the end") for i in range(60)] + [(99, items[5][1])]
+    assert [tuple(x)[:2] for x in leak.leaked(*frames(spark, docs, items)).collect()] == [(99, 5)]
+
+
+def test_repetitive_texts_end(spark):
+    docs = [(1, "x " * 5000), (2, "x y " * 3000)]
+    got = {(x["doc_id"], x["item_id"]) for x in leak.leaked(*frames(spark, docs, [(7, "x " * 600), (8, "y x " * 40)])).collect()}
+    assert got == {(1, 7), (2, 8)}
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_tiles_are_those_of_a_naive_search(seed):
+    r = random.Random(seed)
+    a, b = ([r.randrange(r.choice([2, 4, 30])) for _ in range(r.randint(0, 60))] for _ in range(2))
+    doc, item = np.array(a, np.uint64), np.array(b, np.uint64)
+    t = leak.tiles(doc, item, 3)
+    free_d, free_i, lengths = set(range(len(a))), set(range(len(b))), []
+    while True:
+        best = max(((n, -i, -j) for i in range(len(b)) for j in range(len(a)) for n in [next((k for k in range(61) if i + k not in free_i or j + k not in free_d or a[j + k] != b[i + k]), 0)] if n >= 3), default=None)
+        if best is None:
+            break
+        n, i, j = best[0], -best[1], -best[2]
+        lengths.append(n)
+        free_i -= set(range(i, i + n))
+        free_d -= set(range(j, j + n))
+    assert all(b[i : i + n] == a[j : j + n] for i, j, n in t)
+    assert [n for _, _, n in t] == lengths and len({i + k for i, _, n in t for k in range(n)}) == sum(lengths) == len({j + k for _, j, n in t for k in range(n)})
 
 
 REFS = [("s", 1, "blades_chapel"), ("s", 2, "knife_ramp"), ("s", 3, "handheld_ramp"), ("c", 7, "kitchen_knife"), ("c", 7, "cuchillo de cocina"), ("c", 8, "flashlight"), ("c", None, None), ("c", 9, "---")]
