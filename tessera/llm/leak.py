@@ -11,7 +11,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.canonical import LOOKALIKES
@@ -250,8 +250,9 @@ def enough_words(doc: np.ndarray, item: np.ndarray, diagonal: int, min_words: in
     return bool((np.minimum.accumulate(upto[: n + 1 - min_words]) <= upto[min_words:]).any())
 
 
-def compare(doc: np.ndarray, item: np.ndarray, min_words: int, one_in: int, tile: int) -> tuple[int, list[int]]:
-    """Words of the longest passage (0 if there is none), and the places of the item's words that lie in tiles."""
+def compare(doc: np.ndarray, item: np.ndarray, min_words: int, one_in: int, tile: int | None) -> tuple[int, list[int]]:
+    """Words of the longest passage (0 if there is none), and the places of the item's words that lie in tiles of
+    ``tile`` words or more (none are looked for without it)."""
     hd, hi = seeds_of(doc), seeds_of(item)
     order = np.argsort(hi, kind="stable")
     lo, up = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
@@ -260,7 +261,7 @@ def compare(doc: np.ndarray, item: np.ndarray, min_words: int, one_in: int, tile
     at_item = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, np.int64)
     good = [g for g in seeded_diagonals(at_item, at_doc, len(item), min_words, one_in) if enough_words(doc, item, g, min_words, one_in)]
     most = longest_passage(doc.astype(np.int64), item.astype(np.int64), min_words, one_in, good) if good else 0
-    return most, [a + x for a, _, m in tiles(doc, item, tile) for x in range(m)]
+    return most, [a + x for a, _, m in tiles(doc, item, tile) for x in range(m)] if tile else []
 
 
 def needed_seeds(min_words: int, one_in: int) -> int:
@@ -348,15 +349,17 @@ def seeded_sections(docs: DataFrame, item_filter: np.ndarray, need: int, span: i
 
 
 def verified(pairs: DataFrame, min_words: int, one_in: int, tile: int) -> DataFrame:
-    """doc_id, text_hash, item_id, item_words, words, covered of pairs of sections that share a passage or a tile."""
+    """doc_id, text_hash, item_id, item_words, words, covered of pairs of sections that share a passage or a tile; tiles
+    are looked for where ``tiled``."""
     names = ["doc_id", "text_hash", "item_id", "item_words", "words", "covered"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, most, places = [], [], []
-            d, i, start = b.column(5), b.column(6), b.column(4).to_pylist()
+            start, tiled = b.column(4).to_pylist(), b.column(5).to_pylist()
+            d, i = (([0, *np.cumsum(c.value_lengths()).tolist()], c.flatten().to_numpy().view(np.uint64)) for c in (b.column(6), b.column(7)))
             for k in range(b.num_rows):
-                n, covered = compare(d[k].values.to_numpy().view(np.uint64), i[k].values.to_numpy().view(np.uint64), min_words, one_in, tile)
+                n, covered = compare(d[1][d[0][k] : d[0][k + 1]], i[1][i[0][k] : i[0][k + 1]], min_words, one_in, tile if tiled[k] else None)
                 if n or covered:
                     keep.append(k)
                     most.append(n)
@@ -365,7 +368,7 @@ def verified(pairs: DataFrame, min_words: int, one_in: int, tile: int) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in range(4)] + [pa.array(most, pa.int32()), pa.array(places, pa.list_(pa.int32()))], names)
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    rows = pairs.select("doc_id", "text_hash", "item_id", "item_words", "item_at", "doc_part", "item_part")
+    rows = pairs.select("doc_id", "text_hash", "item_id", "item_words", "item_at", "tiled", "doc_part", "item_part")
     return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, text_hash long, item_id {kinds['item_id']}, item_words int, words int, covered array<int>")
 
 
@@ -374,7 +377,8 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = 25, one_in: int =
 
     ``words`` is the longest passage of ``min_words`` or more consecutive words of the item of which one in ``one_in``
     may be exchanged, added or left out, 0 if there is none; ``covered`` counts the item's words that stand in the
-    document in tiles of ten words or more (for the defaults), in whatever order. A pair is a leak if it has a
+    document in tiles of ten words or more (for the defaults), in whatever order, and is 0 where the seeds show that it
+    can't be enough. A pair is a leak if it has a
     passage, or if ``covered`` reaches ``min_words`` and ``coverage`` of the item, which finds items whose parts were
     moved. ``docs``: doc_id, text. ``items``: item_id, text. Null ids and null and empty texts hold nothing; an item of
     fewer words can't leak; repeated rows count once, different texts under one id count together; either table may be
@@ -398,9 +402,13 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = 25, one_in: int =
     rows = ws.table(seeded_sections(docs, seed_filter(own), need, span))
     seeds = rows.select("doc_id", "text_hash", "at", F.explode(F.arrays_zip("seeds", "times")).alias("s")).select("doc_id", "text_hash", "at", "s.seeds", "s.times").distinct()
     met = seeds.join(own.select("item_id", "item_at", F.explode("seeds").alias("seeds")), "seeds")
-    pairs = met.groupBy("doc_id", "text_hash", "at", "item_id", "item_at").agg(F.sum("times").alias("n")).where(F.col("n") >= need).drop("n")
+    pairs = met.groupBy("doc_id", "text_hash", "at", "item_id", "item_at").agg(F.sum("times").alias("n")).where(F.col("n") >= need)
+    pairs = pairs.withColumn("n", F.sum("n").over(Window.partitionBy("doc_id", "text_hash", "item_id")))
     parts = rows.select("doc_id", "text_hash", "at", F.col("words").alias("doc_part")).dropDuplicates(["doc_id", "text_hash", "at"])
     pairs = pairs.join(parts, ["doc_id", "text_hash", "at"]).join(own.select("item_id", "item_at", "item_words", F.col("words").alias("item_part")), ["item_id", "item_at"])
-    told = verified(pairs.repartition(4 * spark.sparkContext.defaultParallelism), min_words, one_in, need + SHINGLE - 1)
+    # A tile of m words has m - SHINGLE + 1 seeds, so fewer seeds than this can't cover enough.
+    tile = need + SHINGLE - 1
+    pairs = pairs.withColumn("tiled", F.col("n") * tile >= need * F.greatest(F.lit(min_words), F.lit(coverage) * F.col("item_words")))
+    told = verified(pairs.repartition(4 * spark.sparkContext.defaultParallelism), min_words, one_in, tile)
     per = told.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"), F.max("item_words").alias("item_words"))
     return per.where((F.col("words") > 0) | ((F.col("covered") >= min_words) & (F.col("covered") >= coverage * F.col("item_words"))))
