@@ -100,7 +100,7 @@ def cross_split(records: DataFrame, max_bits: int = 6, max_edits: int = 0) -> Da
     ``records``: id, split (train, val, test or null), bits (null where unusable), block, name. A pair is reported once
     if its bits differ in at most ``max_bits``, or if the names of one block are within ``max_edits``. Rows without a
     split, and repeated rows, pair with nothing more. Bits and names are made distinct before they are compared, so
-    copies meet only in the last join, which writes the pairs out.
+    copies meet only in the last join, which writes the pairs out; :func:`linked` tells the same without pairs.
     """
     r = records.where("split is not null and id is not null").select("id", (F.col("split") == "train").alias("train"), "bits", "block", "name").distinct()
     # The names are parsed once, as eight branches read them.
@@ -116,8 +116,43 @@ def cross_split(records: DataFrame, max_bits: int = 6, max_edits: int = 0) -> Da
     return by_bits.select("train_id", "eval_id").unionByName(by_name.select("train_id", "eval_id")).distinct()
 
 
-def overlap_report(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """split, source, n_pairs, n_records per split and source, from either side of each pair."""
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("train_id").alias("id")), F.struct(F.col("eval_id").alias("id")))).alias("x")).select("x.id")
-    per = sides.groupBy("id").agg(F.count("*").alias("n"))
-    return per.join(records.select("id", "split", "block").distinct(), "id").groupBy("split", F.col("block").alias("source")).agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_records"))
+def near_names(records: DataFrame, max_edits: int) -> DataFrame:
+    """block, eval_name, train_name, edits of different names of one block within ``max_edits``, one in val or test and
+    one in train: names stand for all their pictures, so copies make no pairs. ``records`` as in :func:`cross_split`."""
+    r = records.where("split is not null").select((F.col("split") == "train").alias("train"), "block", F.col("name").alias("text")).distinct()
+    got = segment_join(r.where("not train"), r.where("train"), max_edits).where("eval_text <> train_text")
+    return got.select("block", F.col("eval_text").alias("eval_name"), F.col("train_text").alias("train_name"), F.levenshtein("eval_text", "train_text").alias("edits"))
+
+
+def linked(records: DataFrame, max_bits: int = 6) -> DataFrame:
+    """id, split, block, class_id, n_links of every picture with a split: how many pictures on the other side (train, or
+    val and test) are the same or almost the same, by bits or by the name in its block. ``records`` as in :func:`cross_split`.
+
+    No pairs of pictures are formed. Pictures that agree in side, bits, block and name are one class, whose class_id is
+    its smallest id. The links of a class are those by bits, by name, and less those by both, each a sum of counts of
+    classes on the other side, so a picture that a third of both sides hold costs no more than any other.
+    """
+    ws = Workspace(records.sparkSession)
+    r = records.where("split is not null and id is not null").select("id", "split", (F.col("split") == "train").alias("train"), "bits", "block", "name").distinct()
+    c = ws.table(r.groupBy("train", "bits", "block", "name").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("n")))
+    named = F.col("block").isNotNull() & F.col("name").isNotNull()
+    near = bit_segment_join(c.where("not train"), c.where("train"), max_bits, max_bits + 2)
+    both = F.explode(F.array(F.struct(F.lit(False).alias("train"), F.col("eval_bits").alias("bits"), F.col("train_bits").alias("far")), F.struct(F.lit(True).alias("train"), F.col("train_bits").alias("bits"), F.col("eval_bits").alias("far"))))
+    near = ws.table(near.select(both.alias("x")).select("x.train", "x.bits", "x.far"))
+    held = c.where("bits is not null").groupBy((~F.col("train")).alias("train"), F.col("bits").alias("far")).agg(F.sum("n").alias("k"))
+    by_bits = near.join(held, ["train", "far"]).groupBy("train", "bits").agg(F.sum("k").alias("by_bits"))
+    by_name = c.where(named).groupBy((~F.col("train")).alias("train"), "block", "name").agg(F.sum("n").alias("by_name"))
+    other = c.where(named & F.col("bits").isNotNull()).select((~F.col("train")).alias("train"), F.col("bits").alias("far"), "block", "name", F.col("n").alias("k"))
+    by_both = c.where(named & F.col("bits").isNotNull()).select("train", "bits", "block", "name").join(near, ["train", "bits"]).join(other, ["train", "far", "block", "name"])
+    by_both = by_both.groupBy("train", "bits", "block", "name").agg(F.sum("k").alias("by_both"))
+    c = c.join(by_bits, ["train", "bits"], "left").join(by_name, ["train", "block", "name"], "left").join(by_both, ["train", "bits", "block", "name"], "left")
+    zero = F.lit(0).cast("long")
+    c = c.select("train", "bits", "block", "name", "class_id", (F.coalesce("by_bits", zero) + F.coalesce("by_name", zero) - F.coalesce("by_both", zero)).alias("n_links"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in ("train", "bits", "block", "name")]
+    return r.alias("r").join(c.alias("c"), same).select("r.id", "r.split", "r.block", "class_id", "n_links")
+
+
+def overlap_report(records: DataFrame, max_bits: int = 6) -> DataFrame:
+    """split, source, n_pairs, n_records per split and source, from either side of each pair, without forming pairs."""
+    per = linked(records, max_bits).where("n_links > 0")
+    return per.groupBy("split", F.col("block").alias("source")).agg(F.sum("n_links").alias("n_pairs"), F.count("*").alias("n_records"))

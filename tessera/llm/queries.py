@@ -69,8 +69,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping pairs and pictures per split and source."""
-    r = _pictures(spark, d)
-    return overlap.overlap_report(overlap.cross_split(r), r)
+    return overlap.overlap_report(_pictures(spark, d))
+
+
+def p2_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Every picture that the other side holds as well, with its class of copies and its number of links."""
+    return overlap.linked(_pictures(spark, d)).where("n_links > 0").select(F.col("id").alias("image_id"), "class_id", "n_links")
+
+
+def p2_names(spark: SparkSession, d: str) -> DataFrame:
+    """Nearly equal file names of one source on both sides, at most two edits apart: candidates to look at."""
+    return overlap.near_names(_pictures(spark, d), 2).select(F.col("block").alias("source"), "eval_name", "train_name", "edits")
 
 
 def _alert_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -144,13 +153,18 @@ def _plans(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, DataFrame]
     pictures = _read(spark, d, "build_dataset").where("image_id is not null").select(F.col("image_id").alias("record_id"), quota.category_of_picture("labels", CLASSES, NEGATIVE).alias("category"))
     sizes = [(c, F.col(f"counts.{c}")) for c in CLASSES]
     groups = _read(spark, d, "resplit_dataset").where("group_id is not null").select(F.col("group_id").alias("record_id"), quota.majority(sizes, NEGATIVE).alias("category"))
-    return [(t, plan.where(F.col("over_table") == t), r.dropDuplicates(["record_id"])) for t, r in (("build_dataset", pictures), ("resplit_dataset", groups))]
+    return [(t, plan.where(F.col("over_table") == t), r.groupBy("record_id").agg(F.max("category").alias("category"))) for t, r in (("build_dataset", pictures), ("resplit_dataset", groups))]
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """What every plan row needs, what was drawn for it, and its share wanted and drawn."""
+    a, b = (quota.sample_report(plan, records) for _, plan, records in _plans(spark, d))
+    return a.unionByName(b).withColumn("drawn_share", F.round("drawn_share", 9))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Plan rows whose category has too few records."""
-    a, b = (quota.deficits(plan, records).select("plan_id", "category") for _, plan, records in _plans(spark, d))
-    return a.unionByName(b)
+    """Plan rows for which the sample could not be drawn in full."""
+    return p6_report(spark, d).where("lacking > 0").select("plan_id", "category")
 
 
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -186,7 +200,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_events": p3_events,
+    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_report": p2_report, "p2_pictures": p2_pictures, "p2_names": p2_names, "p3_found": p3_found, "p3_events": p3_events,
     "p4_found": p4_found, "p4_unmatched": p4_unmatched,
-    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pages": p9_pages,
+    "p5_found": p5_found, "p6_found": p6_found, "p6_sample": p6_sample, "p6_report": p6_report, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_pages": p9_pages,
 }

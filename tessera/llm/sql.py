@@ -35,6 +35,11 @@ _P2 = f"WITH {_PICS} SELECT least(t, e) AS image_id_a, greatest(t, e) AS image_i
 _P2R = f"""WITH {_PICS}, side AS (SELECT t AS id, count(*) AS n FROM p GROUP BY t UNION ALL SELECT e, count(*) FROM p GROUP BY e)
 SELECT s AS split, k AS source, CAST(sum(n) AS BIGINT) AS n_pairs, count(*) AS n_records FROM side JOIN r USING (id) GROUP BY s, k"""
 
+_P2L = f"""WITH {_PICS}, side AS (SELECT t AS id, count(*) AS n FROM p GROUP BY t UNION ALL SELECT e, count(*) FROM p GROUP BY e),
+ c AS (SELECT id, min(id) OVER (PARTITION BY s = 'train', h, k, f) AS class_id FROM r WHERE s IS NOT NULL) SELECT id AS image_id, class_id, n AS n_links FROM side JOIN c USING (id)"""
+_P2N = f"""WITH {_PICS} SELECT DISTINCT ev.k AS source, ev.f AS eval_name, tr.f AS train_name, CAST(levenshtein(ev.f, tr.f) AS INT) AS edits
+ FROM (SELECT DISTINCT k, f FROM ev) ev JOIN (SELECT DISTINCT k, f FROM tr) tr ON ev.k = tr.k AND ev.f <> tr.f AND abs(length(ev.f) - length(tr.f)) <= 2 AND levenshtein(ev.f, tr.f) <= 2"""
+
 _RUNS = r"""WITH a AS (SELECT *, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(coalesce(weapons, '')), '[,;]'), lambda x: trim(x)), lambda x: x <> ''))), ','), '') AS w
  FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, person_id, "timestamp", alert_id ORDER BY received_at) AS copy FROM alerts
  WHERE person_id IS NOT NULL AND threat_level IS NOT NULL AND "timestamp" IS NOT NULL AND alert_id IS NOT NULL) WHERE copy = 1),
@@ -55,15 +60,20 @@ ihead AS (SELECT v, least(v, min(u)) AS h FROM ireach GROUP BY v)
 SELECT 'image' AS kind, v AS record_id, h AS head_id FROM ihead
 UNION ALL SELECT 'group', v, h FROM heads WHERE n > 1"""
 
-_P6 = """WITH im AS (SELECT DISTINCT image_id AS id, CASE WHEN labels IS NULL THEN NULL WHEN len(labels) = 0 THEN '__background__' WHEN greatest(g, k, l) = 0 THEN NULL
+_PLANS = """WITH im AS (SELECT DISTINCT image_id AS id, CASE WHEN labels IS NULL THEN NULL WHEN len(labels) = 0 THEN '__background__' WHEN greatest(g, k, l) = 0 THEN NULL
  WHEN g >= k AND g >= l THEN 'guns' WHEN k >= l THEN 'knife' ELSE 'long_gun' END AS c FROM (SELECT *, len(list_filter(labels, lambda b: b.cls = 0)) AS g,
  len(list_filter(labels, lambda b: b.cls = 1)) AS k, len(list_filter(labels, lambda b: b.cls = 2)) AS l FROM build_dataset)),
 gr AS (SELECT DISTINCT group_id AS id, CASE WHEN greatest(g, k, l) = 0 THEN '__background__' WHEN g >= k AND g >= l THEN 'guns' WHEN k >= l THEN 'knife' ELSE 'long_gun' END AS c
  FROM (SELECT group_id, greatest(coalesce(counts.guns, 0), 0) AS g, greatest(coalesce(counts.knife, 0), 0) AS k, greatest(coalesce(counts.long_gun, 0), 0) AS l FROM resplit_dataset)),
-seen AS (SELECT 'build_dataset' AS t, c, count(*) AS n FROM im GROUP BY c UNION ALL SELECT 'resplit_dataset', c, count(*) FROM gr GROUP BY c)
-SELECT DISTINCT plan_id, category FROM sample_plan LEFT JOIN seen ON t = over_table AND c = category
-WHERE over_table IN ('build_dataset', 'resplit_dataset') AND coalesce(n, 0) < greatest(min_rows, round(share * sample_size))"""
-
+rec AS (SELECT 'build_dataset' AS t, id, c FROM im UNION ALL SELECT 'resplit_dataset', id, c FROM gr),
+seen AS (SELECT t, c, count(*) AS n FROM rec WHERE c IS NOT NULL GROUP BY t, c),
+pl AS (SELECT plan_id, category, over_table, CAST(max(greatest(min_rows, round(share * sample_size))) AS BIGINT) AS need, max(share) AS share FROM sample_plan WHERE over_table IN ('build_dataset', 'resplit_dataset') GROUP BY ALL),
+got AS (SELECT pl.*, least(need, coalesce(n, 0)) AS drawn FROM pl LEFT JOIN seen ON t = over_table AND c = category)
+"""
+_P6 = _PLANS + "SELECT plan_id, category FROM got WHERE drawn < need"
+_P6R = _PLANS + "SELECT plan_id, category, need, drawn, need - drawn AS lacking, share AS wanted_share, round(drawn / sum(drawn) OVER (PARTITION BY plan_id), 9) AS drawn_share FROM got"
+_P6S = _PLANS + """SELECT plan_id, category, id AS record_id, over_table FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, category, over_table ORDER BY CAST('0x' || substr(md5(plan_id || '/0/' || id), 1, 10) AS BIGINT), id) AS k
+ FROM got JOIN rec ON t = over_table AND c = category) WHERE k <= drawn"""
 
 
 def _plain(c: str) -> str:
@@ -92,8 +102,8 @@ got AS (SELECT DISTINCT entry_id, opened.field, v, coalesce(ref_id, -1) AS ref_i
 """
 
 SQL = {
-    "p1_found": _P1, "p2_found": _P2, "p2_report": _P2R, "p3_found": _RUNS + "SELECT first_alert_id, last_alert_id FROM d WHERE n_alerts >= 2",
+    "p1_found": _P1, "p2_found": _P2, "p2_report": _P2R, "p2_pictures": _P2L, "p2_names": _P2N, "p3_found": _RUNS + "SELECT first_alert_id, last_alert_id FROM d WHERE n_alerts >= 2",
     "p3_events": _RUNS + "SELECT stream_id, person_id, threat_level, weapons, first_alert_id, last_alert_id, n_alerts, duration_s FROM d", "p4_found": _P4 + "SELECT DISTINCT entry_id, field, ref_id FROM got",
     "p4_unmatched": _P4 + "SELECT field, v AS value, count(*) AS n_entries FROM got WHERE ref_id = -1 GROUP BY field, v",
-    "p5_found": _P5, "p6_found": _P6,
+    "p5_found": _P5, "p6_found": _P6, "p6_report": _P6R, "p6_sample": _P6S,
 }

@@ -44,9 +44,30 @@ def test_cross_split_pairs_once(spark):
     df = spark.createDataFrame(rows, "id long, split string, bits long, block string, name string").withColumn("eval_id", F.lit(0))
     pairs = overlap.cross_split(df)
     assert sorted(tuple(x) for x in pairs.collect()) == [(1, 2), (1, 5)]
-    rep = {(x["split"], x["source"]): (x["n_pairs"], x["n_records"]) for x in overlap.overlap_report(pairs, df).collect()}
+    rep = {(x["split"], x["source"]): (x["n_pairs"], x["n_records"]) for x in overlap.overlap_report(df).collect()}
     assert rep == {("train", "s"): (2, 1), ("val", "s"): (2, 2)}
-    assert overlap.cross_split(df.where("false")).count() == 0
+    assert overlap.cross_split(df.where("false")).count() == 0 and overlap.linked(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_links_are_those_of_the_pairs(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, r.choice(["train", "val", "test", None]), r.choice([None, 0, 1, 3, 1 << 40, -1]), r.choice(["s", "t", None]), r.choice(["x", "y", "xy", None])) for i in range(80)]
+    df = spark.createDataFrame(rows + rows[:9], "id long, split string, bits long, block string, name string").withColumn("n_links", F.lit(0))
+    want = {}
+    for x in overlap.cross_split(df).collect():
+        for i in x:
+            want[i] = want.get(i, 0) + 1
+    got = overlap.linked(df).collect()
+    assert {x["id"]: x["n_links"] for x in got if x["n_links"]} == want and len(got) == sum(x[1] is not None for x in rows)
+    side = lambda x: (x[1] == "train", *x[2:])
+    assert all(x["class_id"] == min(y[0] for y in rows if y[1] and side(y) == side(rows[x["id"]])) for x in got)
+
+
+def test_near_names(spark):
+    rows = [(1, "train", 1, "s", "gate_one"), (2, "val", 2, "s", "gate_on"), (3, "test", 3, "s", "gate_one"), (4, "val", 4, "t", "gate_one"), (5, "val", 5, "s", "gate_other"), (6, None, 6, "s", "gate_onx"), (7, "val", 2, "s", "gate_on")]
+    df = spark.createDataFrame(rows, "id long, split string, bits long, block string, name string")
+    assert [tuple(x) for x in overlap.near_names(df, 2).collect()] == [("s", "gate_on", "gate_one", 1)]
 
 
 def naive_runs(rows, gap):
@@ -93,8 +114,9 @@ def test_sample_is_exact_and_deficits_are_told(spark):
     for x in got:
         n[x["plan_id"], x["category"]] = n.get((x["plan_id"], x["category"]), 0) + 1
     assert n == {(1, "a"): 900, (1, "b"): 40, (2, "a"): 9000} and len({tuple(x) for x in got}) == len(got)
-    assert {(x["plan_id"], x["category"], x["lacking"]) for x in quota.deficits(plan, rec).collect()} == {(1, "b", 60), (1, "c", 5)}
-    assert quota.proportional_sample(plan, rec.where("false")).count() == 0 and quota.deficits(plan.where("false"), rec).count() == 0
+    report = {(x["plan_id"], x["category"]): (x["need"], x["drawn"], x["lacking"], round(x["drawn_share"], 4) if x["drawn_share"] is not None else None) for x in quota.sample_report(plan, rec).collect()}
+    assert report == {(1, "a"): (900, 900, 0, 0.9574), (1, "b"): (100, 40, 60, 0.0426), (1, "c"): (5, 0, 5, 0.0), (2, "a"): (9000, 9000, 0, 1.0), (3, "b"): (0, 0, 0, None)}
+    assert quota.proportional_sample(plan, rec.where("false")).count() == 0 and quota.sample_report(plan.where("false"), rec).count() == 0
 
 
 def test_sample_does_not_favour_small_ids(spark):
