@@ -153,7 +153,8 @@ def _plans(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, DataFrame]
     pictures = _read(spark, d, "build_dataset").where("image_id is not null").select(F.col("image_id").alias("record_id"), quota.category_of_picture("labels", CLASSES, NEGATIVE).alias("category"))
     sizes = [(c, F.col(f"counts.{c}")) for c in CLASSES]
     groups = _read(spark, d, "resplit_dataset").where("group_id is not null").select(F.col("group_id").alias("record_id"), quota.majority(sizes, NEGATIVE).alias("category"))
-    return [(t, plan.where(F.col("over_table") == t), r.groupBy("record_id").agg(F.max("category").alias("category"))) for t, r in (("build_dataset", pictures), ("resplit_dataset", groups))]
+    ws = Workspace(spark)
+    return [(t, plan.where(F.col("over_table") == t), ws.table(r.groupBy("record_id").agg(F.max("category").alias("category")))) for t, r in (("build_dataset", pictures), ("resplit_dataset", groups))]
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:

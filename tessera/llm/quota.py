@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.workspace import Workspace
+
 CELLS = 1 << 12
 
 
@@ -45,55 +47,67 @@ def wanted(plan: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.withColumn("take", take).withColumn("lacking", F.col("need") - take).withColumn("p", p)
 
 
-def draw_of(plan: Column, record: Column, seed: int) -> Column:
-    """A number below 2^40 for plan and record, the first ten digits of an MD5 sum, so that other engines draw the same."""
-    text = F.concat_ws("/", plan.cast("string"), F.lit(str(seed)), record.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
+RANGE = 1 << 40
+
+
+def draw_of(c: Column) -> Column:
+    """A number below 2^40, the first ten digits of an MD5 sum, so that other engines draw the same."""
+    return F.conv(F.substring(F.md5(c.cast("string").cast("binary")), 1, 10), 16, 10).cast("long")
 
 
-def _goal(plan: DataFrame, records: DataFrame) -> DataFrame:
-    return wanted(plan, observed(records))
+def _goal(plan: DataFrame, records: DataFrame, ws: Workspace) -> DataFrame:
+    return ws.table(wanted(plan, observed(records)))
 
 
-def proportional_sample(plan: DataFrame, records: DataFrame, seed: int = 0, goal: DataFrame | None = None) -> DataFrame:
+def proportional_sample(plan: DataFrame, records: DataFrame, seed: int = 0, ws: Workspace | None = None, goal: DataFrame | None = None) -> DataFrame:
     """plan_id, category, record_id: exactly min(need, seen) records of every plan row.
 
     ``records``: record_id, category, one row per record. ``plan``: plan_id, category, share, min_rows, sample_size;
     a null share, size or minimum counts as 0, repeated plan rows count once with the largest need, a plan row with a
     null category is left out.
 
-    Each record is accepted independently where :func:`draw_of` lies below the probability of its category, which is the
-    ratio of wanted to observed, slightly raised. The surplus is then cut exactly: accepted records are counted in cells
-    of the draw, whole cells below the cut are kept, and only the cell in which it falls is ranked, so that no task sorts
-    a category. Should a category have too few accepted, all its records take part in the cut. So the sample is that of
-    the smallest draws.
+    A record's draw for a plan is its own number plus that of plan and seed, modulo 2^40. The record is accepted where
+    the draw lies below the probability of its category, which is the ratio of wanted to observed, slightly raised. What
+    is accepted is written once, and the surplus is cut exactly: accepted records are counted in cells of the draw, whole
+    cells below the cut are kept, and only the cell in which it falls is ranked, so that no task sorts a category. Should
+    a category have too few accepted, it is drawn again with probability one. So the sample is that of the smallest draws.
     """
-    goal = (goal if goal is not None else _goal(plan, records)).where("take > 0").select("plan_id", "category", "take", "p")
-    u = draw_of(F.col("g.plan_id"), F.col("r.record_id"), seed)
-    j = records.alias("r").join(goal.alias("g"), F.col("r.category") == F.col("g.category")).select("g.plan_id", "g.category", "r.record_id", u.alias("u"), "g.take", "g.p")
-    drawn = j.where(F.col("u") < F.ceil(F.col("p") * (1 << 40))).withColumn("cell", F.floor(F.col("u") / (F.greatest(F.col("p"), F.lit(1e-9)) * F.lit((1 << 40) / CELLS))))
-    got = drawn.groupBy("plan_id", "category").agg(F.count("*").alias("got"))
-    short = goal.join(got, ["plan_id", "category"], "left").where(F.coalesce("got", F.lit(0)) < F.col("take")).select("plan_id", "category")
-    again = j.join(short, ["plan_id", "category"], "left_semi").withColumn("cell", F.floor(F.col("u") / F.lit((1 << 40) / CELLS)))
-    drawn = drawn.join(short, ["plan_id", "category"], "left_anti").unionByName(again).drop("p")
+    ws = ws or Workspace(records.sparkSession)
+    goal = goal if goal is not None else _goal(plan, records, ws)
+    start = draw_of(F.concat_ws("/", F.lit("plan"), F.col("plan_id").cast("string"), F.lit(str(seed))))
+    goal = goal.where("take > 0").select("plan_id", F.col("category").alias("c"), "take", "p", start.alias("start"))
+    r = records.where("category is not null").select("record_id", "category", draw_of(F.col("record_id")).alias("own"))
+
+    def accepted(goal: DataFrame) -> DataFrame:
+        u = (F.col("own") + F.col("start")) % F.lit(RANGE)
+        j = r.join(goal, (F.col("category") == F.col("c")) & (u < F.ceil(F.col("p") * RANGE)))
+        return j.select("plan_id", "category", "record_id", u.alias("u"), F.floor(u / (F.col("p") * F.lit(RANGE / CELLS))).alias("cell"), "take")
+
+    drawn = ws.table(accepted(goal))
+    got = drawn.groupBy("plan_id", F.col("category").alias("c")).agg(F.count("*").alias("got"))
+    short = ws.table(goal.join(got, ["plan_id", "c"], "left").where(F.coalesce("got", F.lit(0)) < F.col("take")).drop("got"))
+    if short.count():
+        again = accepted(short.withColumn("p", F.lit(1.0)))
+        drawn = ws.table(drawn.join(short.select("plan_id", F.col("c").alias("category")), ["plan_id", "category"], "left_anti").unionByName(again))
     by_cell = drawn.groupBy("plan_id", "category", "cell").agg(F.count("*").alias("n"), F.first("take").alias("take"))
     w = Window.partitionBy("plan_id", "category").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    by_cell = by_cell.withColumn("upto", F.sum("n").over(w)).withColumn("room", F.col("take") - (F.col("upto") - F.col("n"))).where("room > 0")
-    kept = drawn.drop("take").join(by_cell.select("plan_id", "category", "cell", "n", "room"), ["plan_id", "category", "cell"])
+    by_cell = ws.table(by_cell.withColumn("upto", F.sum("n").over(w)).withColumn("room", F.col("take") - (F.col("upto") - F.col("n"))).where("room > 0").drop("take"))
+    kept = drawn.select("plan_id", "category", "record_id", "u", "cell").join(by_cell, ["plan_id", "category", "cell"])
     whole = kept.where("n <= room")
     cut = kept.where("n > room").withColumn("k", F.row_number().over(Window.partitionBy("plan_id", "category", "cell").orderBy("u", "record_id"))).where("k <= room")
     return whole.unionByName(cut.drop("k")).select("plan_id", "category", "record_id")
 
 
-def sample_report(plan: DataFrame, records: DataFrame, seed: int = 0) -> DataFrame:
+def sample_report(plan: DataFrame, records: DataFrame, seed: int = 0, ws: Workspace | None = None) -> DataFrame:
     """plan_id, category, need, drawn, lacking, wanted_share, drawn_share of every plan row, from the sample drawn.
 
     need is the larger of the minimum and share times size. A plan row that can't be met lacks the rest; neither its rest
     nor what minima add is taken from other categories, so drawn_share tells how far the sample is from wanted_share.
     """
-    goal = _goal(plan, records)
+    ws = ws or Workspace(records.sparkSession)
+    goal = _goal(plan, records, ws)
     share = plan.where("category is not null").groupBy("plan_id", "category").agg(F.max(F.coalesce("share", F.lit(0.0))).alias("wanted_share"))
-    got = proportional_sample(plan, records, seed, goal).groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
+    got = proportional_sample(plan, records, seed, ws, goal).groupBy("plan_id", "category").agg(F.count("*").alias("drawn"))
     rows = goal.join(share, ["plan_id", "category"]).join(got, ["plan_id", "category"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("long"))
     total = F.sum("drawn").over(Window.partitionBy("plan_id"))
     return rows.select("plan_id", "category", "need", "drawn", (F.col("need") - F.col("drawn")).alias("lacking"), "wanted_share", F.when(total > 0, F.col("drawn") / total).alias("drawn_share"))

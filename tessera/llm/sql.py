@@ -72,7 +72,7 @@ got AS (SELECT pl.*, least(need, coalesce(n, 0)) AS drawn FROM pl LEFT JOIN seen
 """
 _P6 = _PLANS + "SELECT plan_id, category FROM got WHERE drawn < need"
 _P6R = _PLANS + "SELECT plan_id, category, need, drawn, need - drawn AS lacking, share AS wanted_share, round(drawn / sum(drawn) OVER (PARTITION BY plan_id), 9) AS drawn_share FROM got"
-_P6S = _PLANS + """SELECT plan_id, category, id AS record_id, over_table FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, category, over_table ORDER BY CAST('0x' || substr(md5(plan_id || '/0/' || id), 1, 10) AS BIGINT), id) AS k
+_P6S = _PLANS + """SELECT plan_id, category, id AS record_id, over_table FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, category, over_table ORDER BY (CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 10) AS BIGINT) + CAST('0x' || substr(md5('plan/' || plan_id || '/0'), 1, 10) AS BIGINT)) % 1099511627776, id) AS k
  FROM got JOIN rec ON t = over_table AND c = category) WHERE k <= drawn"""
 
 
