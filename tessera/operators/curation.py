@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import hamming
+from tessera.operators.hamming import near_patterns, nearest_patterns
 
 BACKGROUND, DROP = "__background__", "__drop__"
 
@@ -63,22 +63,18 @@ def harmonise(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_pairs(rows: DataFrame, key: str, bits: str, most: int) -> DataFrame:
-    """a, b (a < b) of rows whose 64-bit patterns differ in at most ``most`` bits.
+    """a, b (a < b): edges that tie all rows whose 64-bit patterns differ in at most ``most`` (up to 6) bits.
 
-    Of ``most`` + 1 disjoint bands one must be equal, so rows meet by band and are then compared; distinct patterns
-    meet, not rows.
+    A pattern stands for all its rows: equal patterns are tied by a star around their smallest key, near ones by their
+    smallest keys, so copies make as many edges as rows and never all pairs. No link between different patterns is lost.
     """
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    distinct = rows.where(F.col(bits).isNotNull()).select(F.col(bits).alias("h")).distinct()
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))])
-    banded = distinct.select("h", F.explode(keys).alias("band"))
-    x, y = banded.select("band", F.col("h").alias("p")), banded.select("band", F.col("h").alias("q"))
-    met = x.join(y, "band").where((F.col("p") < F.col("q")) & (hamming(F.col("p"), F.col("q")) <= most)).select("p", "q").distinct()
-    same = distinct.select(F.col("h").alias("p"), F.col("h").alias("q"))
-    left, right = rows.select(F.col(key).alias("l"), F.col(bits).alias("p")), rows.select(F.col(key).alias("r"), F.col(bits).alias("q"))
-    pairs = met.unionByName(same).join(left, "p").join(right, "q").where("l <> r")
-    return pairs.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+    held = rows.where(F.col(bits).isNotNull()).select(F.col(key).alias("k"), F.col(bits).alias("bits"))
+    least = held.groupBy("bits").agg(F.min("k").alias("first"))
+    star = held.join(least, "bits").where("k > first").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    met = near_patterns(least, least, most).where("left_bits < right_bits")
+    x, y = least.select(F.col("bits").alias("left_bits"), F.col("first").alias("x")), least.select(F.col("bits").alias("right_bits"), F.col("first").alias("y"))
+    between = met.join(x, "left_bits").join(y, "right_bits").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return star.unionByName(between).distinct()
 
 
 def group_edges(rows: DataFrame, key: str, bits: str, name: str, most: int) -> DataFrame:
@@ -147,23 +143,14 @@ def forced_holdout(clips: DataFrame, named: list[str]) -> DataFrame:
     return clips.where(F.col("clip").isin(named)).select("group_id").distinct()
 
 
-def nearest_across(val: DataFrame, train: DataFrame, key: str, bits: str, most: int) -> DataFrame:
-    """val_id, best: for each held-out row the least number of differing bits to any training row, if at most ``most``."""
-    v = val.where(F.col(bits).isNotNull()).select(F.col(key).alias("val_id"), F.col(bits).alias("p"))
-    bands = most + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
+def nearest_across(val: DataFrame, train: DataFrame, key: str, bits: str) -> DataFrame:
+    """val_id, best: for each held-out row the least number of differing bits to any training row; none without training rows."""
+    v = val.where(F.col(bits).isNotNull()).select(F.col(key).alias("val_id"), F.col(bits).alias("bits"))
+    best = nearest_patterns(v, train.select(F.col(bits).alias("bits")))
+    return v.join(best, F.col("bits") == F.col("left_bits")).select("val_id", "best")
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(name, a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))])
-        return df.select(name, F.explode(keys).alias("band"))
 
-    p = keyed(v.select("p").distinct(), "p")
-    q = keyed(train.where(F.col(bits).isNotNull()).select(F.col(bits).alias("q")).distinct(), "q")
-    best = p.join(q, "band").withColumn("bits", hamming(F.col("p"), F.col("q"))).where(F.col("bits") <= most).groupBy("p").agg(F.min("bits").alias("best"))
-    return v.join(best, "p").select("val_id", "best")
-
-
-def leakage_gate(nearest: DataFrame, n_val: int, limits: tuple[int, ...] = (4, 6, 10)) -> DataFrame:
+def leakage_gate(nearest: DataFrame, limits: tuple[int, ...] = (4, 6, 10)) -> DataFrame:
     """max_bits, leaks, failed per limit."""
     limit = F.explode(F.array(*[F.lit(x) for x in limits])).alias("max_bits")
     per = nearest.select(limit, "best").groupBy("max_bits").agg(F.count_if(F.col("best") <= F.col("max_bits")).alias("leaks"))

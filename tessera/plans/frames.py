@@ -81,13 +81,17 @@ def _split_pool(spark, d):
 
 
 @query("j8_cross_split_nearest", f"""WITH {POOL}, s AS (SELECT image_id, {_SPLIT} AS split, hash FROM pool WHERE hash <> 0)
- SELECT a.image_id AS val_id, CAST(min(bit_count(xor(a.hash, b.hash))) AS INT) AS best FROM s a JOIN s b ON a.split = 'val' AND b.split = 'train' AND bit_count(xor(a.hash, b.hash)) <= 10 GROUP BY a.image_id""")
+ SELECT a.image_id AS val_id, CAST(min(bit_count(xor(a.hash, b.hash))) AS INT) AS best FROM s a JOIN s b ON a.split = 'val' AND b.split = 'train' GROUP BY a.image_id""")
 def j8(spark, d):
     p = _split_pool(spark, d)
-    return curation.nearest_across(p.where("split = 'val'"), p.where("split = 'train'"), "image_id", "bits", 10)
+    return curation.nearest_across(p.where("split = 'val'"), p.where("split = 'train'"), "image_id", "bits")
 
 
-@query("j9_near_duplicate_pairs", f"WITH {POOL}, s AS (SELECT image_id, hash FROM pool WHERE hash <> 0) SELECT a.image_id AS a, b.image_id AS b FROM s a JOIN s b ON a.image_id < b.image_id AND bit_count(xor(a.hash, b.hash)) <= 6")
+_NEAR = """nb AS (SELECT h, min(image_id) AS first FROM {0} WHERE h IS NOT NULL GROUP BY h), near AS (SELECT first AS a, image_id AS b FROM {0} JOIN nb USING (h) WHERE image_id > first
+ UNION SELECT least(x.first, y.first), greatest(x.first, y.first) FROM nb x JOIN nb y ON x.h < y.h AND bit_count(xor(x.h, y.h)) <= 6)"""
+
+
+@query("j9_near_duplicate_pairs", f"WITH {POOL}, s AS (SELECT image_id, nullif(hash, 0) AS h FROM pool), {_NEAR.format('s')} SELECT a, b FROM near")
 def j9(spark, d):
     return curation.near_pairs(_split_pool(spark, d), "image_id", "bits", 6)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import curation, metrics, ordered
-from tessera.plans.frames import _ASOF, _CLEAN, _HOUR, _PAIRS, _PERSON, _SCORED, _SPLIT, _VISITS, _asof_events, _person_scores, _reentries, _scored, _split_pool, _timeline
+from tessera.plans.frames import _ASOF, _CLEAN, _HOUR, _NEAR, _PAIRS, _PERSON, _SCORED, _SPLIT, _VISITS, _asof_events, _person_scores, _reentries, _scored, _split_pool, _timeline
 from tessera.plans.registry import query
 from tessera.plans.views import PEOPLE, POOL, PRESENCE, SAMPLES, WALK, people, pool, presence, samples, table, walk
 from tessera.sources import tables
@@ -319,7 +319,7 @@ def _keyed(spark, d):
 
 
 _KEYED = f"{POOL}, kp AS (SELECT image_id, CASE WHEN hash <> 0 THEN hash END AS h, coalesce(src, '?') || ':' || regexp_replace(regexp_replace(regexp_extract(img, '([^/]*)$', 1), '\\.[^.]*$', ''), '\\.rf\\.[0-9a-f]+$', '') AS nm FROM pool)"
-_EDGES = "ed AS (SELECT a.image_id AS a, b.image_id AS b FROM kp a JOIN kp b ON a.image_id < b.image_id AND bit_count(xor(a.h, b.h)) <= 6 UNION SELECT (SELECT min(x.image_id) FROM kp x WHERE x.nm = b.nm), b.image_id FROM kp b WHERE (SELECT min(x.image_id) FROM kp x WHERE x.nm = b.nm) < b.image_id)"
+_EDGES = _NEAR.format("kp") + ", ed AS (SELECT a, b FROM near UNION SELECT (SELECT min(x.image_id) FROM kp x WHERE x.nm = b.nm), b.image_id FROM kp b WHERE (SELECT min(x.image_id) FROM kp x WHERE x.nm = b.nm) < b.image_id)"
 
 
 def _edges(spark, d):
@@ -378,7 +378,7 @@ def d7(spark, d):
  SELECT max_bits, count(*) FILTER (best <= max_bits) AS leaks, count(*) FILTER (best <= max_bits) > 0 AS failed FROM b, (VALUES (4), (6), (10)) l(max_bits) GROUP BY max_bits""")
 def d8(spark, d):
     p = _split_pool(spark, d)
-    return curation.leakage_gate(curation.nearest_across(p.where("split = 'val'"), p.where("split = 'train'"), "image_id", "bits", 10), 0)
+    return curation.leakage_gate(curation.nearest_across(p.where("split = 'val'"), p.where("split = 'train'"), "image_id", "bits"))
 
 
 @query("d9_occlusion_retention", f"""WITH {WALK}, t AS (SELECT person, frame_id, value % 3 AS ident FROM walk WHERE value IS NOT NULL AND NOT frame_id BETWEEN 190 AND 210), b AS (SELECT person, ident FROM (SELECT person, ident, count(*) AS n, min(frame_id) AS f FROM t WHERE frame_id >= 175 AND frame_id < 190 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY person ORDER BY n DESC, f) = 1),

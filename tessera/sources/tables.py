@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.workspace import Workspace
+
 MOT_SCHEMA = "frame long, id long, x double, y double, w double, h double, conf double, class int, visibility double"
 EVENTS_SCHEMA = (
     "clip string, fps double, frames long, scenario string, people map<string,string>, "
@@ -18,31 +18,9 @@ EVENTS_SCHEMA = (
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only in plain local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def cutter(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
     """A function that writes a frame to the shared folder and reads it back, so that lineage ends there."""
-    root = f"{shared_folder(spark)}/tessera-{uuid.uuid4().hex}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-
-    def cut(df: DataFrame) -> DataFrame:
-        at = f"{root}/{uuid.uuid4().hex}"
-        df.write.parquet(at)
-        return spark.read.schema(df.schema).parquet(at)
-
-    return cut
+    return Workspace(spark).table
 
 
 def first_frames(df: DataFrame, n: int, frame: str = "frame_id") -> DataFrame:
