@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.workspace import Workspace
+from tessera.operators.hamming import near_patterns
 
 
 def _segments(length: Column, k: int) -> Column:
@@ -45,53 +44,11 @@ def segment_join(evaluation: DataFrame, training: DataFrame, k: int) -> DataFram
     return met.select("block", F.col("e").alias("eval_text"), F.col("t").alias("train_text")).distinct()
 
 
-def bit_segment_join(evaluation: DataFrame, training: DataFrame, k: int = 6, segments: int = 8, crowded: int = 4096) -> DataFrame:
-    """Distinct pairs eval_bits, train_bits of 64-bit patterns that differ in at most ``k`` bits.
-
-    Both inputs: bits (long). Null patterns pair with nothing and repeated ones count once.
-
-    Method: the segment join for substitutions only, where a segment can't move, so each is matched at its own
-    position. With k + 2 segments (8 of 8 bits for k = 6) at least two stay untouched, so pairs of segments are the
-    keys: 28 of 16 bits each instead of 7 of 9 bits, which leaves one candidate in 2,300 where single segments leave
-    one in 73. Where more than ``crowded`` evaluation patterns share such a key, the patterns under it are cut once
-    more: of the 6 segments left, cut into k + 1 or more parts, some pair must agree as well, so the key grows by 12
-    bits. Candidates are verified by the number of differing bits.
-    """
-    if segments != k + 2 or 64 % segments:
-        raise ValueError("segments must be k + 2 and divide 64")
-    width = 64 // segments
-    mask = (1 << width) - 1
-    combos = list(combinations(range(segments), 2))
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        d = df.where("bits is not null").select(F.col("bits").alias(name)).distinct()
-        part = [F.shiftrightunsigned(name, width * i).bitwiseAND(F.lit(mask)) for i in range(segments)]
-        keys = [(F.lit(c << 2 * width) + part[i] * F.lit(1 << width) + part[j]).cast("int") for c, (i, j) in enumerate(combos)]
-        return d.select(name, F.explode(F.array(*keys)).alias("key"))
-
-    def refined(d: DataFrame, name: str) -> DataFrame:
-        """The crowded keys' patterns by 28 further keys each: 2 of 8 parts of the 48 bits left, 6 bits a part."""
-        left = F.lit(None).cast("long")
-        for c, (i, j) in enumerate(combos):
-            rest, at = F.lit(0).cast("long"), 0
-            for s in range(segments):
-                if s not in (i, j):
-                    rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned(name, width * s).bitwiseAND(F.lit(mask)).cast("long"), at))
-                    at += width
-            left = F.when(F.shiftright("key", 2 * width) == c, rest).otherwise(left)
-        d = d.withColumn("left", left)
-        part = [F.shiftrightunsigned("left", 6 * i).bitwiseAND(F.lit(63)) for i in range(8)]
-        more = [(F.lit(c << 12) + part[i] * F.lit(64) + part[j]).cast("int") for c, (i, j) in enumerate(combinations(range(8), 2))]
-        return d.select(name, "key", F.explode(F.array(*more)).alias("more"))
-
-    near = F.bit_count(F.col("e").bitwiseXOR(F.col("t"))) <= k
-    e, t = keyed(evaluation, "e"), keyed(training, "t")
-    hot = Workspace(evaluation.sparkSession).table(e.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("key"))
-    if not hot.count():
-        return e.hint("shuffle_hash").join(t, "key").where(near).select(F.col("e").alias("eval_bits"), F.col("t").alias("train_bits")).distinct()
-    plain = e.join(hot, "key", "left_anti").join(t, "key").where(near).select("e", "t")
-    dense = refined(e.join(hot, "key", "left_semi"), "e").join(refined(t.join(hot, "key", "left_semi"), "t"), ["key", "more"]).where(near).select("e", "t")
-    return plain.unionByName(dense).distinct().select(F.col("e").alias("eval_bits"), F.col("t").alias("train_bits"))
+def bit_segment_join(evaluation: DataFrame, training: DataFrame, k: int = 6, crowded: int = 4096) -> DataFrame:
+    """Distinct pairs eval_bits, train_bits of 64-bit patterns (column bits) that differ in at most ``k`` bits: the
+    segment join for substitutions only, where a segment can't move, see :func:`tessera.operators.hamming.near_patterns`."""
+    got = near_patterns(evaluation, training, k, crowded)
+    return got.select(F.col("left_bits").alias("eval_bits"), F.col("right_bits").alias("train_bits"))
 
 
 def cross_split(records: DataFrame, max_bits: int = 6, max_edits: int = 0) -> DataFrame:
@@ -106,7 +63,7 @@ def cross_split(records: DataFrame, max_bits: int = 6, max_edits: int = 0) -> Da
     # The names are parsed once, as eight branches read them.
     r = Workspace(records.sparkSession).table(r)
     ev, tr = r.where("not train"), r.where("train")
-    bits = bit_segment_join(ev, tr, max_bits, max_bits + 2)
+    bits = bit_segment_join(ev, tr, max_bits)
     by_bits = bits.join(ev.select(F.col("id").alias("eval_id"), F.col("bits").alias("eval_bits")), "eval_bits")
     by_bits = by_bits.join(tr.select(F.col("id").alias("train_id"), F.col("bits").alias("train_bits")), "train_bits")
     en, tn = ev.select("block", F.col("name").alias("text")), tr.select("block", F.col("name").alias("text"))
@@ -136,7 +93,7 @@ def linked(records: DataFrame, max_bits: int = 6) -> DataFrame:
     r = records.where("split is not null and id is not null").select("id", "split", (F.col("split") == "train").alias("train"), "bits", "block", "name").distinct()
     c = ws.table(r.groupBy("train", "bits", "block", "name").agg(F.min("id").alias("class_id"), F.countDistinct("id").alias("n")))
     named = F.col("block").isNotNull() & F.col("name").isNotNull()
-    near = bit_segment_join(c.where("not train"), c.where("train"), max_bits, max_bits + 2)
+    near = bit_segment_join(c.where("not train"), c.where("train"), max_bits)
     both = F.explode(F.array(F.struct(F.lit(False).alias("train"), F.col("eval_bits").alias("bits"), F.col("train_bits").alias("far")), F.struct(F.lit(True).alias("train"), F.col("train_bits").alias("bits"), F.col("eval_bits").alias("far"))))
     near = ws.table(near.select(both.alias("x")).select("x.train", "x.bits", "x.far"))
     held = c.where("bits is not null").groupBy((~F.col("train")).alias("train"), F.col("bits").alias("far")).agg(F.sum("n").alias("k"))

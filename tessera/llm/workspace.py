@@ -1,53 +1,5 @@
-"""Tables that cut lineage, written to the folder all executors share."""
+"""Written tables of the operators of this subpackage."""
 
-from __future__ import annotations
+from tessera.sources.workspace import Workspace
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only in plain local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-class Workspace:
-    """Written intermediate tables of one operator call.
-
-    ``table`` writes a frame as Parquet and reads it back, so a lost executor costs a read of files and not a
-    recomputation of all earlier rounds. ``drop`` frees a table that a later one has replaced; what remains goes
-    when the driver's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-        self._fs.deleteOnExit(self._path(self.root))
-        self._at: dict[int, str] = {}
-
-    def table(self, df: DataFrame) -> DataFrame:
-        at = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        self._at[id(out)] = at
-        return out
-
-    def drop(self, *frames: DataFrame | None) -> None:
-        for df in frames:
-            at = self._at.pop(id(df), None)
-            if at:
-                self._fs.delete(self._path(at), True)
+__all__ = ["Workspace"]
