@@ -89,15 +89,21 @@ def without_junk(pairs: DataFrame) -> DataFrame:
 def as_of(events: DataFrame, timeline: DataFrame, event_id: str, clip: str, at: str, reach: int, side: str) -> DataFrame:
     """event_id, frame: for each event the nearest frame of the timeline on one side with a decided identity.
 
-    ``side`` is "before" (at most ``reach`` frames back, the event's own included) or "after". Events and frames meet in
-    cells of ``reach`` frames, so the join is on equality and never over all pairs of a clip.
+    ``side`` is "before" (at most ``reach`` frames back, the event's own included) or "after". Clips are cut into cells
+    of ``reach`` frames; within a cell a running extreme over events and frames finds the nearest one, and the next cell
+    gives its outermost frame where there is none. So events and frames are sorted together, cell by cell, and never
+    joined in pairs; a long clip is spread over its cells.
     """
-    cell = F.floor(F.col(at) / reach)
-    e = events.select(event_id, F.col(clip).alias("_c"), F.col(at).alias("_at"), F.explode(F.array(cell, cell + (1 if side == "after" else -1))).alias("_k"))
-    t = timeline.where("ident is not null").select(F.col(clip).alias("_c"), F.col("frame_id").alias("_f"), F.floor(F.col("frame_id") / reach).alias("_k"))
-    step = F.col("_f") - F.col("_at") if side == "after" else F.col("_at") - F.col("_f")
-    j = e.join(t, ["_c", "_k"]).where((step >= 0) & (step <= reach))
-    return j.groupBy(event_id).agg((F.min("_f") if side == "after" else F.max("_f")).alias("frame"))
+    back = side == "before"
+    t = timeline.where("ident is not null").select(F.col(clip).alias("_c"), F.col("frame_id").alias("_f")).distinct().withColumn("_k", F.floor(F.col("_f") / reach))
+    e = events.select(F.col(clip).alias("_c"), F.floor(F.col(at) / reach).alias("_k"), F.col(at).alias("_at"), F.col(event_id).alias("_e"), F.lit(None).cast("long").alias("_f"))
+    both = e.unionByName(t.select("_c", "_k", F.col("_f").alias("_at"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"), "_f"))
+    order = [F.col("_at") if back else F.col("_at").desc(), F.col("_f").isNull()]
+    w = Window.partitionBy("_c", "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn("_own", F.max("_f").over(w) if back else F.min("_f").over(w)).where("_e is not null")
+    outer = t.groupBy("_c", (F.col("_k") + (1 if back else -1)).alias("_k")).agg((F.max("_f") if back else F.min("_f")).alias("_outer"))
+    near = own.join(outer, ["_c", "_k"], "left").withColumn("frame", F.coalesce("_own", "_outer"))
+    return near.where(F.abs(F.col("_at") - F.col("frame")) <= reach).select(F.col("_e").alias(event_id), "frame")
 
 
 def exit_return_pairs(marks: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -152,10 +158,18 @@ def pair_scores(queries: DataFrame, gallery: DataFrame, block: int = 1024, place
     return out
 
 
-def evicted(df: DataFrame, ident: str, last_seen: str, active: str, capacity: int) -> DataFrame:
-    """The identities that leave when only ``capacity`` may stay: absent ones, seen longest ago first.
+def evicted(df: DataFrame, ident: str, last_seen: str, active: str, capacity: int, cells: int = 1 << 10) -> DataFrame:
+    """The identities that leave when only ``capacity`` may stay: absent ones, seen longest ago first, then by identity.
 
-    Of n identities n - ``capacity`` must go, or all absent ones if they are fewer.
+    Of n identities n - ``capacity`` must go, or all absent ones if they are fewer. Absent identities are counted in
+    ``cells`` equal stretches of time; cells before the cut leave as a whole, and only the cell in which it falls is
+    ranked, so no task sorts them all.
     """
-    n = df.count()
-    return df.where(~F.col(active)).orderBy(last_seen, ident).limit(max(0, n - capacity))
+    ends = df.agg(F.count("*").alias("_n"), F.min(last_seen).alias("_a"), F.max(last_seen).alias("_z"))
+    step = F.greatest((F.col("_z") - F.col("_a")) / F.lit(cells), F.lit(1.0))
+    rows = df.where(~F.col(active)).join(F.broadcast(ends)).withColumn("_cell", F.floor((F.col(last_seen) - F.col("_a")) / step))
+    w = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    per = rows.groupBy("_cell").agg(F.count("*").alias("_m"), F.first("_n").alias("_all")).withColumn("_room", F.col("_all") - F.lit(capacity) - F.sum("_m").over(w) + F.col("_m")).where("_room > 0")
+    kept = rows.join(F.broadcast(per.select("_cell", "_m", "_room")), "_cell")
+    cut = kept.where("_m > _room").withColumn("_r", F.row_number().over(Window.partitionBy("_cell").orderBy(last_seen, ident))).where("_r <= _room")
+    return kept.where("_m <= _room").select(*df.columns).unionByName(cut.select(*df.columns))

@@ -80,3 +80,17 @@ def recordings(df: DataFrame, key: str, order: str, level: str, tail: int, least
     begins = F.col("hot") & F.coalesce(F.lag("_first_over").over(w) | F.lag("over").over(w), F.lit(True))
     rec = keep.withColumn("_b", begins.cast("int")).withColumn("rec", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rec.groupBy(key, "rec").agg(F.min(order).alias("start"), F.max(order).alias("stop")).drop("rec")
+
+
+def ema_per(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, keep: float = 0.9, reach: int = 400) -> DataFrame:
+    """keys, ``out``: the last value of the moving average ``keep`` * before + (1 - ``keep``) * value, seeded by the first.
+
+    A value k rows before the end weighs (1 - keep) * keep^k, the first keep^k; weights fall below 1e-18 after ``reach``
+    rows, so only that many of each key matter. They are found by a top-k per key, which Spark cuts before the shuffle,
+    so a key of any size costs no more than ``reach`` rows a task. Null values are left out.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    rows = df.where(F.col(value).isNotNull()).select(*keys, *order, F.col(value).alias("_v")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= reach)
+    last = F.max("_k").over(Window.partitionBy(*keys))
+    weight = F.pow(F.lit(keep), F.col("_k") - 1) * F.when(F.col("_k") == F.col("_n"), 1.0).otherwise(1 - keep)
+    return rows.withColumn("_n", last).groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias(out))

@@ -15,12 +15,16 @@ from tessera.plans.views import CANDIDATES, PEOPLE, POOL, POSED, PRESENCE, SAMPL
 _HOUR = 3_600_000_000
 
 
-@query("j1_feature_attach", f"""WITH {PEOPLE}, j AS (SELECT a.frame_id, a.det_id AS l_det_id, b.det_id AS r_det_id, {_IOU} AS iou FROM people a JOIN people b ON a.frame_id = b.frame_id WHERE a.det_id IN (5, 7) AND b.det_id IN (4, 6))
+_LATE = "late AS (SELECT frame_id, det_id, x1 + 3 AS x1, y1 + 2 AS y1, x2 + 3 AS x2, y2 + 2 AS y2 FROM people)"
+
+
+@query("j1_feature_attach", f"""WITH {PEOPLE}, {_LATE}, j AS (SELECT a.frame_id, a.det_id AS l_det_id, b.det_id AS r_det_id, {_IOU} AS iou FROM late a JOIN people b ON a.frame_id = b.frame_id)
  SELECT frame_id, l_det_id, r_det_id, round(iou, 6) AS iou FROM j WHERE iou > 0.5 QUALIFY row_number() OVER (PARTITION BY frame_id, l_det_id ORDER BY iou DESC, r_det_id) = 1""")
 def j1(spark, d):
+    """Tracks stand a few pixels beside the detections whose vectors they take."""
     p = people(spark, d).select("frame_id", "det_id", "x1", "y1", "x2", "y2")
-    r = matching.best_overlap(p.where("det_id IN (5, 7)"), p.where("det_id IN (4, 6)"), "frame_id", "det_id", "det_id")
-    return r.withColumn("iou", F.round("iou", 6))
+    late = p.select("frame_id", "det_id", (F.col("x1") + 3).alias("x1"), (F.col("y1") + 2).alias("y1"), (F.col("x2") + 3).alias("x2"), (F.col("y2") + 2).alias("y2"))
+    return matching.best_overlap(late, p, "frame_id", "det_id", "det_id").withColumn("iou", F.round("iou", 6))
 
 
 def _holders(spark, d):
@@ -153,17 +157,17 @@ def j14(spark, d):
 
 
 def _timeline(spark, d):
-    return people(spark, d).where("k % 64 = 9").select((F.col("frame_id") % 4).alias("clip"), "frame_id", F.when(F.col("k") % 5 != 0, F.col("track_id")).alias("ident"))
+    return people(spark, d).select((F.col("frame_id") % 4).alias("clip"), "frame_id", "det_id", F.when(F.col("k") % 5 != 0, F.col("track_id")).alias("ident"))
 
 
 def _asof_events(spark, d):
-    return table(spark, d, "events").where("event_id % 5 = 0").select("event_id", (F.col("event_id") % 4).alias("clip"), (F.col("event_id") % 1500).alias("at"))
+    return table(spark, d, "events").select("event_id", (F.col("event_id") % 4).alias("clip"), (F.col("event_id") % 1500).alias("at"))
 
 
-_ASOF = f"{PEOPLE}, tl AS (SELECT frame_id % 4 AS clip, frame_id, track_id AS ident FROM people WHERE k % 64 = 9 AND k % 5 <> 0), ev AS (SELECT event_id, event_id % 4 AS clip, event_id % 1500 AS t0 FROM events WHERE event_id % 5 = 0)"
+_ASOF = f"{PEOPLE}, tl AS (SELECT frame_id % 4 AS clip, frame_id, det_id, track_id AS ident FROM people WHERE k % 5 <> 0), ev AS (SELECT event_id, event_id % 4 AS clip, event_id % 1500 AS t0 FROM events), fr AS (SELECT DISTINCT clip, frame_id FROM tl)"
 
 
-@query("j15_nearest_decided", f"""WITH {_ASOF}, b AS (SELECT event_id, max(frame_id) AS before FROM ev JOIN tl USING (clip) WHERE t0 - frame_id BETWEEN 0 AND 240 GROUP BY event_id), a AS (SELECT event_id, min(frame_id) AS after FROM ev JOIN tl USING (clip) WHERE frame_id - t0 BETWEEN 0 AND 240 GROUP BY event_id)
+@query("j15_nearest_decided", f"""WITH {_ASOF}, b AS (SELECT event_id, max(frame_id) AS before FROM ev JOIN fr USING (clip) WHERE t0 - frame_id BETWEEN 0 AND 240 GROUP BY event_id), a AS (SELECT event_id, min(frame_id) AS after FROM ev JOIN fr USING (clip) WHERE frame_id - t0 BETWEEN 0 AND 240 GROUP BY event_id)
  SELECT event_id, before, after FROM ev LEFT JOIN b USING (event_id) LEFT JOIN a USING (event_id)""")
 def j15(spark, d):
     e, t = _asof_events(spark, d), _timeline(spark, d)
@@ -210,11 +214,11 @@ _PERSON = f"""{_SCORED}, cm AS (SELECT person, i, avg(feat[i]) AS m FROM samples
  bs AS (SELECT q_id, g_pid, max(sim) AS best FROM scored WHERE g_pid >= 0 GROUP BY q_id, g_pid), ps AS (SELECT q_id, q_pid, g_pid, cen, best FROM cs JOIN bs USING (q_id, g_pid))"""
 
 
-@query("f15_centroid", f"WITH {_PERSON} SELECT person, round(c[1] / sqrt(list_dot_product(c, c)), 6) AS first FROM cv")
+@query("f15_centroid", f"WITH {_PERSON} SELECT person, CAST(i - 1 AS INT) AS dim, round(c[i] / sqrt(list_dot_product(c, c)), 6) + 0 AS x FROM cv, range(1, 65) t(i)")
 def f15(spark, d):
     long = samples(spark, d).where("not is_query AND pid >= 0").select("person", F.posexplode("feat").alias("i", "x")).groupBy("person", "i").agg(F.avg("x").alias("m"))
     c = long.groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("c"))
-    return c.select("person", F.round(v.unit(F.col("c"))[0], 6).alias("first"))
+    return c.select("person", F.posexplode(v.unit(F.col("c"))).alias("dim", "x")).select("person", "dim", (F.round("x", 6) + 0).alias("x"))
 
 
 @query("f16_identity_similarity", f"WITH {_PERSON} SELECT q_id, g_pid, round(greatest(cen, 0.9 * best), 7) AS sim FROM ps")
@@ -222,9 +226,9 @@ def f16(spark, d):
     return _person_scores(spark, d).select("q_id", "g_pid", F.round(v.identity_similarity(F.col("cen"), F.col("best")), 7).alias("sim"))
 
 
-@query("f17_fused_score", f"WITH {_PERSON} SELECT q_id, g_pid, round(CASE WHEN q_id % 10 = 0 THEN greatest(cen, 0.9 * best) ELSE 0.85 * greatest(cen, 0.9 * best) + 0.15 * cen END, 9) AS score FROM ps")
+@query("f17_fused_score", f"WITH {_PERSON} SELECT q_id, g_pid, round(CASE WHEN q_id % 300 = 0 THEN greatest(cen, 0.9 * best) ELSE 0.85 * greatest(cen, 0.9 * best) + 0.15 * cen END, 9) AS score FROM ps")
 def f17(spark, d):
-    ratio = F.when(F.col("q_id") % 10 != 0, F.col("cen"))
+    ratio = F.when(F.col("q_id") % 300 != 0, F.col("cen"))
     return _person_scores(spark, d).select("q_id", "g_pid", F.round(v.fused(v.identity_similarity(F.col("cen"), F.col("best")), ratio), 9).alias("score"))
 
 
@@ -321,11 +325,13 @@ def o20(spark, d):
 
 
 def _tracks(spark, d):
-    """Tracks with appearance: each person's vector comes from the sample of its number."""
-    s = samples(spark, d).where("vec_id < 64").select(F.col("vec_id").alias("look"), "feat")
-    p = posed(spark, d).where("det_id < 5").withColumn("track_id", F.col("track_id") % 40).withColumn("look", F.col("track_id") % 16)
+    """Every detection with its own track, and the track's vector: that of its number, counted round the embeddings."""
+    s = samples(spark, d)
+    n = s.agg(F.count("*").alias("n"))
+    looks = s.select(F.col("vec_id").alias("look"), "feat")
+    p = posed(spark, d).join(F.broadcast(n)).withColumn("look", F.col("track_id") % F.col("n"))
     admit = gates.admission_reason(Box.of(), F.col("conf"), F.col("matched"), F.lit(None).cast("int"), F.lit(True)) == "ok"
-    return p.join(s, "look").select("stream_id", "frame_id", (F.col("frame_id") / 30.0).alias("ts"), "track_id", "x1", "y1", "x2", "y2", "feat", admit.alias("admit"))
+    return p.join(looks, "look").select("stream_id", "frame_id", (F.col("frame_id") / 30.0).alias("ts"), "track_id", "x1", "y1", "x2", "y2", "feat", admit.alias("admit"))
 
 
 @query("o26_identity_resolution")
@@ -417,10 +423,10 @@ def o23(spark, d):
     return suppression.diverse_reservoir(samples(spark, d), "person", "vec_id", 16)
 
 
-@query("o27_reid_veto", f"WITH {_PERSON} SELECT q_id, g_pid FROM ps WHERE q_pid = g_pid AND q_id % 4 >= 2 AND round(greatest(cen, 0.9 * best), 7) < 0.2")
+@query("o27_reid_veto", f"WITH {_PERSON} SELECT q_id, g_pid FROM ps WHERE q_pid = g_pid AND (q_id // 100) % 4 >= 2 AND round(greatest(cen, 0.9 * best), 7) < 0.2")
 def o27(spark, d):
     sim = F.round(v.identity_similarity(F.col("cen"), F.col("best")), 7)
-    return _person_scores(spark, d).where("q_pid = g_pid").where(gates.vetoed(sim, F.col("q_id") % 4, 0.2)).select("q_id", "g_pid")
+    return _person_scores(spark, d).where("q_pid = g_pid").where(gates.vetoed(sim, F.expr("q_id div 100") % 4, 0.2)).select("q_id", "g_pid")
 
 
 _LAST = f"{PRESENCE}, l AS (SELECT person, max(t_us) AS seen, person % 3 = 0 AS active FROM presence GROUP BY person), n AS (SELECT max(t_us) AS now FROM presence)"

@@ -11,13 +11,13 @@ from tessera.plans.views import PEOPLE, POOL, PRESENCE, SAMPLES, WALK, people, p
 from tessera.sources import tables
 
 
-@query("a1_dominant_identity", f"""WITH {_ASOF}, w AS (SELECT event_id, ident, frame_id FROM ev JOIN tl USING (clip) WHERE frame_id >= t0 AND frame_id < t0 + 400)
- SELECT event_id, ident FROM (SELECT event_id, ident, count(*) AS n, min(frame_id) AS f FROM w GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, f) = 1""")
+@query("a1_dominant_identity", f"""WITH {_ASOF}, w AS (SELECT event_id, ident, frame_id, det_id FROM ev JOIN tl USING (clip) WHERE frame_id >= t0 AND frame_id < t0 + 20)
+ SELECT event_id, ident FROM (SELECT event_id, ident, count(*) AS n, min((frame_id, det_id)) AS f FROM w GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, f) = 1""")
 def a1(spark, d):
-    t = _timeline(spark, d).withColumn("cell", F.floor(F.col("frame_id") / 400))
-    e = _asof_events(spark, d).withColumn("cell", F.explode(F.array(F.floor(F.col("at") / 400), F.floor(F.col("at") / 400) + 1)))
-    j = e.join(t, ["clip", "cell"]).where("frame_id >= at AND frame_id < at + 400")
-    return metrics.dominant(j, ["event_id"], "ident", ["frame_id"])
+    t = _timeline(spark, d).withColumn("cell", F.floor(F.col("frame_id") / 20))
+    e = _asof_events(spark, d).withColumn("cell", F.explode(F.array(F.floor(F.col("at") / 20), F.floor(F.col("at") / 20) + 1)))
+    j = e.join(t, ["clip", "cell"]).where("frame_id >= at AND frame_id < at + 20")
+    return metrics.dominant(j, ["event_id"], "ident", ["frame_id", "det_id"])
 
 
 def _events(spark, d):
@@ -163,10 +163,10 @@ def a17(spark, d):
     return _gaps(spark, d).withColumn("gap", F.round("gap", 6))
 
 
-@query("a18_threshold_sweep", f"""WITH {PEOPLE}, f AS (SELECT frame_id, max(conf) FILTER (k % 4 = 1) AS c FROM people GROUP BY frame_id), t AS (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS threshold)
+@query("a18_threshold_sweep", f"""WITH {PEOPLE}, f AS (SELECT frame_id, max(conf) AS c FROM people GROUP BY frame_id), t AS (SELECT CAST(unnest([0.25, 0.5, 0.75]) AS DOUBLE) AS threshold)
  SELECT threshold, count(*) FILTER (frame_id % 3 = 0 AND coalesce(c, 0) >= threshold) AS hits, count(*) FILTER (frame_id % 3 = 0 AND coalesce(c, 0) < threshold) AS misses, count(*) FILTER (frame_id % 3 <> 0 AND coalesce(c, 0) >= threshold) AS false_alarms FROM f, t GROUP BY threshold""")
 def a18(spark, d):
-    f = people(spark, d).groupBy("frame_id").agg(F.max(F.when(F.col("k") % 4 == 1, F.col("conf"))).alias("conf"))
+    f = people(spark, d).groupBy("frame_id").agg(F.max("conf").alias("conf"))
     return metrics.frame_sweep(f.select((F.col("frame_id") % 3 == 0).alias("positive"), "conf"), [0.25, 0.5, 0.75])
 
 
@@ -220,12 +220,12 @@ def a27(spark, d):
     return metrics.degenerate(samples(spark, d).select(v.norm(F.col("feat")).alias("norm")))
 
 
-@query("a29_verdict", f"WITH {_PERSON}, x AS (SELECT q_id, avg(cen) FILTER (q_pid = g_pid) - avg(cen) FILTER (q_pid <> g_pid) AS s FROM ps WHERE q_pid >= 0 GROUP BY q_id) SELECT q_id, CASE WHEN s < 0.15 THEN 'poor' WHEN s < 0.25 THEN 'marginal' WHEN s < 0.35 THEN 'usable' ELSE 'good' END AS band, CASE WHEN q_id % 100 < 50 THEN 'insufficient' WHEN s < 0.25 THEN 'weak' WHEN s < 0.35 THEN 'fair' ELSE 'strong' END AS verdict FROM x")
+@query("a29_verdict", f"WITH {_PERSON}, x AS (SELECT q_id, avg(cen) FILTER (q_pid = g_pid) - avg(cen) FILTER (q_pid <> g_pid) AS s FROM ps WHERE q_pid >= 0 GROUP BY q_id) SELECT q_id, CASE WHEN s < 0.15 THEN 'poor' WHEN s < 0.25 THEN 'marginal' WHEN s < 0.35 THEN 'usable' ELSE 'good' END AS band, CASE WHEN (q_id // 100) % 2 = 0 THEN 'insufficient' WHEN s < 0.25 THEN 'weak' WHEN s < 0.35 THEN 'fair' ELSE 'strong' END AS verdict FROM x")
 def a29(spark, d):
     p = _person_scores(spark, d).where("q_pid >= 0")
     same = F.col("q_pid") == F.col("g_pid")
     x = p.groupBy("q_id").agg((F.avg(F.when(same, F.col("cen"))) - F.avg(F.when(~same, F.col("cen")))).alias("s"))
-    n = F.col("q_id") % 100
+    n = F.expr("q_id div 100") % 2 * 60
     return x.select("q_id", metrics.separation_band(F.col("s")).alias("band"), metrics.verdict(F.col("s"), F.lit(0.9), n, n).alias("verdict"))
 
 

@@ -9,6 +9,7 @@ from tessera.functions import geometry as g
 from tessera.functions import vectors as v
 from tessera.functions.geometry import Box
 from tessera.operators import gates
+from tessera.operators.ordered import ema_per
 from tessera.plans.registry import query
 from tessera.plans.views import CANDIDATES, PEOPLE, POSED, PRESENCE, SAMPLES, candidates, people, posed, presence, samples
 
@@ -69,10 +70,10 @@ def f7(spark, d):
     return people(spark, d).select(*_KEY, g.clamped_area(Box.of()).alias("area"))
 
 
-@query("f8_l2_normalise", f"WITH {SAMPLES} SELECT vec_id, round(list_sum(list_transform(feat, lambda x: (3 * x / sqrt(list_dot_product(feat, feat)) / 3) ** 2)), 6) AS sq, round(feat[1] / sqrt(list_dot_product(feat, feat)), 6) AS first FROM samples")
+@query("f8_l2_normalise", f"WITH {SAMPLES}, n AS (SELECT vec_id, feat, sqrt(list_dot_product(feat, feat)) AS n FROM samples) SELECT vec_id, CAST(i - 1 AS INT) AS dim, round(feat[i] / n, 6) + 0 AS x FROM n, range(1, 65) t(i)")
 def f8(spark, d):
     u = v.unit(F.transform("feat", lambda x: x * 3))
-    return samples(spark, d).select("vec_id", u.alias("u")).select("vec_id", F.round(v.dot(F.col("u"), F.col("u")), 6).alias("sq"), F.round(F.col("u")[0], 6).alias("first"))
+    return samples(spark, d).select("vec_id", F.posexplode(u).alias("dim", "x")).select("vec_id", "dim", (F.round("x", 6) + 0).alias("x"))
 
 
 _CROSS = "samples q JOIN samples t ON q.frame_id = t.frame_id AND q.vec_id < t.vec_id"
@@ -149,21 +150,19 @@ def f20(spark, d):
 
 @query("f21_ema", f"WITH {PRESENCE}, l AS (SELECT person, list(value ORDER BY t_us, event_id) AS vs FROM presence GROUP BY person) SELECT person, round(list_reduce(vs, lambda s, x: 0.9 * s + 0.1 * x), 6) AS ema FROM l")
 def f21(spark, d):
-    rows = presence(spark, d).groupBy("person").agg(F.array_sort(F.collect_list(F.struct("t_us", "event_id", "value"))).alias("r"))
-    return rows.select("person", F.round(v.smoothed(F.transform("r", lambda x: x["value"])), 6).alias("ema"))
+    return ema_per(presence(spark, d), ["person"], ["t_us", "event_id"], "value", "ema").withColumn("ema", F.round("ema", 6))
 
 
-@query("f22_ema_vector", f"""WITH {SAMPLES}, c AS (SELECT person, i, list(feat[i] ORDER BY vec_id) AS vs FROM samples, range(1, 5) t(i) GROUP BY person, i)
- SELECT person, CAST(i - 1 AS INT) AS dim, round(list_reduce(vs, lambda s, x: 0.9 * s + 0.1 * x), 6) AS ema FROM c""")
+@query("f22_ema_vector", f"""WITH {SAMPLES}, c AS (SELECT person, i, list(feat[i] ORDER BY vec_id) AS vs FROM samples, range(1, 65) t(i) GROUP BY person, i)
+ SELECT person, CAST(i - 1 AS INT) AS dim, round(list_reduce(vs, lambda s, x: 0.9 * s + 0.1 * x), 6) + 0 AS ema FROM c""")
 def f22(spark, d):
-    long = samples(spark, d).select("person", "vec_id", F.posexplode(F.slice("feat", 1, 4)).alias("dim", "x"))
-    rows = long.groupBy("person", "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("r"))
-    return rows.select("person", "dim", F.round(v.smoothed(F.transform("r", lambda e: e["x"])), 6).alias("ema"))
+    long = samples(spark, d).select("person", "vec_id", F.posexplode("feat").alias("dim", "x"))
+    return ema_per(long, ["person", "dim"], ["vec_id"], "x", "ema").withColumn("ema", F.round("ema", 6) + 0)
 
 
-@query("f23_rounding", f"WITH {SAMPLES} SELECT vec_id, round(feat[1], 4) + 0 AS dp4, round(feat[1], 3) + 0 AS dp3 FROM samples")
+@query("f23_rounding", f"WITH {SAMPLES} SELECT vec_id, CAST(i - 1 AS INT) AS dim, round(feat[i], 4) + 0 AS dp4, round(feat[i], 3) + 0 AS dp3 FROM samples, range(1, 65) t(i)")
 def f23(spark, d):
-    return samples(spark, d).select("vec_id", (F.round(F.col("feat")[0], 4) + 0).alias("dp4"), (F.round(F.col("feat")[0], 3) + 0).alias("dp3"))
+    return samples(spark, d).select("vec_id", F.posexplode("feat").alias("dim", "x")).select("vec_id", "dim", (F.round("x", 4) + 0).alias("dp4"), (F.round("x", 3) + 0).alias("dp3"))
 
 
 @query("f24_stem_keys", r"""SELECT DISTINCT image_id, src || ':' || regexp_replace(s, '\.rf\.[0-9a-f]+$', '') AS build_key, nullif(regexp_extract(lower(regexp_replace(s, '_jpg\.rf\.[0-9a-f]+$', '')), '^(frame-[0-9]+)', 1), '') AS clip_key

@@ -72,15 +72,15 @@ POSED = PEOPLE + ", posed AS (SELECT *, " + ", ".join(
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Appearance samples from embeddings."""
+    """Appearance samples from embeddings; the queries are the ids divisible by 100."""
     v = F.col("vec_id")
     return table(spark, d, "embeddings").select(
         v.alias("vec_id"), F.col("label").cast("long").alias("person"), F.when(v % 41 == 0, F.lit(-1)).otherwise(F.col("label")).cast("long").alias("pid"),
-        (v % 3).alias("cam"), F.expr("vec_id div 10").alias("frame_id"), (v % 5 == 0).alias("is_query"), F.col("embedding").cast("array<double>").alias("feat"))
+        (v % 3).alias("cam"), F.expr("vec_id div 10").alias("frame_id"), (v % 100 == 0).alias("is_query"), F.col("embedding").cast("array<double>").alias("feat"))
 
 
 SAMPLES = """samples AS (SELECT vec_id, CAST(label AS BIGINT) AS person, CAST(CASE WHEN vec_id % 41 = 0 THEN -1 ELSE label END AS BIGINT) AS pid, vec_id % 3 AS cam, vec_id // 10 AS frame_id,
- vec_id % 5 = 0 AS is_query, CAST(embedding AS DOUBLE[]) AS feat FROM embeddings)"""
+ vec_id % 100 = 0 AS is_query, CAST(embedding AS DOUBLE[]) AS feat FROM embeddings)"""
 
 
 def presence(spark: SparkSession, d: str) -> DataFrame:
