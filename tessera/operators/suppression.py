@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.folds import ordered_fold, schema_of, whole_groups
+from tessera.sources.workspace import Workspace
 
 
 def overlap_grid(a: np.ndarray, b: np.ndarray, clamp: bool = False) -> np.ndarray:
@@ -52,28 +53,26 @@ def suppress_duplicates(df: DataFrame, keys: list[str], row_id: str, above: floa
     return whole_groups(df, keys, fold, schema_of(df))
 
 
-def farthest_points(feats: np.ndarray, k: int) -> list[int]:
-    """Indices of the first row and then, again and again, of the row least like all chosen."""
-    if not len(feats):
-        return []
-    chosen, near = [0], feats @ feats[0]
-    while len(chosen) < min(k, len(feats)):
-        near[chosen] = np.inf
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, feats @ feats[chosen[-1]])
-    return chosen
-
-
 def spread_samples(df: DataFrame, key: str, order: str, k: int = 16) -> DataFrame:
-    """key, order, rank of each key's ``k`` most diverse vectors, chosen greedily from the first."""
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+    """key, order, rank of each key's ``k`` most diverse vectors, chosen greedily from the first.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        at = farthest_points(np.stack(pdf["feat"].to_numpy()), k)
-        return pd.DataFrame({key: pdf[key].iloc[0], order: pdf[order].to_numpy()[at], "rank": range(len(at))})
-
-    return df.select(key, order, "feat").groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, {order} {kinds[order]}, rank int")
+    Each round broadcasts or joins the one vector chosen last per key, brings every row's largest likeness to the chosen
+    up to date and takes the row with the smallest, the earliest on ties: ``k`` grouped minima with map-side combine, so
+    no key is ever held in one task. The likeness so far is written after each round.
+    """
+    ws = Workspace(df.sparkSession)
+    rows = ws.table(df.select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col("feat").cast("array<double>").alias("_f"), F.lit(-2.0).alias("_near")))
+    last = ws.table(rows.groupBy("_k").agg(F.min(F.struct("_o", "_f")).alias("b")).select("_k", F.col("b._o").alias("_c"), F.col("b._f").alias("_v")))
+    out = last.select("_k", F.col("_c").alias("_o"), F.lit(0).alias("rank"))
+    for r in range(1, k):
+        like = F.aggregate(F.zip_with("_f", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        nxt = rows.join(last, "_k").where("_o <> _c").select("_k", "_o", "_f", F.greatest("_near", like).alias("_near"))
+        nxt = ws.table(nxt)
+        ws.drop(rows)
+        rows = nxt
+        last = ws.table(rows.groupBy("_k").agg(F.min(F.struct("_near", "_o", "_f")).alias("b")).select("_k", F.col("b._o").alias("_c"), F.col("b._f").alias("_v")))
+        out = out.unionByName(last.select("_k", F.col("_c").alias("_o"), F.lit(r).alias("rank")))
+    return out.select(F.col("_k").alias(key), F.col("_o").alias(order), "rank")
 
 
 def chain_tracks(df: DataFrame, key: str, frame: str, row_id: str, stride: int = 1, least_iou: float = 0.5, least: int = 3) -> DataFrame:
@@ -106,18 +105,27 @@ def chain_tracks(df: DataFrame, key: str, frame: str, row_id: str, stride: int =
 
 
 def diverse_reservoir(df: DataFrame, key: str, order: str, room: int = 16) -> DataFrame:
-    """key, order of the samples that stay if each row in turn is offered to its key's store of ``room`` samples."""
-    from tessera.operators.identity import keep_diverse
+    """key, order of the samples that stay if each row in turn is offered to its key's store of ``room`` samples.
+
+    An ordered fold: a key of any size needs a batch and its store. Every change of a store is written as (place, order,
+    turn), and the last change of each place is what stays.
+    """
+    from tessera.operators.identity import Reservoir
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[np.ndarray] = []
-        ids: dict[int, int] = {}
+    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+        took = []
         for at, f in zip(pdf[order], pdf["feat"]):
-            v = np.asarray(f, float)
-            ids[id(v)] = at
-            keep_diverse(kept, v, room)
-        return pd.DataFrame({key: pdf[key].iloc[0], order: [ids[id(v)] for v in kept]})
+            place = state["store"].offer(np.asarray(f, float))
+            state["turn"] += 1
+            if place is not None:
+                took.append((at, place, state["turn"]))
+        out = pd.DataFrame(took, columns=[order, "place", "turn"])
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    changes = ordered_fold(df.select(key, order, "feat"), [key], [order], lambda: {"store": Reservoir(room), "turn": 0}, step, f"{key} {kinds[key]}, {order} {kinds[order]}, place int, turn long")
+    return changes.groupBy(key, "place").agg(F.max_by(order, "turn").alias(order)).select(key, order)
+
 
-    return df.select(key, order, "feat").groupBy(key).applyInPandas(lambda pdf: fold(pdf.sort_values(order)), f"{key} {kinds[key]}, {order} {kinds[order]}")

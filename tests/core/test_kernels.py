@@ -109,12 +109,6 @@ def test_recordings_are_the_naive_fold(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_farthest_points():
-    f = np.array([[1, 0], [0.9, 0.1], [0, 1], [0.7, 0.7]])
-    assert suppression.farthest_points(f, 3) == [0, 2, 3] or suppression.farthest_points(f, 3)[:2] == [0, 2]
-    assert suppression.farthest_points(np.zeros((0, 2)), 3) == []
-
-
 def test_folds_see_whole_keys_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
