@@ -134,7 +134,7 @@ def choose_holdout(groups: DataFrame, share: float, classes: list[str], seed: in
                 out.append("val" if take else "train")
             yield b[["group_id"]].assign(split=out)
 
-    order = groups.select("group_id", *classes).withColumn("h", F.xxhash64("group_id", F.lit(seed))).repartition(1).sortWithinPartitions("h", "group_id").drop("h")
+    order = groups.select("group_id", *classes).withColumn("h", shuffled(F.col("group_id"), seed)).repartition(1).sortWithinPartitions("h", "group_id").drop("h")
     return order.mapInPandas(fold, "group_id long, split string")
 
 
@@ -163,9 +163,14 @@ def split_manifest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("split", "source").agg(F.count("*").alias("n"), F.countDistinct("group_id").alias("n_groups"))
 
 
+def shuffled(key: Column, seed: int) -> Column:
+    """What rows are ordered by to be in random order: an MD5 sum, so that other engines have the same order."""
+    return F.md5(F.concat_ws("/", key.cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def keep_random(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows without replacement, the same whatever the order of the rows."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(shuffled(F.col(key), seed), key).limit(n)
 
 
 def last_per(df: DataFrame, keys: list[str], order: str) -> DataFrame:

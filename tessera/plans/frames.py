@@ -70,7 +70,10 @@ def j6(spark, d):
     return assignment.assign_overlaps(j, ["frame_id"], "truth", "pred").withColumn("iou", F.round("iou", 6))
 
 
-@query("j7_chain_tracks")
+@query("j7_chain_tracks", f"""WITH {WALK}, b AS (SELECT person, frame_id, CAST(frame_id * 3 % 40 AS DOUBLE) AS x FROM walk),
+ l AS (SELECT *, CASE WHEN lag(frame_id) OVER w = frame_id - 1 AND (30 - abs(x - lag(x) OVER w)) / (30 + abs(x - lag(x) OVER w)) >= 0.5 THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY person ORDER BY frame_id)),
+ t AS (SELECT person, frame_id, CAST(sum(new) OVER (PARTITION BY person ORDER BY frame_id) AS BIGINT) AS track FROM l)
+ SELECT person, frame_id, CAST(0 AS BIGINT) AS det_id, track FROM t QUALIFY count(*) OVER (PARTITION BY person, track) >= 3""")
 def j7(spark, d):
     w = walk(spark, d).select("person", "frame_id", F.lit(0).cast("long").alias("det_id"), (F.col("frame_id") * 3 % 40).cast("double").alias("x1"), F.lit(0.0).alias("y1"))
     w = w.withColumn("x2", F.col("x1") + 30).withColumn("y2", F.lit(60.0))
@@ -299,7 +302,9 @@ def w8(spark, d):
     return ordered.one_behind(walk(spark, d), ["person"], "frame_id", "value", "before").select("person", "frame_id", "before")
 
 
-@query("w9_farthest_points")
+@query("w9_farthest_points", f"""WITH RECURSIVE {SAMPLES}, f(person, rank, vec_id, ids, feats) AS (SELECT person, 0, vec_id, [vec_id], [feat] FROM samples QUALIFY row_number() OVER (PARTITION BY person ORDER BY vec_id) = 1
+ UNION ALL SELECT f.person, f.rank + 1, n.vec_id, list_append(f.ids, n.vec_id), list_append(f.feats, n.feat) FROM f, LATERAL (SELECT s.vec_id, s.feat FROM samples s WHERE s.person = f.person AND NOT list_contains(f.ids, s.vec_id)
+  ORDER BY list_max(list_transform(f.feats, lambda c: list_dot_product(c, s.feat))), s.vec_id LIMIT 1) n WHERE f.rank < 15) SELECT person, vec_id, rank FROM f""")
 def w9(spark, d):
     return suppression.spread_samples(samples(spark, d), "person", "vec_id", 16)
 
@@ -318,7 +323,15 @@ def w11(spark, d):
     return ordered.escalations(presence(spark, d), ["person"], ["t_us", "event_id"], "level").select("person", "event_id", "level")
 
 
-@query("o20_suppress_duplicates")
+_BOXES = "({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1)"
+_HIT = "greatest(least(o.x2, c.x2) - greatest(o.x1, c.x1), 0) * greatest(least(o.y2, c.y2) - greatest(o.y1, c.y1), 0)"
+
+
+@query("o20_suppress_duplicates", f"""WITH RECURSIVE {PEOPLE}, c AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY matched DESC, conf DESC, det_id) AS r FROM people),
+ f(frame_id, r, kept) AS (SELECT frame_id, CAST(1 AS BIGINT), [struct_pack(det_id := det_id, x1 := x1, y1 := y1, x2 := x2, y2 := y2)] FROM c WHERE r = 1
+ UNION ALL SELECT f.frame_id, c.r, CASE WHEN len(list_filter(f.kept, lambda o: {_HIT} > 0.8 * ({_BOXES.format('o')} + {_BOXES.format('c')} - {_HIT}))) > 0 THEN f.kept
+  ELSE list_append(f.kept, struct_pack(det_id := c.det_id, x1 := c.x1, y1 := c.y1, x2 := c.x2, y2 := c.y2)) END FROM f JOIN c ON c.frame_id = f.frame_id AND c.r = f.r + 1)
+ SELECT frame_id, unnest(kept).det_id AS det_id FROM (SELECT frame_id, kept FROM f QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY r DESC) = 1)""")
 def o20(spark, d):
     df = people(spark, d).select("frame_id", "det_id", "conf", "matched", "x1", "y1", "x2", "y2")
     return suppression.suppress_duplicates(df, ["frame_id"], "det_id").select("frame_id", "det_id")
@@ -386,7 +399,12 @@ def a24(spark, d):
     return metrics.rollup_alert(h.withColumn("level", alerting.item_level(F.col("label"), F.col("method"), F.col("raised"))), ["frame_id"])
 
 
-@query("o38_hysteresis")
+@query("o38_hysteresis", f"""WITH RECURSIVE {_ISLAND}, s AS (SELECT person, island, frame_id, row_number() OVER (PARTITION BY person, island ORDER BY frame_id) AS n, CASE WHEN value % 90 > 60 THEN CAST(value % 4 AS INT) END AS d FROM isl),
+ f(person, island, n, frame_id, level, streak) AS (SELECT person, island, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, 45 FROM s WHERE n = 1
+ UNION ALL SELECT person, island, n, frame_id, CASE WHEN want > level THEN want WHEN want < level AND calm >= 45 THEN level - 1 ELSE level END, CASE WHEN want < level AND calm >= 45 THEN 0 ELSE calm END
+ FROM (SELECT s.person, s.island, s.n, s.frame_id, f.level, CASE WHEN d IS NULL THEN f.streak + 1 ELSE 0 END AS calm, CASE WHEN d IS NOT NULL THEN d WHEN f.streak + 1 >= 45 THEN 0 ELSE f.level END AS want
+  FROM f JOIN s ON s.person = f.person AND s.island = f.island AND s.n = f.n + 1))
+ SELECT CAST(0 AS BIGINT) AS stream_id, person, frame_id, level FROM f WHERE n > 0""")
 def o38(spark, d):
     w = walk(spark, d).select(F.lit(0).cast("long").alias("stream_id"), "person", "frame_id", F.when(F.col("value") % 90 > 60, F.col("value") % 4).cast("int").alias("desired"))
     return alerting.levels(w)
@@ -404,7 +422,11 @@ def o39(spark, d):
     return alerting.deduplicated(p, ["person", "level"], "t_us", 24 * _HOUR, "event_id").select("person", "level", "event_id")
 
 
-@query("o40_recordings")
+@query("o40_recordings", f"""WITH RECURSIVE {WALK}, s AS (SELECT person, frame_id, row_number() OVER w AS n, lead(frame_id) OVER w IS NULL AS final, CASE WHEN frame_id % 20 < 3 THEN coalesce(value, 0) % 3 ELSE 0 END >= 2 AS hot FROM walk WINDOW w AS (PARTITION BY person ORDER BY frame_id)),
+ f(person, n, frame_id, final, start, calm, done) AS (SELECT person, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM s WHERE n = 1
+ UNION ALL SELECT person, n, frame_id, final, CASE WHEN hot THEN coalesce(old, frame_id) WHEN frame_id - since >= 5 THEN NULL ELSE old END, CASE WHEN hot OR frame_id - since >= 5 THEN NULL ELSE since END, CASE WHEN NOT hot AND frame_id - since >= 5 THEN old END
+ FROM (SELECT s.*, f.start AS old, CASE WHEN f.start IS NOT NULL THEN coalesce(f.calm, s.frame_id) END AS since FROM f JOIN s ON s.person = f.person AND s.n = f.n + 1))
+ SELECT person, done AS start, frame_id AS stop FROM f WHERE done IS NOT NULL UNION ALL SELECT person, start, frame_id FROM f WHERE final AND start IS NOT NULL""")
 def o40(spark, d):
     w = walk(spark, d).select("person", "frame_id", (F.coalesce("value", F.lit(0)) % 3).cast("int").alias("level"))
     return ordered.recordings(w.withColumn("level", F.when(F.col("frame_id") % 20 < 3, F.col("level")).otherwise(0)), "person", "frame_id", "level", 5)
@@ -418,7 +440,13 @@ def o41(spark, d):
     return alerting.deduplicated(p, ["stream_id"], "t_us", 12 * _HOUR, "event_id").select("stream_id", "event_id")
 
 
-@query("o23_diversity_reservoir")
+@query("o23_diversity_reservoir", f"""WITH RECURSIVE {SAMPLES}, s AS (SELECT person, vec_id, feat, row_number() OVER (PARTITION BY person ORDER BY vec_id) AS n FROM samples),
+ f(person, n, kept) AS (SELECT person, n, [struct_pack(id := vec_id, v := feat)] FROM s WHERE n = 1
+ UNION ALL SELECT person, n, CASE WHEN len(kept) < 16 THEN list_append(kept, struct_pack(id := vec_id, v := feat)) WHEN newest >= list_max(crowd) THEN kept
+  ELSE list_concat(list_concat(kept[1 : list_position(crowd, list_max(crowd)) - 1], [struct_pack(id := vec_id, v := feat)]), kept[list_position(crowd, list_max(crowd)) + 1 :]) END
+ FROM (SELECT s.person, s.n, s.vec_id, s.feat, f.kept, list_max(list_transform(f.kept, lambda a: list_dot_product(a.v, s.feat))) AS newest,
+  list_transform(f.kept, lambda a: coalesce(list_max(list_transform(list_filter(f.kept, lambda b: b.id <> a.id), lambda b: list_dot_product(a.v, b.v))), -1.0)) AS crowd FROM f JOIN s ON s.person = f.person AND s.n = f.n + 1))
+ SELECT person, unnest(kept).id AS vec_id FROM (SELECT person, kept FROM f QUALIFY row_number() OVER (PARTITION BY person ORDER BY n DESC) = 1)""")
 def o23(spark, d):
     return suppression.diverse_reservoir(samples(spark, d), "person", "vec_id", 16)
 

@@ -268,7 +268,7 @@ def c7(spark, d):
     return samples(spark, d).select("vec_id", path.alias("path"), pid.alias("pid"), cam.alias("cam"))
 
 
-@query("c8_random_subsample")
+@query("c8_random_subsample", "SELECT image_id FROM (SELECT DISTINCT image_id FROM build_dataset) ORDER BY md5(image_id || '/0'), image_id LIMIT 100")
 def c8(spark, d):
     return curation.keep_random(pool(spark, d).select("image_id"), "image_id", 100)
 
@@ -357,7 +357,16 @@ def d4(spark, d):
 _CLS = ["class_0", "class_1", "class_2", "background"]
 
 
-@query("d5_stratified_holdout")
+_COUNTS = """gc AS (SELECT group_id, count(*) FILTER (c = 0) AS c0, count(*) FILTER (c = 1) AS c1, count(*) FILTER (c = 2) AS c2, count(DISTINCT image_id) FILTER (bg) AS c3
+ FROM (SELECT group_id, image_id, bg, unnest(CASE WHEN len(labels) > 0 THEN labels ELSE [NULL] END).cls AS c FROM gr JOIN pool USING (image_id)) GROUP BY group_id),
+ tg AS (SELECT round_even(sum(c0) * 0.15, 0) AS t0, round_even(sum(c1) * 0.15, 0) AS t1, round_even(sum(c2) * 0.15, 0) AS t2, round_even(sum(c3) * 0.15, 0) AS t3 FROM gc),
+ od AS (SELECT *, row_number() OVER (ORDER BY md5(group_id || '/0'), group_id) AS n FROM gc)"""
+
+
+@query("d5_stratified_holdout", f"""WITH RECURSIVE {_GROUPS}, {_COUNTS}, f(n, group_id, take, h0, h1, h2, h3) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT)
+ UNION ALL SELECT n, group_id, take, h0 + CASE WHEN take THEN c0 ELSE 0 END, h1 + CASE WHEN take THEN c1 ELSE 0 END, h2 + CASE WHEN take THEN c2 ELSE 0 END, h3 + CASE WHEN take THEN c3 ELSE 0 END FROM (
+  SELECT od.*, h0, h1, h2, h3, NOT (h0 >= t0 AND h1 >= t1 AND h2 >= t2 AND h3 >= t3) AND NOT ((h0 >= t0 AND c0 > 0) OR (h1 >= t1 AND c1 > 0) OR (h2 >= t2 AND c2 > 0) OR (h3 >= t3 AND c3 > 0)) AS take FROM f JOIN od ON od.n = f.n + 1, tg))
+ SELECT group_id, CASE WHEN take THEN 'val' ELSE 'train' END AS split FROM f WHERE n > 0""")
 def d5(spark, d):
     return curation.choose_holdout(curation.group_counts(_group_rows(spark, d)), 0.15, _CLS)
 
