@@ -62,7 +62,7 @@ def j4(spark, d):
     return assignment.assign_poses(j.select("frame_id", "pose", "track", "dist", inside.alias("inside")), ["frame_id"], "pose", "track")
 
 
-@query("j6_truth_assignment")
+@query("j6_truth_assignment", f"WITH {PEOPLE} SELECT frame_id, det_id AS truth, det_id AS pred, 1.0 AS iou FROM people")
 def j6(spark, d):
     a = people(spark, d).select("frame_id", F.col("det_id").alias("truth"), *[F.col(c).alias(f"a_{c}") for c in matching.BOX])
     b = people(spark, d).select("frame_id", F.col("det_id").alias("pred"), *[F.col(c).alias(f"b_{c}") for c in matching.BOX])
