@@ -128,34 +128,48 @@ def plausible(gap_s: Column, dist: Column, jump: float = 200.0, speed: float = 8
     return F.coalesce((F.greatest(gap_s, F.lit(0.0)) > check_gap_s) | (dist <= F.lit(jump) + F.lit(speed) * F.greatest(gap_s, F.lit(0.0))), F.lit(True))
 
 
-def pair_scores(queries: DataFrame, gallery: DataFrame, block: int = 1024, places: int = 6) -> DataFrame:
-    """q_id, q_pid, q_cam, g_id, g_pid, g_cam, sim of a stated set of queries against all rows of the gallery.
-
-    Queries (q_id, q_pid, q_cam, feat) go to the tasks in blocks of ``block``, each block a matrix product with the
-    gallery's batches (g_id, g_pid, g_cam, feat), which neither move nor come to the driver.
+def _in_blocks(df: DataFrame, key: str, columns: list[str], block: int, name: str) -> tuple[DataFrame, int]:
+    """``df`` in rows of about ``block`` rows each, as parallel arrays, vectors one after the other."""
+    rows = df.where(F.col("feat").isNotNull() & F.col(key).isNotNull())
+    n = max(1, -(-rows.count() // block))
+    got = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name))
+    return got.agg(*[F.collect_list(F.coalesce(c, F.lit(-1).cast("long"))).alias(c) for c in columns], F.flatten(F.collect_list(F.col("feat").cast("array<double>"))).alias(f"{name}_feat")), n
+
+
+def pair_scores(queries: DataFrame, gallery: DataFrame, block: int = 1024, places: int = 6, best: bool = False) -> DataFrame:
+    """q_id, q_pid, q_cam, g_id, g_pid, g_cam, sim of a stated set of queries against all rows of the gallery; with
+    ``best`` only the most alike row of each query and g_pid (q_id, q_pid, g_pid, sim), reduced within each block.
+
+    Queries (q_id, q_pid, q_cam, feat) and gallery rows (g_id, g_pid, g_cam, feat) are put into blocks of about
+    ``block`` rows by a hash of their id, and every query block meets every gallery block by its number: a row of the
+    join holds two bounded blocks and is one matrix product. Rows without id or vector are left out; a null person or
+    camera is -1. Only the two numbers of rows come to the driver.
     """
     import numpy as np
-    import pandas as pd
-
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    schema = "q_id long, q_pid long, q_cam long, g_id long, g_pid long, g_cam long, sim double"
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == b).toPandas()
-        ids, feats = mine[["q_id", "q_pid", "q_cam"]], np.stack(mine["feat"].to_numpy()).astype(float) if len(mine) else np.zeros((0, 1))
-
-        def run(batches, ids=ids, feats=feats):
-            for g in batches:
-                if not len(g) or not len(ids):
-                    continue
-                sims = feats @ np.stack(g["feat"].to_numpy()).astype(float).T
-                q, r = np.divmod(np.arange(sims.size), len(g))
-                yield pd.concat([ids.iloc[q].reset_index(drop=True), g[["g_id", "g_pid", "g_cam"]].iloc[r].reset_index(drop=True)], axis=1).assign(sim=np.round(sims.reshape(-1), places))
-
-        got = gallery.select("g_id", "g_pid", "g_cam", "feat").mapInPandas(run, schema)
-        out = got if out is None else out.unionByName(got)
-    return out
+    import pyarrow as pa
+
+    q, _ = _in_blocks(queries, "q_id", ["q_id", "q_pid", "q_cam"], block, "q")
+    g, n = _in_blocks(gallery, "g_id", ["g_id", "g_pid", "g_cam"], block, "g")
+    met = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(g, "g").select("q_id", "q_pid", "q_cam", "q_feat", "g_id", "g_pid", "g_cam", "g_feat")
+    names = ["q_id", "q_pid", "g_pid", "sim"] if best else ["q_id", "q_pid", "q_cam", "g_id", "g_pid", "g_cam", "sim"]
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                x = {name: b.column(c)[k].values.to_numpy() for c, name in enumerate(b.schema.names)}
+                a, z = len(x["q_id"]), len(x["g_id"])
+                sims = np.round(x["q_feat"].reshape(a, -1) @ x["g_feat"].reshape(z, -1).T, places)
+                if best:
+                    who, inverse = np.unique(x["g_pid"], return_inverse=True)
+                    order = np.argsort(inverse, kind="stable")
+                    top = np.maximum.reduceat(sims[:, order], np.flatnonzero(np.diff(inverse[order], prepend=-1)), axis=1)
+                    out = [np.repeat(x["q_id"], len(who)), np.repeat(x["q_pid"], len(who)), np.tile(who, a), top.reshape(-1)]
+                else:
+                    out = [np.repeat(x[c], z) for c in ("q_id", "q_pid", "q_cam")] + [np.tile(x[c], a) for c in ("g_id", "g_pid", "g_cam")] + [sims.reshape(-1)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+
+    got = met.mapInArrow(run, ", ".join(f"{c} {'double' if c == 'sim' else 'long'}" for c in names))
+    return got.groupBy("q_id", "q_pid", "g_pid").agg(F.max("sim").alias("sim")) if best else got
 
 
 def evicted(df: DataFrame, ident: str, last_seen: str, active: str, capacity: int, cells: int = 1 << 10) -> DataFrame:

@@ -94,3 +94,26 @@ def ema_per(df: DataFrame, keys: list[str], order: list[str], value: str, out: s
     last = F.max("_k").over(Window.partitionBy(*keys))
     weight = F.pow(F.lit(keep), F.col("_k") - 1) * F.when(F.col("_k") == F.col("_n"), 1.0).otherwise(1 - keep)
     return rows.withColumn("_n", last).groupBy(*keys).agg(F.sum(weight * F.col("_v")).alias(out))
+
+
+def pose_cache(tracks: DataFrame, poses: DataFrame, stream: str, frame: str, track: str, pose: str, every: int = 4) -> DataFrame:
+    """stream, frame, track, pose, stale: the pose that each track shows, which may be that of an earlier frame.
+
+    ``tracks``: a row per frame and track; a frame without tracks has one row with a null track. ``poses``: stream,
+    frame, track, pose, what would be found for each frame. Poses are looked for in the first of ``every`` frames of a
+    stream, and wherever the cache is empty: at the start, after a frame without tracks, or after a search that found
+    none; else the last found are shown again and are stale. A track that had none has a null pose.
+
+    Whether the cache is empty is the last certain word before a frame (cleared, filled, or searched in vain in its
+    turn), so windows over the frames of a stream decide, without a fold.
+    """
+    found = poses.groupBy(stream, frame).agg(F.count("*").alias("_p"))
+    w = Window.partitionBy(stream).orderBy(frame)
+    fr = tracks.groupBy(stream, frame).agg((F.count(track) > 0).alias("_t")).withColumn("_n", F.row_number().over(w)).join(found, [stream, frame], "left")
+    word = F.when(~F.col("_t"), True).when(F.col("_p") > 0, False).when(F.col("_n") % every == 1, True)
+    bare = F.coalesce(F.last(word, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    fr = fr.withColumn("_bare", bare).withColumn("_src", F.when(F.col("_t") & ((F.col("_n") % every == 1) | F.col("_bare")), F.col(frame)))
+    fr = fr.withColumn("_src", F.max("_src").over(w)).where("_t").select(stream, frame, "_src")
+    shown = tracks.where(F.col(track).isNotNull()).join(fr, [stream, frame])
+    src = poses.select(F.col(stream), F.col(frame).alias("_src"), F.col(track), F.col(pose))
+    return shown.join(src, [stream, "_src", track], "left").select(stream, frame, track, pose, (F.col(pose).isNotNull() & (F.col("_src") < F.col(frame))).alias("stale"))

@@ -9,8 +9,8 @@ from tessera.functions import vectors as v
 from tessera.functions.geometry import Box
 from tessera.operators import alerting, assignment, curation, gates, identity, matching, metrics, ordered, suppression
 from tessera.plans.registry import query
-from tessera.plans.scalar import _AREA, _CW, _IOU, _IOU_C, _W
-from tessera.plans.views import CANDIDATES, PEOPLE, POOL, POSED, PRESENCE, SAMPLES, WALK, candidates, people, pool, posed, presence, samples, table, walk
+from tessera.plans.scalar import _AREA, _CW, _IOU, _IOU_C, _TP, _W
+from tessera.plans.views import CANDIDATES, LEAST_COST, PEOPLE, POOL, POSED, PRESENCE, SAMPLES, WALK, candidates, people, pool, posed, presence, samples, table, walk
 
 _HOUR = 3_600_000_000
 
@@ -50,12 +50,23 @@ def j3(spark, d):
     return matching.attached(candidates(spark, d), people(spark, d)).select("frame_id", "cand_id")
 
 
-@query("j4_pose_assignment")
+_CXY = "sqrt(power(q.cx - (p.x1 + p.x2) / 2, 2) + power(q.cy - (p.y1 + p.y2) / 2, 2))"
+_INSIDE = "q.cx BETWEEN p.x1 AND p.x2 AND q.cy BETWEEN p.y1 AND p.y2"
+_POSES = f"""{POSED}, q AS (SELECT frame_id, det_id, {_TP.format('px')} AS cx, {_TP.format('py')} AS cy FROM posed), qs AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) AS i FROM q WHERE cx IS NOT NULL),
+ mc AS (SELECT q.frame_id, q.i, q.det_id AS pose, CAST(p.det_id AS INT) AS j, CASE WHEN {_INSIDE} THEN {_CXY} WHEN {_CXY} <= 120 THEN {_CXY} + 120 ELSE 1e6 END AS cost FROM qs q JOIN (SELECT frame_id, det_id, x1 + 3.3::DOUBLE AS x1, y1 + 2.7::DOUBLE AS y1, x2 + 3.3::DOUBLE AS x2, y2 + 2.7::DOUBLE AS y2 FROM people) p USING (frame_id)),
+ {LEAST_COST}, pa AS (SELECT mc.frame_id, mc.pose, CAST(mc.j AS BIGINT) AS track, mc.cost FROM solved s JOIN mc ON mc.frame_id = s.frame_id AND mc.i = s.i AND mc.j = s.j WHERE mc.cost < 1e6)"""
+
+
+@query("j4_pose_assignment", f"WITH {_POSES} SELECT frame_id, pose, track, round(cost, 6) AS cost FROM pa")
 def j4(spark, d):
-    """The pairing is not unique under ties, so its cost is compared with brute force in the tests."""
+    return _pose_assignment(spark, d).withColumn("cost", F.round("cost", 6))
+
+
+def _pose_assignment(spark, d):
+    """Tracks stand a little beside the boxes, so that no two pairings cost the same."""
     c = g.torso_centre(F.col("kp"))
     poses = posed(spark, d).select("frame_id", F.col("det_id").alias("pose"), c.alias("c")).where("c is not null")
-    tracks = people(spark, d).select("frame_id", F.col("det_id").alias("track"), "x1", "y1", "x2", "y2")
+    tracks = people(spark, d).select("frame_id", F.col("det_id").alias("track"), *[(F.col(c) + (3.3 if c[0] == "x" else 2.7)).alias(c) for c in matching.BOX])
     cx, cy = g.centre(Box.of())
     j = poses.join(tracks, "frame_id").withColumn("dist", g.distance(F.col("c.x"), F.col("c.y"), cx, cy))
     inside = F.col("c.x").between(F.col("x1"), F.col("x2")) & F.col("c.y").between(F.col("y1"), F.col("y2"))
@@ -208,7 +219,7 @@ def _person_scores(spark, d):
     long = stored.select("person", F.posexplode("feat").alias("i", "x")).groupBy("person", "i").agg(F.avg("x").alias("m"))
     cen = long.groupBy("person").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("c")).select(F.col("person").alias("g_id"), F.col("person").alias("g_pid"), F.lit(0).cast("long").alias("g_cam"), v.unit(F.col("c")).alias("feat"))
     q = s.where("is_query").select(F.col("vec_id").alias("q_id"), F.col("pid").alias("q_pid"), F.col("cam").alias("q_cam"), "feat")
-    best = matching.pair_scores(q, stored.select(F.col("vec_id").alias("g_id"), F.col("person").alias("g_pid"), F.col("cam").alias("g_cam"), "feat")).groupBy("q_id", "g_pid").agg(F.max("sim").alias("best"))
+    best = matching.pair_scores(q, stored.select(F.col("vec_id").alias("g_id"), F.col("person").alias("g_pid"), F.col("cam").alias("g_cam"), "feat"), best=True).select("q_id", "g_pid", F.col("sim").alias("best"))
     return matching.pair_scores(q, cen).select("q_id", "q_pid", "g_pid", F.col("sim").alias("cen")).join(best, ["q_id", "g_pid"])
 
 
@@ -297,6 +308,18 @@ def w7(spark, d):
     return ordered.held(frames, cycle, "frame_id", 3, []).select("frame_id", "held")
 
 
+@query("o22_pose_cache", f"""WITH {_POSES}, fr AS (SELECT stream_id, frame_id, n, frame_id % 13 <> 0 AS t, p FROM (SELECT stream_id, frame_id, row_number() OVER (PARTITION BY stream_id ORDER BY frame_id) AS n FROM (SELECT DISTINCT stream_id, frame_id FROM people))
+  LEFT JOIN (SELECT frame_id, count(*) AS p FROM pa GROUP BY frame_id) USING (frame_id)),
+ em AS (SELECT *, coalesce(last_value(CASE WHEN NOT t THEN true WHEN p > 0 THEN false WHEN n % 4 = 1 THEN true END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS bare FROM fr),
+ sr AS (SELECT *, max(CASE WHEN t AND (n % 4 = 1 OR bare) THEN frame_id END) OVER (PARTITION BY stream_id ORDER BY frame_id) AS src FROM em)
+ SELECT s.stream_id, s.frame_id, q.det_id AS track, pa.pose, coalesce(pa.pose IS NOT NULL AND src < s.frame_id, false) AS stale FROM sr s JOIN people q USING (frame_id) LEFT JOIN pa ON pa.frame_id = s.src AND pa.track = q.det_id WHERE t""")
+def o22(spark, d):
+    """Frames divisible by 13 have no tracks."""
+    p = people(spark, d).select("stream_id", "frame_id", F.when(F.col("frame_id") % 13 != 0, F.col("det_id")).alias("track"))
+    poses = _pose_assignment(spark, d).select("frame_id", "track", "pose").join(p.select("stream_id", "frame_id").distinct(), "frame_id")
+    return ordered.pose_cache(p, poses, "stream_id", "frame_id", "track", "pose")
+
+
 @query("w8_one_frame_lag", f"WITH {WALK} SELECT person, frame_id, lag(value) OVER (PARTITION BY person ORDER BY frame_id) AS before FROM walk")
 def w8(spark, d):
     return ordered.one_behind(walk(spark, d), ["person"], "frame_id", "value", "before").select("person", "frame_id", "before")

@@ -10,7 +10,7 @@ from tessera.operators import assignment, curation, metrics, ordered
 from tessera.plans.frames import _ASOF, _CLEAN, _HOUR, _NEAR, _PAIRS, _PERSON, _SCORED, _SPLIT, _VISITS, _asof_events, _person_scores, _reentries, _scored, _split_pool, _timeline
 from tessera.plans.registry import query
 from tessera.plans.scalar import _IOU
-from tessera.plans.views import PEOPLE, POOL, PRESENCE, SAMPLES, WALK, people, pool, presence, samples, table, walk
+from tessera.plans.views import LEAST_COST, PEOPLE, POOL, PRESENCE, SAMPLES, WALK, people, pool, presence, samples, table, walk
 from tessera.sources import tables
 
 
@@ -81,15 +81,11 @@ def _mot(spark, d):
 
 
 _MIOU = _IOU.replace("a.", "g.").replace("b.", "p.")
-_STEP = """s{0} AS (SELECT s.frame_id, s.mask | (1 << mc.j) AS mask, min(s.cost + mc.cost) AS cost, min_by(list_append(s.path, mc.j), s.cost + mc.cost) AS path FROM s{1} s JOIN mc ON mc.frame_id = s.frame_id AND mc.i = {0} AND (s.mask >> mc.j) & 1 = 0 GROUP BY ALL
- UNION ALL SELECT s.* FROM s{1} s WHERE s.frame_id NOT IN (SELECT frame_id FROM mc WHERE i = {0}))"""
-#: Least cost over all sets of columns used so far, row by row: the assignment without its algorithm.
 _MOT = f"""{PEOPLE}, one AS (SELECT frame_id, track_id AS id, min(k) AS k FROM people GROUP BY ALL), gtb AS (SELECT one.*, x1, y1, x2, y2 FROM one JOIN people USING (k)),
  prb AS (SELECT frame_id, id + CASE WHEN frame_id % 10 < 7 THEN 0 ELSE 1000000 END AS cid, row_number() OVER (PARTITION BY frame_id ORDER BY k) AS i, x1 + dx AS x1, y1 + dy AS y1, x2 + dx AS x2, y2 + dy AS y2
   FROM (SELECT *, CAST(CASE WHEN k % 11 = 0 THEN 200.3 ELSE 3.3 END AS DOUBLE) AS dx, CASE WHEN k % 11 = 0 THEN 150 ELSE 2 END AS dy FROM gtb WHERE k % 9 <> 0)),
  mc AS (SELECT frame_id, p.i, CAST(g.k % 8 AS INT) AS j, 1 - {_MIOU} AS cost FROM gtb g JOIN prb p USING (frame_id)),
- s0 AS (SELECT DISTINCT frame_id, 0 AS mask, CAST(0 AS DOUBLE) AS cost, CAST([] AS INT[]) AS path FROM mc), {', '.join(_STEP.format(n, n - 1) for n in range(1, 9))},
- m AS (SELECT g.frame_id, g.id AS gid, p.cid FROM (SELECT frame_id, unnest(path) AS j, generate_subscripts(path, 1) AS i FROM (SELECT frame_id, min_by(path, cost) AS path FROM s8 GROUP BY frame_id)) x
+ {LEAST_COST}, m AS (SELECT g.frame_id, g.id AS gid, p.cid FROM solved x
   JOIN prb p ON p.frame_id = x.frame_id AND p.i = x.i JOIN gtb g ON g.frame_id = x.frame_id AND g.k % 8 = x.j WHERE {_MIOU} >= 0.5),
  pred AS (SELECT count(*) AS n FROM prb)"""
 

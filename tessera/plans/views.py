@@ -114,3 +114,11 @@ def walk(spark: SparkSession, d: str) -> DataFrame:
 
 WALK = """walk AS (SELECT o_orderkey // 400 AS person, o_orderkey % 400 AS frame_id, CAST(100 + (o_orderkey * 31) % 300 + o_orderkey % 400 AS DOUBLE) AS area, CAST((o_orderkey * 13) % 600 AS DOUBLE) AS x,
  CAST((o_orderkey * 7) % 400 AS DOUBLE) AS y, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey * 5) % 90 END AS value FROM orders WHERE o_orderkey % 37 <> 0)"""
+
+
+_STEP = """s{0} AS (SELECT s.frame_id, s.mask | (1 << mc.j) AS mask, min(s.cost + mc.cost) AS cost, min_by(list_append(s.path, mc.j), s.cost + mc.cost) AS path FROM s{1} s JOIN mc ON mc.frame_id = s.frame_id AND mc.i = {0} AND (s.mask >> mc.j) & 1 = 0 GROUP BY ALL
+ UNION ALL SELECT s.* FROM s{1} s WHERE s.frame_id NOT IN (SELECT frame_id FROM mc WHERE i = {0}))"""
+#: The assignment of least cost without its algorithm: for each set of columns the least cost of the rows so far, row by
+#: row. From mc (frame_id, i from 1 to 8, j from 0 to 7, cost) to solved (frame_id, i, j).
+LEAST_COST = f"""s0 AS (SELECT DISTINCT frame_id, 0 AS mask, CAST(0 AS DOUBLE) AS cost, CAST([] AS INT[]) AS path FROM mc), {', '.join(_STEP.format(n, n - 1) for n in range(1, 9))},
+ solved AS (SELECT frame_id, generate_subscripts(path, 1) AS i, unnest(path) AS j FROM (SELECT frame_id, min_by(path, cost) AS path FROM s8 GROUP BY frame_id))"""
