@@ -69,7 +69,20 @@ class Threat:
     approach_window: int = 10
 
 
+@dataclass(frozen=True)
+class Tracking:
+    confirm: int = 3
+    patience: int = 5
+    budget: int = 30
+    unlike: float = 0.3735
+    apart: float = 0.7
+    gate: float = 9.4877
+    place: float = 1 / 20
+    speed: float = 1 / 160
+
+
 FRAME, ADMISSION, IDENTITY, ASSOCIATION, VERIFICATION, THREAT = Frame(), Admission(), Identity(), Association(), Verification(), Threat()
+TRACKING = Tracking()
 MIN_VISIBILITY = 0.5
 LEVEL_NAMES = {0: "SAFE", 1: "CAUTION", 2: "HIGH", 3: "CRITICAL"}
 GAP_BUCKETS = (0, 30, 90, 300, 900)

@@ -52,3 +52,14 @@ def smoothed(values: Column, keep: float = 0.9) -> Column:
     """Exponential mean over an ordered array; the first value is the start."""
     step = lambda s, v: F.when(s.isNull(), v).otherwise(s * F.lit(keep) + v * F.lit(1 - keep))
     return F.aggregate(values, F.lit(None).cast("double"), step)
+
+
+def gradient_hash(grey: Column, width: int = 8, height: int = 8) -> Column:
+    """64 bits of a picture of ``width`` + 1 by ``height`` grey values, row by row: whether the next value is larger.
+
+    The first comparison is the highest bit. Null where there are fewer values or one of them is null.
+    """
+    n = (width + 1) * height
+    bits = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: (F.get(grey, i + F.floor(i / width).cast("int") + 1) > F.get(grey, i + F.floor(i / width).cast("int"))).cast("long"))
+    hashed = F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: F.shiftleft(s, 1).bitwiseOR(b))
+    return F.when(F.size(F.filter(grey, lambda x: x.isNotNull())) >= n, hashed)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geometry as g
 from tessera.functions import vectors as v
 from tessera.functions.geometry import Box
-from tessera.operators import alerting, assignment, curation, gates, identity, matching, metrics, ordered, suppression
+from tessera.operators import alerting, assignment, curation, gates, identity, matching, metrics, ordered, suppression, tracking, trials
 from tessera.plans.registry import query
 from tessera.plans.scalar import _AREA, _CW, _IOU, _IOU_C, _TP, _W
 from tessera.plans.views import CANDIDATES, LEAST_COST, PEOPLE, POOL, POSED, PRESENCE, SAMPLES, WALK, candidates, people, pool, posed, presence, samples, table, walk
@@ -463,6 +463,44 @@ def o41(spark, d):
     return alerting.deduplicated(p, ["stream_id"], "t_us", 12 * _HOUR, "event_id").select("stream_id", "event_id")
 
 
+def _walkers(spark, d):
+    """Four walkers a stream, each with the vector of its number counted round the samples."""
+    s = samples(spark, d)
+    n = s.agg(F.count("*").alias("n"))
+    w = walk(spark, d).join(F.broadcast(n)).withColumn("look", F.col("person") % F.col("n"))
+    w = w.join(s.select(F.col("vec_id").alias("look"), "feat"), "look")
+    return w.select(
+        F.expr("person div 4").alias("stream_id"), "frame_id", (F.col("person") % 4).alias("det_id"), "person",
+        F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 40).alias("x2"), (F.col("y") + 110).alias("y2"), "feat")
+
+
+@query("o21_short_term_tracker")
+def o21(spark, d):
+    t = tracking.track_streams(_walkers(spark, d))
+    return t.select("stream_id", "frame_id", "track_id", "det_id", "matched", "since")
+
+
+@query("e1_reid_of_tracks")
+def e1(spark, d):
+    """Detections, short-term tracks, identities and re-entry scores as one chain: each walker leaves for 21 frames."""
+    there = _walkers(spark, d).where("NOT frame_id BETWEEN 190 AND 210")
+    t = tracking.track_streams(there).where("matched")
+    t = t.join(there.select("stream_id", "frame_id", "det_id", "person", "feat"), ["stream_id", "frame_id", "det_id"])
+    ids = identity.resolve_streams(t.select("stream_id", "frame_id", (F.col("frame_id") / 10.0).alias("ts"), "track_id", "x1", "y1", "x2", "y2", "feat", F.lit(True).alias("admit")))
+    told = ids.join(t.select("stream_id", "frame_id", "track_id", "person"), ["stream_id", "frame_id", "track_id"]).where("canonical_id is not null")
+    b = metrics.dominant(told.where("frame_id BETWEEN 170 AND 189"), ["person"], "canonical_id", ["frame_id"]).withColumnRenamed("canonical_id", "before")
+    a = metrics.dominant(told.where("frame_id BETWEEN 213 AND 235"), ["person"], "canonical_id", ["frame_id"]).withColumnRenamed("canonical_id", "after")
+    return metrics.reentry_scores(b.join(a, "person", "left"))
+
+
+@query("d10_occlusion_trials")
+def d10(spark, d):
+    """Every walker hidden for 10, 20 and 40 frames in the middle of its longest run, identities resolved anew."""
+    w = _walkers(spark, d)
+    tracks = w.select("stream_id", "frame_id", (F.col("frame_id") / 10.0).alias("ts"), F.col("det_id").alias("track_id"), "x1", "y1", "x2", "y2", "feat", F.lit(True).alias("admit"))
+    return trials.occluded(tracks, [10, 20, 40])
+
+
 @query("o23_diversity_reservoir", f"""WITH RECURSIVE {SAMPLES}, s AS (SELECT person, vec_id, feat, row_number() OVER (PARTITION BY person ORDER BY vec_id) AS n FROM samples),
  f(person, n, kept) AS (SELECT person, n, [struct_pack(id := vec_id, v := feat)] FROM s WHERE n = 1
  UNION ALL SELECT person, n, CASE WHEN len(kept) < 16 THEN list_append(kept, struct_pack(id := vec_id, v := feat)) WHEN newest >= list_max(crowd) THEN kept

@@ -148,6 +148,15 @@ def f20(spark, d):
     return a.join(b, "cell").where("a_id < b_id").select("a_id", "b_id", v.hamming(F.col("ah"), F.col("bh")).alias("bits"))
 
 
+@query("f19_gradient_hash", f"""WITH {SAMPLES}, g AS (SELECT vec_id, list_transform(range(0, 72), lambda i: CAST(round((feat[i % 64 + 1] + 1) * 127) AS INT)) AS px FROM samples),
+ h AS (SELECT vec_id, CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN px[i + i // 8 + 2] > px[i + i // 8 + 1] THEN CAST(1 AS HUGEINT) << CAST(63 - i AS INT) ELSE 0 END)) AS HUGEINT) AS h FROM g)
+ SELECT vec_id, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END AS BIGINT) AS hash FROM h""")
+def f19(spark, d):
+    """Vectors stand for grey values."""
+    px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.round((F.get("feat", i % 64) + 1) * 127).cast("int"))
+    return samples(spark, d).select("vec_id", v.gradient_hash(px).alias("hash"))
+
+
 @query("f21_ema", f"WITH {PRESENCE}, l AS (SELECT person, list(value ORDER BY t_us, event_id) AS vs FROM presence GROUP BY person) SELECT person, round(list_reduce(vs, lambda s, x: 0.9 * s + 0.1 * x), 6) AS ema FROM l")
 def f21(spark, d):
     return ema_per(presence(spark, d), ["person"], ["t_us", "event_id"], "value", "ema").withColumn("ema", F.round("ema", 6))
