@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import ADMISSION, ASSOCIATION, FRAME, VERIFICATION, Admission, Verification
 from tessera.functions.geometry import HIPS, SHOULDERS, WRISTS, Box, centre, clipped, distance, landmark
 
-__all__ = ["HIPS", "person_box", "weapon_shape", "embeddable", "admission_reason", "touches_border", "render_decision", "class_conf_ok", "arm_raised", "track_colour", "near_wrist", "time_holdout", "under_delivered", "vetoed", "expired"]
+__all__ = ["HIPS", "person_box", "weapon_shape", "embeddable", "admission_reason", "touches_border", "render_decision", "class_conf_ok", "arm_raised", "track_colour", "near_points", "near_wrist", "time_holdout", "under_delivered", "vetoed", "expired"]
 
 
 def person_box(b: Box, cls: Column, conf: Column, least_conf: float = 0.3) -> Column:
@@ -85,9 +85,16 @@ def track_colour(provisional: Column, coasting: Column, level: Column) -> Column
 
 def near_wrist(b: Box, kp: Column, radius: float = ASSOCIATION.wrist_radius) -> Column:
     """The box's centre within ``radius`` of a visible wrist."""
+    return near_points(b, [(landmark(kp, i)["x"], landmark(kp, i)["y"]) for i in WRISTS], radius)
+
+
+def near_points(b: Box, points: list[tuple[Column, Column]], radius: float) -> Column:
+    """The box's centre within ``radius`` of any of ``points``; a null point is near nothing."""
     cx, cy = centre(b)
-    near = lambda i: F.coalesce(distance(cx, cy, landmark(kp, i)["x"], landmark(kp, i)["y"]) <= radius, F.lit(False))
-    return near(WRISTS[0]) | near(WRISTS[1])
+    near = F.lit(False)
+    for x, y in points:
+        near = near | F.coalesce(distance(cx, cy, x, y) <= radius, F.lit(False))
+    return near
 
 
 def time_holdout(df: DataFrame, group: str, order: str, first_share: float = 0.7) -> DataFrame:

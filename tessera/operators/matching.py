@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import ASSOCIATION, Association
-from tessera.functions.geometry import Box, containment, iou, iou_clamped
-from tessera.operators.gates import near_wrist
+from tessera.functions.geometry import Box, containment, iou, iou_clamped, landmark
+from tessera.operators.gates import WRISTS, near_points
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -39,9 +39,12 @@ def tiered_association(candidates: DataFrame, people: DataFrame, p: Association
     the first person on ties.
     """
     c, q = Box.of("c_"), Box.of("p_")
-    j = prefixed(candidates.select("frame_id", "cand_id", *BOX), "c_", ["frame_id"]).join(prefixed(people.where("person is not null").select("frame_id", "person", "pos", "kp", *BOX), "p_", ["frame_id"]), "frame_id")
-    part, over = containment(c, q), iou_clamped(c, q)
-    j = j.withColumn("wrist", near_wrist(c, F.col("p_kp"), p.wrist_radius)).withColumn("part", part).withColumn("over", over)
+    # Wrists are taken out of the landmarks before the join, so that pairs carry four numbers and no map.
+    wrists = [landmark(F.col("kp"), i)[k].alias(f"{k}{i}") for i in WRISTS for k in ("x", "y")]
+    holders = people.where("person is not null").select("frame_id", "person", "pos", *BOX, *wrists)
+    j = prefixed(candidates.select("frame_id", "cand_id", *BOX), "c_", ["frame_id"]).join(prefixed(holders, "p_", ["frame_id"]), "frame_id")
+    near = near_points(c, [(F.col(f"p_x{i}"), F.col(f"p_y{i}")) for i in WRISTS], p.wrist_radius)
+    j = j.withColumn("wrist", near).withColumn("part", containment(c, q)).withColumn("over", iou_clamped(c, q))
     method = F.when(F.col("wrist"), "wrist").when(F.col("part") >= p.containment, "containment").when(F.col("over") >= p.iou, "iou")
     score = F.when(F.col("wrist"), F.lit(1.0)).when(F.col("part") >= p.containment, F.col("part")).when(F.col("over") >= p.iou, F.col("over"))
     j = j.withColumn("method", method).withColumn("score", score).where("method is not null")
