@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import THREAT, VERIFICATION, Threat, Verification
@@ -57,8 +57,16 @@ def persist(tracks: list[Seen], labels: list[str], boxes: np.ndarray, p: Verific
 def persistence(candidates: DataFrame, p: Verification = VERIFICATION) -> DataFrame:
     """``candidates`` with ``seen``; a stream's cycles are its frames that hold or lack candidates, in order.
 
-    Columns: stream_id, frame_id, cand_id, label and a box. A missing frame number is an empty cycle.
+    Columns: stream_id, frame_id, cand_id, label and a box. A missing frame number is an empty cycle. After
+    ``forget_after`` empty cycles nothing is remembered, so a stream is cut there, exactly, and its parts are folded on
+    their own: a long stream is spread over its pauses.
     """
+    w = Window.partitionBy("stream_id").orderBy("frame_id")
+    pause = F.coalesce(F.col("frame_id") - F.lag("frame_id").over(w) > p.forget_after, F.lit(True))
+    parts = candidates.select("stream_id", "frame_id").distinct().withColumn("_cut", F.when(pause, F.col("frame_id")))
+    parts = parts.select("stream_id", "frame_id", F.last("_cut", ignorenulls=True).over(w).alias("_part"))
+    rows = candidates.join(parts, ["stream_id", "frame_id"]).select(*candidates.columns, "_part")
+
     def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[int] = []
         frames, labels, boxes = pdf["frame_id"].to_numpy(), pdf["label"].tolist(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
@@ -69,9 +77,9 @@ def persistence(candidates: DataFrame, p: Verification = VERIFICATION) -> DataFr
                 persist(state["tracks"], [], np.zeros((0, 4)), p)
             out += persist(state["tracks"], labels[a:z], boxes[a:z], p)
             state["frame"] = frames[a]
-        return pdf.assign(seen=out)
+        return pdf.drop(columns="_part").assign(seen=out)
 
-    return ordered_fold(candidates, ["stream_id"], ["frame_id", "cand_id"], lambda: {"tracks": []}, step, schema_of(candidates) + ", seen int", whole="frame_id")
+    return ordered_fold(rows, ["stream_id", "_part"], ["frame_id", "cand_id"], lambda: {"tracks": []}, step, schema_of(candidates) + ", seen int", whole="frame_id")
 
 
 def verified(candidates: DataFrame, people: DataFrame, enabled: bool = True, need_person: bool = True, p: Verification = VERIFICATION) -> DataFrame:

@@ -92,26 +92,63 @@ def label_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(found, "file string, empty boolean")
 
 
+_SCALAR = re.compile(r"""\s*(?:'((?:[^']|'')*)'|"((?:[^"\\]|\\.)*)"|([^,\[\]{}#]*?))\s*(?=[,\]}:]|\s#|$)""")
+
+
+def _scalars(text: str) -> list[str]:
+    """The items of a list or mapping in one line, with quotes, up to its end."""
+    out, at = [], 0
+    while at < len(text):
+        m = _SCALAR.match(text, at)
+        if not m:
+            break
+        item = m[1].replace("''", "'") if m[1] is not None else m[2].replace('\\"', '"') if m[2] is not None else m[3].strip()
+        out.append(item)
+        at = m.end()
+        if at >= len(text) or text[at] in "]}":
+            break
+        at += 1
+    return out
+
+
+def _scalar(text: str) -> str:
+    """One value with quotes or a comment behind it."""
+    text = text.strip()
+    if text[:1] in "'\"":
+        return _scalars(text)[0]
+    return re.sub(r"\s+#.*$", "", text)
+
+
 def class_names(path: str) -> list[str] | None:
-    """Ordered class names of a data description: a list, or pairs of number and name. None if there are none.
+    """Ordered class names of a data description: a list, or numbers and names, in one line or in a block. None if there are none.
 
-    The file is small and read on the driver; of YAML only these two forms are understood.
+    The file is small and read on the driver. Of YAML the forms of ``names`` are understood, with quotes and comments;
+    anchors and documents within documents are not.
     """
     if not os.path.exists(path):
         return None
     with open(path, encoding="utf-8") as f:
-        text = f.read()
-    inline = re.search(r"^names:\s*\[(.*?)\]", text, re.M | re.S)
-    if inline:
-        names = [x.strip().strip("'\"") for x in inline[1].split(",")]
-        return [x for x in names if x] or None
-    block = re.search(r"^names:\s*\n((?:[ \t]*(?:-|\d+:).*\n?)+)", text, re.M)
-    if not block:
+        lines = f.read().splitlines()
+    at = next((k for k, line in enumerate(lines) if re.match(r"names\s*:", line)), None)
+    if at is None:
+        return None
+    rest = lines[at].split(":", 1)[1].strip()
+    if rest[:1] in ("[", "{"):
+        items = _scalars(rest[1:] + " ".join(line.strip() for line in lines[at + 1 :] if line[:1] in " \t"))
+        if rest[0] == "{":
+            return [v for _, v in sorted(zip(map(int, items[::2]), items[1::2]))] or None
+        return [x for x in items if x] or None
+    rows = []
+    for line in lines[at + 1 :]:
+        if line.strip() and not line.strip().startswith("#"):
+            if not re.match(r"\s+|-", line):
+                break
+            rows.append(line.strip())
+    if not rows:
         return None
-    rows = [line.strip() for line in block[1].splitlines() if line.strip()]
     if rows[0].startswith("-"):
-        return [r.lstrip("- ").strip("'\"") for r in rows]
-    return [v.strip().strip("'\"") for _, v in sorted((int(k), v) for k, v in (r.split(":", 1) for r in rows))]
+        return [_scalar(r[1:]) for r in rows]
+    return [_scalar(v) for _, v in sorted((int(k), v) for k, v in (r.split(":", 1) for r in rows))]
 
 
 def person_labels(images: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -12,13 +12,13 @@ def test_event_documents_and_their_pairs(spark, tmp_path):
     from tessera.operators.matching import exit_return_pairs
     from pyspark.sql import functions as F
 
-    marks = [("exit", 291), ("return", 633), ("return", 1937), ("exit", 2118), ("exit", 2200), ("return", 2314), ("exit", 2504)]
-    doc = {"clip": "c", "fps": 20, "frames": 2565, "scenario": "s", "people": {"1": "a"}, "events": [{"person": "1", "exit_frame": 291, "return_frame": 633, "note": ""}], "raw_marks": [{"type": t, "frame": f} for t, f in marks]}
+    marks = [("return", 7), ("exit", 40), ("return", 75), ("exit", 80), ("exit", 95), ("return", 130), ("return", 133), ("exit", 150)]
+    doc = {"clip": "c", "fps": 25, "frames": 160, "scenario": "s", "people": {"1": "a"}, "events": [{"person": "1", "exit_frame": 40, "return_frame": 75, "note": ""}], "raw_marks": [{"type": t, "frame": f} for t, f in marks]}
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     docs = tables.read_event_truth(spark, str(tmp_path))
-    assert tables.reentry_events(docs).select("exit_frame", "return_frame").first()[:] == (291, 633)
+    assert tables.reentry_events(docs).select("exit_frame", "return_frame").first()[:] == (40, 75)
     m = docs.select("clip", F.inline("raw_marks")).select("clip", F.col("type").alias("mark"), "frame")
-    assert sorted(r[1:] for r in exit_return_pairs(m, "clip", ["frame"]).collect()) == [(291, 633), (2200, 2314)]
+    assert sorted(r[1:] for r in exit_return_pairs(m, "clip", ["frame"]).collect()) == [(40, 75), (95, 130)]
 
 
 def test_labels_and_names(spark, tmp_path):
@@ -27,7 +27,7 @@ def test_labels_and_names(spark, tmp_path):
     (tmp_path / "l/b.txt").write_text("")
     assert tables.read_labels(spark, str(tmp_path / "l")).count() == 1
     assert sorted((r["file"][-5:], r["empty"]) for r in tables.label_files(spark, str(tmp_path / "l")).collect()) == [("a.txt", False), ("b.txt", True)]
-    for text, want in (("names: ['a', 'b']\n", ["a", "b"]), ("names:\n  1: b\n  0: a\n", ["a", "b"]), ("names:\n- a\n- b\n", ["a", "b"]), ("nc: 2\n", None)):
+    for text, want in (("names: ['a', 'b']\n", ["a", "b"]), ("nc: 2  # two\nnames: ['a, the first', \"b's\", c]  # in order\n", ["a, the first", "b's", "c"]), ("names:\n  10: k\n  2: 'b: x'\n\n  # none\n  0: a\nnc: 3\n", ["a", "b: x", "k"]), ("names: {0: a, 1: 'b, c'}\n", ["a", "b, c"]), ("names:\n- \"a # b\"\n- b # last\n", ["a # b", "b"]), ("names:\n  1: b\n  0: a\n", ["a", "b"]), ("names:\n- a\n- b\n", ["a", "b"]), ("nc: 2\n", None)):
         (tmp_path / "d.yaml").write_text(text)
         assert tables.class_names(str(tmp_path / "d.yaml")) == want
     assert tables.class_names(str(tmp_path / "none.yaml")) is None
