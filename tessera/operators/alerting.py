@@ -64,8 +64,8 @@ def persistence(candidates: DataFrame, p: Verification = VERIFICATION) -> DataFr
     w = Window.partitionBy("stream_id").orderBy("frame_id")
     pause = F.coalesce(F.col("frame_id") - F.lag("frame_id").over(w) > p.forget_after, F.lit(True))
     parts = candidates.select("stream_id", "frame_id").distinct().withColumn("_cut", F.when(pause, F.col("frame_id")))
-    parts = parts.select("stream_id", "frame_id", F.last("_cut", ignorenulls=True).over(w).alias("_part"))
-    rows = candidates.join(parts, ["stream_id", "frame_id"]).select(*candidates.columns, "_part")
+    parts = parts.select(F.col("stream_id").alias("_s"), F.col("frame_id").alias("_f"), F.last("_cut", ignorenulls=True).over(w).alias("_part"))
+    rows = candidates.join(parts, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("frame_id") == F.col("_f"))).select(*candidates.columns, "_part")
 
     def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[int] = []
