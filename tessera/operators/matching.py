@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import ASSOCIATION, Association
 from tessera.functions.geometry import Box, containment, iou, iou_clamped, landmark
 from tessera.operators.gates import WRISTS, near_points
+from tessera.operators.ordered import DAY_US, with_previous
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -70,18 +71,29 @@ def same_frame_negatives(rows: DataFrame, clip: str, frame: str, ident: str) ->
     return a.join(b, [clip, frame]).where("a < b")
 
 
-def same_identity_pairs(rows: DataFrame, ident: str, frame: str, long_gap: int = 30) -> DataFrame:
-    """ident, f1, f2, is_long, feats: all pairs of one identity, earlier frame first."""
-    a = rows.select(ident, F.col(frame).alias("f1"), F.col("feat").alias("feat1"))
-    b = rows.select(ident, F.col(frame).alias("f2"), F.col("feat").alias("feat2"))
-    return a.join(b, ident).where("f1 < f2").withColumn("is_long", F.col("f2") - F.col("f1") >= long_gap)
+def same_identity_likeness(rows: DataFrame, ident: str, frame: str, long_gap: int = 30) -> DataFrame:
+    """ident, is_long, n, total: number and summed likeness of all pairs of one identity, by whether the later frame is
+    ``long_gap`` or more behind the earlier one; pairs of one frame don't count.
+
+    The likeness of a vector to all earlier ones is its product with their sum, so running sums per dimension replace
+    the pairs: the work is that of the rows, and an identity is spread over its dimensions.
+    """
+    x = rows.where(F.col(ident).isNotNull() & F.col(frame).isNotNull()).select(F.col(ident).alias("_i"), F.col(frame).cast("long").alias("_f"), F.posexplode(F.col("feat").cast("array<double>")).alias("_d", "_x"))
+    w = Window.partitionBy("_i", "_d").orderBy("_f")
+    far, all_ = w.rangeBetween(Window.unboundedPreceding, -long_gap), w.rangeBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    x = x.select("_i", "_d", "_x", zero(F.sum("_x").over(far)).alias("far"), zero(F.sum("_x").over(all_)).alias("all"), F.count("*").over(far).alias("nf"), F.count("*").over(all_).alias("na"))
+    first = F.col("_d") == 0
+    per = x.groupBy("_i").agg(F.sum(F.col("_x") * F.col("far")).alias("tf"), F.sum(F.col("_x") * F.col("all")).alias("ta"), F.sum(F.when(first, F.col("nf")).otherwise(0)).alias("nf"), F.sum(F.when(first, F.col("na")).otherwise(0)).alias("na"))
+    both = F.array(F.struct(F.lit(True).alias("is_long"), F.col("nf").alias("n"), F.col("tf").alias("total")), F.struct(F.lit(False).alias("is_long"), (F.col("na") - F.col("nf")).alias("n"), (F.col("ta") - F.col("tf")).alias("total")))
+    return per.select(F.col("_i").alias(ident), F.inline(both)).where("n > 0")
 
 
 def apart_samples(queries: DataFrame, gallery: DataFrame, ident: str, frame: str, gap: int = 30, least: int = 3) -> DataFrame:
-    """query_id, n, and the gallery's feats at least ``gap`` frames from the query, where there are ``least``."""
-    g = gallery.select(F.col(ident).alias("_i"), F.col(frame).alias("_f"), F.col("feat").alias("_g"))
+    """query_id, n: how many of the identity's gallery samples lie at least ``gap`` frames from the query, where there are ``least``."""
+    g = gallery.select(F.col(ident).alias("_i"), F.col(frame).alias("_f"))
     j = queries.join(g, (F.col(ident) == F.col("_i")) & (F.abs(F.col(frame) - F.col("_f")) >= gap))
-    return j.groupBy("query_id").agg(F.count("*").alias("n"), F.collect_list("_g").alias("feats")).where(F.col("n") >= least)
+    return j.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def without_junk(pairs: DataFrame) -> DataFrame:
@@ -109,15 +121,14 @@ def as_of(events: DataFrame, timeline: DataFrame, event_id: str, clip: str, at:
     return near.where(F.abs(F.col("_at") - F.col("frame")) <= reach).select(F.col("_e").alias(event_id), "frame")
 
 
-def exit_return_pairs(marks: DataFrame, key: str, order: list[str]) -> DataFrame:
+def exit_return_pairs(marks: DataFrame, key: str, order: list[str], cell: int = DAY_US) -> DataFrame:
     """key, exit_at, return_at: each return with the exit right before it.
 
     A repeated exit replaces the one before, a return ends the search, what stays alone is left out; so a pair is a
     return whose preceding mark is an exit.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    m = marks.where("mark is not null").withColumn("_m", F.lag("mark").over(w)).withColumn("exit_at", F.lag(order[0]).over(w))
-    return m.where("mark = 'return' AND _m = 'exit'").select(key, "exit_at", F.col(order[0]).alias("return_at"))
+    m = with_previous(marks.where("mark is not null"), [key], order, ["mark", order[0]], cell)
+    return m.where("mark = 'return' AND prev_mark = 'exit'").select(key, F.col(f"prev_{order[0]}").alias("exit_at"), F.col(order[0]).alias("return_at"))
 
 
 def last_known(df: DataFrame, key: str, order: str, value: str, out: str) -> DataFrame:

@@ -6,11 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def visits(df: DataFrame, key: str, order: str, gap: int, tie: str | None = None) -> DataFrame:
-    """``df`` with ``visit``, counted from 1 within a key: a new one begins after more than ``gap`` without a row."""
-    w = Window.partitionBy(key).orderBy(*[c for c in (order, tie) if c])
-    new = F.coalesce((F.col(order) - F.lag(order).over(w) > gap).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn("visit", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str], cell: int) -> DataFrame:
+    """``df`` with ``prev_<value>`` of the row before within ``keys`` (null at the start), ordered by ``order``.
+
+    A key is cut into cells of ``cell`` units of the first order column: rows look back within their cell, and the first
+    row of a cell takes the last row of the cell before, which windows over cells find. So a key of any size is spread
+    over its cells, and only one row per cell of a key comes together. Rows with a null in the first order column are
+    one cell, ahead of all others. Equal order values have no certain order.
+    """
+    w = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    rows = df.withColumn("_cell", F.floor(F.col(order[0]) / F.lit(cell)))
+    rows = rows.withColumn("_first", F.row_number().over(w) == 1)
+    for v in values:
+        rows = rows.withColumn(f"prev_{v}", F.lag(v).over(w))
+    held = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    last = rows.groupBy(*keys, "_cell").agg(F.max(held).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_cell"))).where("_before is not null")
+    last = last.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_kc"), "_before")
+    same = F.col("_cell").eqNullSafe(F.col("_kc"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    rows = rows.join(last, same, "left")
+    for i, v in enumerate(values):
+        rows = rows.withColumn(f"prev_{v}", F.when(F.col("_first"), F.col(f"_before.v{i}")).otherwise(F.col(f"prev_{v}")))
+    return rows.select(*df.columns, *[f"prev_{v}" for v in values])
+
+
+#: Cells of a day in microseconds, and of some ten minutes of frames.
+DAY_US, FRAMES = 86_400_000_000, 1 << 14
+
+
+def visits(df: DataFrame, key: str, order: str, gap: int, tie: str | None = None, cell: int = DAY_US) -> DataFrame:
+    """``df`` with ``visit``, counted from 1 within a key: a new one begins after more than ``gap`` without a row.
+
+    Visits are numbered within cells of the key and then by the sum of the cells before, see :func:`with_previous`.
+    """
+    by = [c for c in (order, tie) if c]
+    flagged = with_previous(df, [key], by, [order], cell).withColumn("_new", F.coalesce((F.col(order) - F.col(f"prev_{order}") > gap).cast("int"), F.lit(1))).withColumn("_cell", F.floor(F.col(order) / F.lit(cell)))
+    per = flagged.groupBy(F.col(key).alias("_k"), F.col("_cell").alias("_c")).agg(F.sum("_new").alias("_n"))
+    per = per.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    inner = F.sum("_new").over(Window.partitionBy(key, "_cell").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    j = flagged.withColumn("_in", inner).join(per, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")))
+    return j.select(*df.columns, (F.col("_in") + F.col("_upto")).alias("visit"))
 
 
 def islands(df: DataFrame, keys: list[str], frame: str) -> DataFrame:
@@ -51,15 +88,15 @@ def held(df: DataFrame, cycle: DataFrame, frame: str, every: int, on: list[str])
     return df.withColumn("_held", F.col(frame) - F.pmod(F.col(frame), F.lit(every))).join(c, [*on, "_held"], "left").drop("_held")
 
 
-def one_behind(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+def one_behind(df: DataFrame, keys: list[str], order: str, value: str, out: str, cell: int = FRAMES) -> DataFrame:
     """``out``: the value of the row before."""
-    return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+    return with_previous(df, keys, [order], [value], cell).withColumnRenamed(f"prev_{value}", out)
 
 
-def escalations(df: DataFrame, keys: list[str], order: list[str], level: str, least: int = 2) -> DataFrame:
+def escalations(df: DataFrame, keys: list[str], order: list[str], level: str, least: int = 2, cell: int = DAY_US) -> DataFrame:
     """Rows whose level is at least ``least`` and above the one before (0 at the start)."""
-    before = F.coalesce(F.lag(level).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0))
-    return df.withColumn("_b", before).where((F.col(level) >= least) & (F.col(level) > F.col("_b"))).drop("_b")
+    before = F.coalesce(F.col(f"prev_{level}"), F.lit(0))
+    return with_previous(df, keys, order, [level], cell).where((F.col(level) >= least) & (F.col(level) > before)).drop(f"prev_{level}")
 
 
 def recordings(df: DataFrame, key: str, order: str, level: str, tail: int, least: int = 2) -> DataFrame:

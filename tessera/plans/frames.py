@@ -143,8 +143,8 @@ def j11(spark, d):
 
 @query("j12_same_identity_pairs", f"WITH {SAMPLES} SELECT person, b.frame_id - a.frame_id >= 30 AS is_long, count(*) AS n, round(avg(list_dot_product(a.feat, b.feat)), 6) AS mean FROM samples a JOIN samples b USING (person) WHERE a.frame_id < b.frame_id GROUP BY ALL")
 def j12(spark, d):
-    p = matching.same_identity_pairs(samples(spark, d), "person", "frame_id")
-    return p.groupBy("person", "is_long").agg(F.count("*").alias("n"), F.round(F.avg(v.dot(F.col("feat1"), F.col("feat2"))), 6).alias("mean"))
+    p = matching.same_identity_likeness(samples(spark, d), "person", "frame_id")
+    return p.select("person", "is_long", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 
 
 @query("j13_apart_samples", f"WITH {SAMPLES} SELECT q.vec_id AS query_id, count(*) AS n FROM samples q JOIN samples g ON q.person = g.person AND abs(q.frame_id - g.frame_id) >= 30 WHERE q.is_query GROUP BY q.vec_id HAVING count(*) >= 3")

@@ -173,3 +173,38 @@ def test_gradient_hash(spark):
         bits = "".join("1" if px[9 * y + x + 1] > px[9 * y + x] else "0" for y in range(8) for x in range(8))
         assert got[i] == (int(bits, 2) ^ (1 << 63)) - (1 << 63)
     assert got[90] is None and got[91] is None and got[92] is None
+
+
+@pytest.mark.parametrize("cell", [1, 7, 1000])
+def test_previous_rows_and_visits_in_cells_are_those_of_whole_keys(spark, cell):
+    from pyspark.sql import Window
+
+    from tessera.operators.matching import exit_return_pairs
+    from tessera.operators.ordered import escalations, visits, with_previous
+
+    r = np.random.default_rng(10)
+    rows = [(None if k == 2 else int(k), int(t), i, [None, "exit", "return"][int(r.integers(3))], int(r.integers(4))) for i, (k, t) in enumerate(zip(r.integers(0, 3, 300), r.integers(0, 200, 300)))]
+    df = spark.createDataFrame(rows, "who long, at long, id long, mark string, level int")
+    w = Window.partitionBy("who").orderBy("at", "id")
+    want = {x["id"]: (x["m"], x["v"]) for x in df.withColumn("m", F.lag("mark").over(w)).withColumn("v", F.sum((F.coalesce(F.col("at") - F.lag("at").over(w), F.lit(99)) > 3).cast("int")).over(w)).collect()}
+    assert {x["id"]: x["prev_mark"] for x in with_previous(df, ["who"], ["at", "id"], ["mark"], cell).collect()} == {i: m for i, (m, _) in want.items()}
+    assert {x["id"]: x["visit"] for x in visits(df, "who", "at", 3, "id", cell).collect()} == {i: v for i, (_, v) in want.items()}
+    for fn in (lambda c: exit_return_pairs(df, "who", ["at", "id"], c), lambda c: escalations(df, ["who"], ["at", "id"], "level", 2, c)):
+        assert sorted(map(str, fn(cell).collect())) == sorted(map(str, fn(10**9).collect()))
+    assert with_previous(df.where("false"), ["who"], ["at"], ["mark"], cell).count() == 0
+
+
+def test_likeness_of_pairs_without_pairs(spark):
+    from tessera.operators.matching import same_identity_likeness
+
+    r = np.random.default_rng(11)
+    rows = [(int(r.integers(3)), int(r.integers(80)), r.normal(size=3)) for _ in range(60)] + [(9, 1, np.ones(3))]
+    want = {}
+    for a, f, v in rows:
+        for b, g, u in rows:
+            if a == b and f < g:
+                n, t = want.get((a, g - f >= 30), (0, 0.0))
+                want[a, g - f >= 30] = n + 1, t + float(v @ u)
+    df = spark.createDataFrame([(a, f, v.tolist()) for a, f, v in rows] + [(None, 1, [1.0] * 3), (9, None, [1.0] * 3)], "who long, at long, feat array<double>")
+    got = {(x["who"], x["is_long"]): (x["n"], x["total"]) for x in same_identity_likeness(df, "who", "at").collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
