@@ -10,8 +10,10 @@ from tessera.operators import assignment, curation, metrics, ordered
 from tessera.plans.frames import _ASOF, _CLEAN, _HOUR, _NEAR, _PAIRS, _PERSON, _SCORED, _SPLIT, _VISITS, _asof_events, _person_scores, _reentries, _scored, _split_pool, _timeline
 from tessera.plans.registry import query
 from tessera.plans.scalar import _IOU
-from tessera.plans.views import LEAST_COST, PEOPLE, POOL, PRESENCE, SAMPLES, WALK, people, pool, presence, samples, table, walk
+from tessera.plans.views import CANDIDATES, LEAST_COST, PEOPLE, POOL, PRESENCE, SAMPLES, WALK, candidates, people, pool, presence, samples, table, walk
 from tessera.sources import tables
+from tessera.sources.workspace import Workspace
+from tessera.streaming import stateful
 
 
 @query("a1_dominant_identity", f"""WITH {_ASOF}, w AS (SELECT event_id, ident, frame_id, det_id FROM ev JOIN tl USING (clip) WHERE frame_id >= t0 AND frame_id < t0 + 20)
@@ -247,6 +249,43 @@ def a29(spark, d):
     return x.select("q_id", metrics.separation_band(F.col("s")).alias("band"), metrics.verdict(F.col("s"), F.lit(0.9), n, n).alias("verdict"))
 
 
+@query("c1_detection_stream", f"WITH {CANDIDATES} SELECT frame_id % 4 AS stream_id, label, count(*) AS n, max(conf) AS best FROM cand GROUP BY ALL")
+def c1(spark, d):
+    """The files of a folder as a bounded stream of detections, written on as they come and then counted."""
+    ws = Workspace(spark)
+    landing, log = f"{ws.root}/in", f"{ws.root}/out"
+    candidates(spark, d).withColumn("stream_id", F.col("frame_id") % 4).repartition(4, "frame_id").write.parquet(landing)
+    rows = stateful.frames_stream(spark, landing, spark.read.parquet(landing).schema, per_batch=2).where("cand_id is not null")
+    rows.writeStream.format("parquet").option("path", log).option("checkpointLocation", f"{ws.root}/mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(log).groupBy("stream_id", "label").agg(F.count("*").alias("n"), F.max("conf").alias("best"))
+
+
+@query("c15_alert_log", "SELECT threat_name, CAST(sum(2) AS BIGINT) AS n, count(DISTINCT person_id) AS persons, round(max(confidence), 9) AS best FROM alerts GROUP BY threat_name")
+def c15(spark, d):
+    """The log appended to twice, and read back."""
+    path = f"{Workspace(spark).root}/log"
+    a = table(spark, d, "alerts").withColumn("timestamp", F.col("timestamp").cast("string"))
+    tables.append_alerts(a, path)
+    tables.append_alerts(a, path)
+    back = spark.read.csv(path, header=True, schema="timestamp string, person_id long, threat_level int, threat_name string, weapons string, confidence double, bbox string, arm_raised boolean, approaching boolean", multiLine=True, **tables.EXACT_CSV)
+    return back.groupBy("threat_name").agg(F.count("*").alias("n"), F.countDistinct("person_id").alias("persons"), F.round(F.max("confidence"), 9).alias("best"))
+
+
+@query("c16_json_result", f"WITH {PRESENCE} SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median FROM presence GROUP BY event_type")
+def c16(spark, d):
+    path = f"{Workspace(spark).root}/result"
+    tables.write_result(presence(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median")), path)
+    return spark.read.schema("event_type string, n long, median double").json(path)
+
+
+@query("c17_dataset_emit", f"WITH {POOL} SELECT {_SPLIT} AS split, coalesce(src, '?') || '__' || regexp_replace(regexp_extract(img, '([^/]*)$', 1), '\\.[^.]*$', '') AS name, count(*) AS n FROM pool WHERE split IS NOT NULL GROUP BY ALL")
+def c17(spark, d):
+    path = f"{Workspace(spark).root}/dataset"
+    rows = _split_pool(spark, d).where("split is not null").select("split", F.coalesce("src", F.lit("?")).alias("source"), curation.stem(F.col("img")).alias("stem"))
+    tables.write_dataset(rows, path)
+    return spark.read.parquet(path).groupBy("split", "name").agg(F.count("*").alias("n"))
+
+
 @query("c2_first_frames", f"WITH {PEOPLE} SELECT frame_id, count(*) AS n FROM people WHERE frame_id < 100 GROUP BY frame_id")
 def c2(spark, d):
     return tables.first_frames(people(spark, d), 100).groupBy("frame_id").agg(F.count("*").alias("n"))

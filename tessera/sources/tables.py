@@ -169,10 +169,14 @@ def class_report(labels: DataFrame, names: DataFrame) -> DataFrame:
     return per.join(names, "cls", "left").select("source", "cls", "name", "n", F.col("name").isNull().alias("stray"))
 
 
+#: Options by which CSV keeps texts to the letter; readers need the same.
+EXACT_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def append_alerts(df: DataFrame, path: str) -> None:
-    """Nine columns of the alert log, appended as CSV with a header in each part."""
+    """Nine columns of the alert log, appended as CSV with a header in each part; blanks and quotes stay as they are."""
     cols = ["timestamp", "person_id", "threat_level", "threat_name", "weapons", "confidence", "bbox", "arm_raised", "approaching"]
-    df.select(*cols).write.csv(path, mode="append", header=True)
+    df.select(*cols).write.csv(path, mode="append", header=True, **EXACT_CSV)
 
 
 def write_result(df: DataFrame, path: str) -> None:

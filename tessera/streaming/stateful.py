@@ -20,6 +20,7 @@ from tessera.config import IDENTITY, THREAT, Identity, Threat
 from tessera.operators.alerting import Calm, emitted, settle
 from tessera.operators.folds import schema_of
 from tessera.operators.identity import SCHEMA, Gallery, run_frames
+from tessera.sources.tables import EXACT_CSV
 
 STATE = "state binary, held binary"
 
@@ -102,6 +103,6 @@ def visits_per_person(stream: DataFrame, event_time: str, person: str, gap: str,
 def append_alerts(stream: DataFrame, path: str, checkpoint: str):
     """The alert log as a CSV sink; each micro-batch replaces its own part, so a repeated one adds nothing."""
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.csv(f"{path}/batch={number}", mode="overwrite", header=True)
+        batch.write.csv(f"{path}/batch={number}", mode="overwrite", header=True, **EXACT_CSV)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
