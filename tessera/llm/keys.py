@@ -17,7 +17,7 @@ EXTENSION = r"\.[A-Za-z0-9]{1,5}$"
 CLIP_STAMP = r"(\d{4})-(\d{2})-(\d{2})[^0-9]+(\d{2})[^0-9](\d{2})[^0-9](\d{2})"
 
 _WIDE = "".join(map(chr, (0xA0, 0x2007, 0x202F, 0x200B, 0xFEFF)))
-_SPACE = rf"[\s{_WIDE}]+"
+_BLANKS = "\t\n\x0b\f\r" + _WIDE
 
 
 def _blank_to_null(c: Column) -> Column:
@@ -32,17 +32,18 @@ def split_key(c: Column) -> Column:
 
 def source_key(c: Column) -> Column:
     """Slug and batch code of a source without folder, archive ending, case and separators."""
-    s = F.regexp_replace(F.regexp_replace(c, _SPACE, " "), r"[/\\ ]+$", "")
-    s = F.lower(F.regexp_extract(s, r"([^/\\]*)$", 1))
-    s = F.regexp_replace(F.trim(s), ARCHIVE_END, "")
+    s = F.translate(c, _BLANKS + "\\", " " * len(_BLANKS) + "/")
+    s = F.trim(F.lower(F.substring_index(F.rtrim(s, F.lit("/ ")), "/", -1)))
+    s = F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, ARCHIVE_END, "")).otherwise(s)
     return _blank_to_null(F.regexp_replace(s, "[^a-z0-9]", ""))
 
 
 def path_key(c: Column) -> Column:
     """Path below the raw root, with one kind of slash and without scheme and dots."""
-    s = F.regexp_replace(F.regexp_replace(c, rf"^[\s{_WIDE}]+|[\s{_WIDE}]+$", ""), r"\\", "/")
-    s = F.regexp_replace(s, PATH_SCHEME, "")
-    s = F.regexp_replace(F.regexp_replace(s, "/{2,}", "/"), r"^(\./)+", "")
+    s = F.translate(F.btrim(c, F.lit(" " + _BLANKS)), "\\", "/")
+    s = F.when(s.startswith("file:"), F.regexp_replace(s, PATH_SCHEME, "")).otherwise(s)
+    s = F.when(F.contains(s, F.lit("//")), F.regexp_replace(s, "/{2,}", "/")).otherwise(s)
+    s = F.when(s.startswith("./"), F.regexp_replace(s, r"^(\./)+", "")).otherwise(s)
     return _blank_to_null(F.regexp_replace(s, RAW_ROOT, ""))
 
 
