@@ -21,7 +21,7 @@ _BLANKS = "\t\n\x0b\f\r" + _WIDE
 
 
 def _blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def split_key(c: Column) -> Column:
@@ -41,9 +41,9 @@ def source_key(c: Column) -> Column:
 def path_key(c: Column) -> Column:
     """Path below the raw root, with one kind of slash and without scheme and dots."""
     s = F.translate(F.btrim(c, F.lit(" " + _BLANKS)), "\\", "/")
-    s = F.when(s.startswith("file:"), F.regexp_replace(s, PATH_SCHEME, "")).otherwise(s)
+    s = F.regexp_replace(s, PATH_SCHEME, "")
     s = F.when(F.contains(s, F.lit("//")), F.regexp_replace(s, "/{2,}", "/")).otherwise(s)
-    s = F.when(s.startswith("./"), F.regexp_replace(s, r"^(\./)+", "")).otherwise(s)
+    s = F.regexp_replace(s, r"^(\./)+", "")
     return _blank_to_null(F.regexp_replace(s, RAW_ROOT, ""))
 
 
