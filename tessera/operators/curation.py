@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.hamming import near_patterns, nearest_patterns
+from tessera.sources.workspace import Workspace
 
 BACKGROUND, DROP = "__background__", "__drop__"
 
@@ -145,7 +146,7 @@ def forced_holdout(clips: DataFrame, named: list[str]) -> DataFrame:
 
 def nearest_across(val: DataFrame, train: DataFrame, key: str, bits: str) -> DataFrame:
     """val_id, best: for each held-out row the least number of differing bits to any training row; none without training rows."""
-    v = val.where(F.col(bits).isNotNull()).select(F.col(key).alias("val_id"), F.col(bits).alias("bits"))
+    v = Workspace(val.sparkSession).table(val.where(F.col(bits).isNotNull()).select(F.col(key).alias("val_id"), F.col(bits).alias("bits")))
     best = nearest_patterns(v, train.select(F.col(bits).alias("bits")))
     return v.join(best, F.col("bits") == F.col("left_bits")).select("val_id", "best")
 

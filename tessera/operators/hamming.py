@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from tessera.functions.vectors import hamming
 from tessera.sources.workspace import Workspace
 
 SEGMENTS = 8
-#: Patterns of a block that are compared with all of another.
-BLOCK = 4096
+#: Left patterns of a block and right ones of a chunk at most, about; in the search for the nearest each block meets each chunk.
+BLOCK, CHUNK = 1 << 20, 1 << 21
+#: Patterns that are compared in one step.
+ROOM = 1 << 16
 
 
 def _keys(name: str, width: int, bits: int, segments: int, together: int):
@@ -69,39 +73,93 @@ def near_patterns(left: DataFrame, right: DataFrame, most: int = 6, crowded: int
 def nearest_patterns(left: DataFrame, right: DataFrame) -> DataFrame:
     """left_bits, best: for each distinct left pattern the least number of bits in which any right pattern differs.
 
-    Exact and complete in rounds of growing reach: with r differing bits spread over 8 segments of 8 bits, at least
-    8 - r of them agree, so reach 4 needs four agreeing segments (70 keys of 32 bits), reach 6 two (28 keys of 16 bits).
-    Patterns without a partner so far, those that lie far from all others, are compared with all right patterns in
-    blocks; a reach of 6 is settled by keys, so that happens only where the minimum is above 6. Right patterns pass
-    through the blocks in place, once, whatever the number of blocks that the left ones fill (``BLOCK`` patterns each).
+    Both inputs: bits (long). Exact and complete at any distance. Blocks of left patterns meet chunks of right ones, each
+    pair in a cell whose rows are hashed to one task (``nearest_of``); a cell holds at most about ``BLOCK`` and ``CHUNK``
+    patterns, and only numbers of patterns come to the driver.
     """
-    import numpy as np
     import pyarrow as pa
 
     ws = Workspace(left.sparkSession)
-    own = ws.table(left.where("bits is not null").select("bits").distinct())
-    other = ws.table(right.where("bits is not null").select("bits").distinct())
-    close = ws.table(near_patterns(own, other, 6).groupBy("left_bits").agg(F.min(hamming(F.col("left_bits"), F.col("right_bits"))).alias("best")))
-    far = ws.table(own.join(close, F.col("bits") == F.col("left_bits"), "left_anti").select("bits"))
-    cells = max(1, -(-far.count() // BLOCK))
-    blocks = far.select(F.pmod(F.xxhash64("bits"), F.lit(cells)).cast("int").alias("block"), "bits")
-    grouped = blocks.groupBy("block").agg(F.collect_list("bits").alias("mine"))
-    # A block of left patterns meets every chunk of right ones: chunks and blocks are bounded, and so is a row.
-    chunks = other.select(F.pmod(F.xxhash64("bits"), F.lit(max(1, -(-other.count() // BLOCK)))).cast("int").alias("chunk"), "bits").groupBy("chunk").agg(F.collect_list("bits").alias("others"))
-    pairs = grouped.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-other.count() // BLOCK) - 1)))))
-    met = pairs.join(chunks, "chunk").select("mine", "others")
-
-    def run(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                mine, others = (b.column(c)[k].values.to_numpy().view(np.uint64) for c in (0, 1))
-                best = np.full(len(mine), 65, np.uint8)
-                for a in range(0, len(others), 256):
-                    best = np.minimum(best, np.bitwise_count(mine[:, None] ^ others[None, a : a + 256]).min(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(mine.view(np.int64)), pa.array(best.astype(np.int32))], ["left_bits", "best"])
-
-    rest = met.mapInArrow(run, "left_bits long, best int").groupBy("left_bits").agg(F.min("best").alias("best"))
-    return close.unionByName(rest)
+    own, other = (ws.table(d.where("bits is not null").select("bits").distinct()) for d in (left, right))
+    n, chunks = own.count(), max(1, -(-other.count() // CHUNK))
+    wanted = -(-3 * left.sparkSession.sparkContext.defaultParallelism // chunks)
+    blocks = max(1, -(-n // BLOCK), min(-(-n // 4096), wanted))
 
+    def among(parts: int):
+        return F.pmod(F.xxhash64("bits"), F.lit(parts)).cast("int")
 
+    def all_of(parts: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
 
+    def cells(df: DataFrame, block, chunk):
+        return df.select("bits", block.alias("block"), chunk.alias("chunk")).select("bits", (F.col("block") * chunks + F.col("chunk")).alias("cell")).groupBy("cell")
+
+    def run(mine: pa.Table, others: pa.Table) -> pa.Table:
+        a, b = (t.column("bits").to_numpy().view(np.uint64) for t in (mine, others))
+        if not len(b):
+            a = a[:0]
+        return pa.table({"left_bits": a.view(np.int64), "best": nearest_of(a, b).astype(np.int32)})
+
+    met = cells(own, among(blocks), all_of(chunks)).cogroup(cells(other, all_of(blocks), among(chunks))).applyInArrow(run, "left_bits long, best int")
+    return met.groupBy("left_bits").agg(F.min("best").alias("best"))
+
+
+@cache
+def _shell(weight: int) -> np.ndarray:
+    """The numbers of 16 bits of which ``weight`` are set."""
+    x = np.arange(1 << 16, dtype=np.uint16)
+    return x[np.bitwise_count(x) == weight]
+
+
+def nearest_of(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For each of ``mine`` (uint64) the least number of bits in which any of ``others`` differs; 65 without others.
+
+    Method: multi-index search with growing reach. A pattern is four segments of 16 bits, and ``others`` are sorted by
+    each. Round r looks up, by segment r % 4, all patterns whose segment differs in exactly r // 4 bits; after it, every
+    pattern within r bits was met, since one that wasn't differs in more than r. So a pattern whose best is at most r + 1
+    is settled. Where a round would cost more than comparing with all, the patterns left are compared with all.
+    A look-up takes a window of neighbouring patterns; what a segment value holds beyond it is read in pieces.
+    """
+    best = np.full(len(mine), 65, np.uint8)
+    if not len(mine) or not len(others):
+        return best
+    mean = len(others) / (1 << 16)
+    width = min(len(others), 8 * int(-(-(mean + 2 * mean**0.5 + 1) // 8)))
+    last, sides, todo = len(others) - width, {}, np.arange(len(mine))
+    for reach in range(64):
+        weight, s = divmod(reach, 4)
+        masks, shift = _shell(weight), np.uint64(16 * s)
+        if 2 * len(masks) * (width + 8) > len(others):
+            break
+        if s not in sides:
+            part = (others >> shift).astype(np.uint16)
+            held = others[np.argsort(part, kind="stable")]
+            sides[s] = held, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << 16))]), np.lib.stride_tricks.sliding_window_view(held, width)
+        held, first, windows = sides[s]
+        step = max(1, ROOM // (len(masks) * width))
+        for a in range(0, len(todo), step):
+            at = todo[a : a + step]
+            q = mine[at]
+            cell = ((q >> shift).astype(np.uint16)[:, None] ^ masks).astype(np.intp)
+            lo, hi = first[cell], first[cell + 1]
+            met = windows[np.minimum(lo, last)]
+            met ^= q[:, None, None]
+            low = np.bitwise_count(met).reshape(len(at), -1).min(axis=1)
+            i, j = np.nonzero(hi - lo > width)
+            lo, hi = lo[i, j] + width, hi[i, j]
+            for k in np.flatnonzero(hi - lo > 16 * width):
+                low[i[k]] = min(low[i[k]], np.bitwise_count(held[lo[k] : hi[k]] ^ q[i[k]]).min())
+                lo[k] = hi[k]
+            while (on := lo < hi).any():
+                i, lo, hi = i[on], lo[on], hi[on]
+                np.minimum.at(low, i, np.bitwise_count(windows[np.minimum(lo, last)] ^ q[i][:, None]).min(axis=1))
+                lo = lo + width
+            best[at] = np.minimum(best[at], low)
+        todo = todo[best[todo] > reach + 1]
+        if not len(todo):
+            return best
+    for a in range(0, len(todo), 64):
+        at = todo[a : a + 64]
+        for c in range(0, len(others), 1024):
+            best[at] = np.minimum(best[at], np.bitwise_count(mine[at][:, None] ^ others[None, c : c + 1024]).min(axis=1))
+    return best

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,21 @@ def test_nearest_is_the_minimum_of_every_row(spark, block, monkeypatch):
     assert hamming.nearest_patterns(frame(spark, e), frame(spark, [])).count() == 0 and hamming.nearest_patterns(frame(spark, []), frame(spark, t)).count() == 0
 
 
+def test_nearest_broadcasts_no_pairs_of_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK", 16)
+    e, t = patterns(8)
+    assert "Broadcast" not in hamming.nearest_patterns(frame(spark, e), frame(spark, t))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("n,mask", [(70_000, 2**64 - 1), (70_000, 0xFFFF0000000000FF), (70_000, 0x0101FFFF01010101), (3, 2**64 - 1)])
+def test_nearest_of_even_and_crowded_patterns(n, mask):
+    r = np.random.default_rng(n)
+    t = np.unique(r.integers(0, 2**64, n, np.uint64) & np.uint64(mask))
+    e = np.concatenate([t[::1000] ^ np.uint64(37 << 20), r.integers(0, 2**64, 60, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    assert hamming.nearest_of(e, t).tolist() == [int(np.bitwise_count(x ^ t).min()) for x in e]
+    assert hamming.nearest_of(e, t[:0]).tolist() == [65] * len(e) and not len(hamming.nearest_of(e[:0], t))
+
+
 def test_copies_make_stars_and_no_pairs(spark):
     rows = [(i, 5) for i in range(300)] + [(1000, 7), (1001, None), (1002, 1 << 60)]
     got = {tuple(x) for x in curation.near_pairs(spark.createDataFrame(rows, "k long, h long"), "k", "h", 6).collect()}
