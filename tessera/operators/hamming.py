@@ -14,7 +14,7 @@ from tessera.sources.workspace import Workspace
 
 SEGMENTS = 8
 #: Left patterns of a block and right ones of a chunk at most, about; in the search for the nearest each block meets each chunk.
-BLOCK, CHUNK = 1 << 20, 1 << 21
+BLOCK, CHUNK = 1 << 20, 3 << 20
 #: Patterns that are compared in one step.
 ROOM = 1 << 16
 
@@ -82,7 +82,7 @@ def nearest_patterns(left: DataFrame, right: DataFrame) -> DataFrame:
     ws = Workspace(left.sparkSession)
     own, other = (ws.table(d.where("bits is not null").select("bits").distinct()) for d in (left, right))
     n, chunks = own.count(), max(1, -(-other.count() // CHUNK))
-    wanted = -(-3 * left.sparkSession.sparkContext.defaultParallelism // chunks)
+    wanted = -(-2 * left.sparkSession.sparkContext.defaultParallelism // chunks)
     blocks = max(1, -(-n // BLOCK), min(-(-n // 4096), wanted))
 
     def among(parts: int):
@@ -136,6 +136,7 @@ def nearest_of(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
             held = others[np.argsort(part, kind="stable")]
             sides[s] = held, np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << 16))]), np.lib.stride_tricks.sliding_window_view(held, width)
         held, first, windows = sides[s]
+        todo = todo[np.argsort((mine[todo] >> shift).astype(np.uint16), kind="stable")]  # neighbours read the same places
         step = max(1, ROOM // (len(masks) * width))
         for a in range(0, len(todo), step):
             at = todo[a : a + step]

@@ -48,6 +48,16 @@ def test_nearest_broadcasts_no_pairs_of_blocks_and_chunks(spark, monkeypatch):
     assert "Broadcast" not in hamming.nearest_patterns(frame(spark, e), frame(spark, t))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_nearest_across_is_the_minimum_over_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK", 16)
+    monkeypatch.setattr(hamming, "CHUNK", 16)
+    e, t = patterns(9)
+    e += e[:20]
+    val = spark.createDataFrame([*enumerate(e), (-1, None)], "image_id long, bits long")
+    got = [tuple(x) for x in curation.nearest_across(val, frame(spark, t), "image_id", "bits").collect()]
+    assert sorted(got) == [(i, min(bits(a, b) for b in t)) for i, a in enumerate(e)]
+
+
 @pytest.mark.parametrize("n,mask", [(70_000, 2**64 - 1), (70_000, 0xFFFF0000000000FF), (70_000, 0x0101FFFF01010101), (3, 2**64 - 1)])
 def test_nearest_of_even_and_crowded_patterns(n, mask):
     r = np.random.default_rng(n)
