@@ -11,18 +11,23 @@ from tessera.operators.folds import ordered_fold, schema_of, whole_groups
 from tessera.sources.workspace import Workspace
 
 
-def overlap_grid(a: np.ndarray, b: np.ndarray, clamp: bool = False) -> np.ndarray:
-    """Intersection over union of every box of ``a`` with every one of ``b``; ``clamp`` takes each area as at least 1."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+def pair_overlaps(a: np.ndarray, b: np.ndarray, clamp: bool = False) -> np.ndarray:
+    """Intersection over union of the boxes of ``a`` with those of ``b`` in the same places; ``clamp`` takes each area as at least 1."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-    area = [(x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1]) for x in (a, b)]
+    area = [(x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]) for x in (a, b)]
     if clamp:
         area = [np.maximum(1.0, x) for x in area]
-    union = area[0][:, None] + area[1][None, :] - inter
+    union = area[0] + area[1] - inter
     return np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
 
 
+def overlap_grid(a: np.ndarray, b: np.ndarray, clamp: bool = False) -> np.ndarray:
+    """Intersection over union of every box of ``a`` with every one of ``b``."""
+    return pair_overlaps(a[:, None], b[None, :], clamp)
+
+
 def overlaps(box: np.ndarray, others: np.ndarray, clamp: bool = False) -> np.ndarray:
     return overlap_grid(np.asarray(box)[None, :], others, clamp)[0]
 
@@ -75,33 +80,100 @@ def spread_samples(df: DataFrame, key: str, order: str, k: int = 16) -> DataFram
     return out.select(F.col("_k").alias(key), F.col("_o").alias(order), "rank")
 
 
+def best_before(boxes: np.ndarray, first: np.ndarray, n: np.ndarray, least: float, room: int = 1 << 20) -> np.ndarray:
+    """For each box which of the ``n`` boxes from place ``first`` on overlaps it most, the earliest on ties; -1 if none by ``least``."""
+    out = np.full(len(boxes), -1)
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(boxes):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + room, "right")))
+        at = a + np.flatnonzero(n[a:z])
+        if len(at):
+            k = n[at]
+            starts = np.cumsum(k) - k
+            j = np.arange(k.sum()) + np.repeat(first[at] - starts, k)
+            o = pair_overlaps(np.repeat(boxes[at], k, axis=0), boxes[j])
+            top = np.maximum.reduceat(o, starts)
+            best = np.minimum.reduceat(np.where(o == np.repeat(top, k), j, len(boxes)), starts)
+            out[at] = np.where(top >= least, best, -1)
+        a = z
+    return out
+
+
 def chain_tracks(df: DataFrame, key: str, frame: str, row_id: str, stride: int = 1, least_iou: float = 0.5, least: int = 3) -> DataFrame:
     """key, frame, row_id, track: boxes linked to the most overlapping box of the sample before.
 
     A box without a link of ``least_iou`` begins a track; several boxes may continue one; an empty sampled frame ends
-    all; tracks of fewer than ``least`` boxes are dropped. The fold's state is one frame.
+    all; tracks of fewer than ``least`` boxes are dropped. A null key is a key.
+
+    One pass over batches of sorted rows, whatever keys they hold. From one to the next go the last frame, its tracks'
+    numbers and lengths, and the rows of tracks in it that are too short as yet.
     """
-    def step(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for f, part in pdf.groupby(frame, sort=False):
-            boxes = part[["x1", "y1", "x2", "y2"]].to_numpy(float)
-            linked = state["boxes"] is not None and f - state["frame"] == stride
-            ids = np.zeros(len(part), np.int64)
-            for i, box in enumerate(boxes):
-                o = overlaps(box, state["boxes"]) if linked else np.zeros(1)
-                if linked and o.max() >= least_iou:
-                    ids[i] = state["ids"][int(o.argmax())]
-                else:
-                    state["count"] += 1
-                    ids[i] = state["count"]
-            state |= {"boxes": boxes, "ids": ids, "frame": f}
-            out.append(part[[key, frame, row_id]].assign(track=ids))
-        return pd.concat(out)
-
-    rows = df.where(f"{frame} % {stride} = 0").select(key, frame, row_id, "x1", "y1", "x2", "y2")
-    linked = ordered_fold(rows, [key], [frame, row_id], lambda: {"boxes": None, "ids": None, "frame": None, "count": 0}, step, schema_of(rows, [key, frame, row_id]) + ", track long", whole=frame)
-    long = linked.groupBy(key, "track").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    return linked.join(long.drop("_n"), [key, "track"], "left_semi")
+    box, name = ["x1", "y1", "x2", "y2"], [key, frame, row_id]
+
+    def changes(b: pd.DataFrame, columns: list[str]) -> np.ndarray:
+        new = np.zeros(len(b), bool)
+        new[0] = True
+        for c in columns:
+            x = pd.factorize(b[c], use_na_sentinel=True)[0]
+            new[1:] |= x[1:] != x[:-1]
+        return new
+
+    def link(b: pd.DataFrame, past: dict | None) -> tuple[pd.DataFrame, dict]:
+        """The rows of long tracks and what the next batch must know; ``b`` holds whole frames."""
+        m, b = (len(past["rows"]), pd.concat([past["rows"], b], ignore_index=True)) if past else (0, b)
+        row, new_key, new = np.arange(len(b)), changes(b, [key]), changes(b, [key, frame])
+        start = np.flatnonzero(new)
+        at = np.cumsum(new) - 1
+        this, that = start[at], start[at - 1]
+        f = b[frame].to_numpy()
+        linked = (row >= m) & (at > 0) & ~new_key[this] & (f - f[that] == stride)
+        root = best_before(b[box].to_numpy(float), that, np.where(linked, this - that, 0), least_iou)
+        begins = (root < 0) & (row >= m)
+        root = np.where(root < 0, row, root)
+        if m:
+            known, place, same = np.unique(past["track"], return_index=True, return_inverse=True)
+            root[:m] = place[same]
+        while (root != (up := root[root])).any():
+            root = up
+        # Tracks are numbered by key in the order in which they begin.
+        count = np.cumsum(begins)
+        head = np.flatnonzero(new_key)[np.cumsum(new_key) - 1]
+        base = (count - begins)[head] - np.where(head == 0, past["count"] if m else 0, 0)
+        number = count - base
+        if m:
+            number[:m] = past["track"]
+        track = number[root]
+        length = np.bincount(root[m:], minlength=len(b))
+        if m:
+            length[place] += past["length"][place]
+        on = np.zeros(len(b), bool)
+        on[root[start[-1] :]] = True
+        rows = b[name].iloc[m:].assign(track=track[m:])
+        of = root[m:]
+        if m:
+            rows = pd.concat([past["short"], rows], ignore_index=True)
+            of = np.concatenate([place[np.searchsorted(known, past["short"]["track"].to_numpy())], of])
+        long = length[of] >= least
+        last = slice(start[-1], None)
+        return rows[long], {"rows": b.iloc[last], "track": track[last], "length": length[root[last]], "count": int((count - base)[-1]), "short": rows[~long & on[of]]}
+
+    def run(batches):
+        rest, past = None, None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            if not len(b):
+                continue
+            cut = int(np.flatnonzero(changes(b, [key, frame]))[-1])
+            rest = b.iloc[cut:]
+            if cut:
+                out, past = link(b.iloc[:cut], past)
+                yield out
+        if rest is not None and len(rest):
+            yield link(rest, past)[0]
+
+    rows = df.where(f"{frame} % {stride} = 0").select(*name, *box)
+    return rows.repartition(key).sortWithinPartitions(*name).mapInPandas(run, schema_of(rows, name) + ", track long")
 
 
 def diverse_reservoir(df: DataFrame, key: str, order: str, room: int = 16) -> DataFrame:
@@ -127,5 +199,3 @@ def diverse_reservoir(df: DataFrame, key: str, order: str, room: int = 16) -> Da
 
     changes = ordered_fold(df.select(key, order, "feat"), [key], [order], lambda: {"store": Reservoir(room), "turn": 0}, step, f"{key} {kinds[key]}, {order} {kinds[order]}, place int, turn long")
     return changes.groupBy(key, "place").agg(F.max_by(order, "turn").alias(order)).select(key, order)
-
-

@@ -1,7 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from tessera.config import TRACKING
+from tessera.operators import suppression
 from tessera.operators import tracking as T
 
 
@@ -67,3 +70,43 @@ def test_unsure_tracks_end_with_a_miss():
     for k in range(3):
         T.step(t, np.array([box(2 * k, 0)], float), [None])
     assert t.sure.tolist() == [True] and t.ids.tolist() == [2]
+
+
+def chained(rows, stride=1, least=3):
+    """Box by box: {(key, frame, row): track}."""
+    out, keys = {}, {}
+    for key, frame, row, *b in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:3])):
+        if frame % stride:
+            continue
+        s = keys.setdefault(key, {"frames": {}, "count": 0})
+        old = s["frames"].get(frame - stride, [])
+        best = max(old, key=lambda x: suppression.overlaps(np.array(b), np.array([x[0]]))[0], default=None)
+        if best and suppression.overlaps(np.array(b), np.array([best[0]]))[0] >= 0.5:
+            track = best[1]
+        else:
+            s["count"] += 1
+            track = s["count"]
+        s["frames"].setdefault(frame, []).append((b, track))
+        out[key, frame, row] = track
+    n = Counter((k, t) for (k, _, _), t in out.items())
+    return {x: t for x, t in out.items() if n[x[0], t] >= least}
+
+
+@pytest.mark.parametrize("batch,stride,least", [(1, 1, 3), (7, 1, 3), (7, 2, 4), (10_000, 1, 3), (50, 1, 1)])
+def test_chains_are_those_of_box_by_box(spark, batch, stride, least):
+    r = np.random.default_rng(batch + stride)
+    rows = []
+    for key in (None, 1, 2, 3, 4):
+        for f in range(40):
+            if r.random() < 0.9:
+                for k in range(r.integers(1, 5)):
+                    x, y = (float(v) for v in r.integers(0, 3, 2) * 10)
+                    rows.append((key, f, k, x, y, x + 40, y + 40))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = spark.createDataFrame(rows, "person long, frame_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+        got = [tuple(x) for x in suppression.chain_tracks(df, "person", "frame_id", "det_id", stride, least=least).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = chained(rows, stride, least)
+    assert len(got) == len(want) and {x[:3]: x[3] for x in got} == want
